@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media_columns, quality_rules, sharding
+from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, sharding
+from ._shared import words_of
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).drop("lang", "source")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), n_words=3, similarity=0.85)
+
+
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     done = media_columns.media_features(media_columns.to_media(docs))
     return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = _documents(spark, sf_dir).select("doc_id", F.size(words_of("text")).cast("long").alias("n_words"))
+    return packing.pack(lengths, "n_words")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -36,5 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_media_columns, op9_sharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_minhash_dedup, op5_bpe_roundtrip, op6_media_columns, op8_best_fit_packing, op9_sharding, op10_line_dedup,
+)}
 SQL: dict[str, str] = {}
