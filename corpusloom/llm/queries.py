@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, sharding
-from ._shared import words_of
+from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, suffix_array
+from ._repeats import removed_words
+from ._shared import text_key, words_of
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,21 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), n_words=3, similarity=0.85)
 
 
+def _kept_digests(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """n_words, n_removed and the digest of the kept words; only of changed texts are the operator's kept words needed."""
+    words = words_of("text")
+    narrow = docs.select("doc_id", text_key("text").alias("k"), F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("all_sha256"))
+    cut = found.select("k", "whole", "n_removed", F.sha2("kept", 256).alias("some_sha256"))
+    removed = removed_words(n, F.col("n_words"))
+    kept = F.when(F.coalesce("whole", F.lit(False)) & (F.col("n_words") >= n), F.sha2(F.lit(""), 256)).when(removed > 0, F.col("some_sha256")).otherwise(F.col("all_sha256"))
+    return narrow.join(cut, "k", "left").select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return _kept_digests(docs, recompression.repeats(docs), recompression.WINDOW)
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +51,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return _kept_digests(docs, suffix_array.repeats(docs), suffix_array.SHORTEST)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = _documents(spark, sf_dir).select("doc_id", F.size(words_of("text")).cast("long").alias("n_words"))
     return packing.pack(lengths, "n_words")
@@ -54,6 +75,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_dedup, op5_bpe_roundtrip, op6_media_columns, op8_best_fit_packing, op9_sharding, op10_line_dedup,
+    op1_quality_rules, op2_minhash_dedup, op4_substring_dedup, op5_bpe_roundtrip, op6_media_columns, op7_suffix_array_dedup, op8_best_fit_packing, op9_sharding, op10_line_dedup,
 )}
 SQL: dict[str, str] = {}
