@@ -3,12 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corpusloom.llm import line_dedup, near_dedup, packing, suffix_array, toxicity
+from corpusloom.llm._shared import stored, words_of
 
+#: The columns that all stages but the last return.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network doesn't take for toxic; it learns from the labels outside the held-out fold."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _documents(toxicity.score(docs, model).where("score < 0.5"))
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many sites have."""
+    return _documents(line_dedup.drop_boilerplate(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group that shingles of five words link at 0.8 or more."""
+    return _documents(near_dedup.drop_near_duplicates(docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without stretches of 50 words or more that occur elsewhere."""
+    return _documents(suffix_array.remove_repeats(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in sequences of several lengths."""
+    return packing.pack(docs.select("doc_id", F.size(words_of("text")).cast("long").alias("n_words")), "n_words")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: A trained network decides in the first stage, which SQL can't express; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, suffix_array
+from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, suffix_array, toxicity
 from ._repeats import removed_words
 from ._shared import text_key, words_of
 
@@ -23,6 +23,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), n_words=3, similarity=0.85)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.crc_remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _kept_digests(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """n_words, n_removed and the digest of the kept words; only of changed texts are the operator's kept words needed."""
     words = words_of("text")
@@ -75,6 +82,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_dedup, op4_substring_dedup, op5_bpe_roundtrip, op6_media_columns, op7_suffix_array_dedup, op8_best_fit_packing, op9_sharding, op10_line_dedup,
+    op1_quality_rules, op2_minhash_dedup, op3_toxicity, op4_substring_dedup, op5_bpe_roundtrip, op6_media_columns, op7_suffix_array_dedup, op8_best_fit_packing, op9_sharding, op10_line_dedup,
 )}
 SQL: dict[str, str] = {}
