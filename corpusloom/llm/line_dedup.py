@@ -15,6 +15,8 @@ MIN_CONTEXTS = 50
 REACH = 24
 #: Estimates within this part of a threshold, in hundredths, are counted exactly; twelve standard errors of the sketch.
 BAND = 20
+#: Parts into which the places of a line are dealt for exact counts.
+SALTS = 16
 #: Sketches have 2**LG_K registers.
 LG_K = 12
 
@@ -32,10 +34,7 @@ def line_spread(docs: DataFrame, text_col: str = "text", site_col: str = "source
     which stands between other lines each time, from lines of copied documents, whose neighbours are copied too: at
     least MIN_CONTEXTS hundredths as many surroundings as distinct texts are asked for. A null site is a site.
     """
-    lines = F.transform(
-        _lines(F.col(text_col)),
-        lambda line: line,
-    )
+    lines = _lines(F.col(text_col))
     each = docs.select(text_key(text_col).alias("k"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0null")).alias("site"), lines.alias("lines"))
     each = each.select(
         "k", "site",
@@ -57,8 +56,9 @@ def line_spread(docs: DataFrame, text_col: str = "text", site_col: str = "source
     ratio = F.col("contexts") * 100 / F.col("texts")
     guess = settled(guess.where((F.col("sites") >= min_sites * low) & (ratio >= MIN_CONTEXTS * low)))
     sure = (F.col("sites") >= min_sites * high) & (ratio >= MIN_CONTEXTS * high)
-    near = guess.where(~sure).select("line_hash")
-    exact = each.join(near, "line_hash", "left_semi")
+    # a line at very many places is dealt to SALTS tasks
+    near = guess.where(~sure).select("line_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    exact = each.withColumn("salt", F.pmod(F.xxhash64("k", "site"), F.lit(SALTS))).join(near, ["line_hash", "salt"], "left_semi")
     counts = None
     for name in ("site", "context", "k"):  # two steps each, so that a line at very many places is combined before the shuffle
         one = exact.select("line_hash", name).distinct().groupBy("line_hash").agg(F.count(F.lit(1)).alias(f"n_{name}"))

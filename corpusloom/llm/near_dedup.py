@@ -190,3 +190,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = ids.join(grouped.withColumnRenamed("mark", "_of"), (F.col("mark") == F.col("_of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that aren't kept; a row whose id is null stays, and rows that share a kept id stay together."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.where(~F.col("kept")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
