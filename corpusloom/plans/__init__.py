@@ -1,3 +1,3 @@
 """Queries by name, with the SQL that says the same."""
 
-MODULES = ("search",)
+MODULES = ("search", "retrieval", "segment")
