@@ -10,10 +10,10 @@ from ._words import Running, Words, mix
 
 #: Words of a window: repeats of so many words or more are found.
 WINDOW = 35
-#: Rounds of naming; a symbol of the last stands for some ten words.
-ROUNDS = 5
+#: Rounds of naming; what settles a symbol of the last is some 13 words, so that most windows have several inside.
+ROUNDS = 3
 #: Symbols of earlier rounds are too short to tell a window by.
-FIRST_ROUND = 3
+FIRST_ROUND = 2
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -65,10 +65,27 @@ def rounds(w: Words, n_rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+def least_in(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the least value of each non-empty range ``begin:end`` is, the first of equals (44 bits are compared)."""
+    marked = (values >> np.uint64(20) << np.uint64(20)) | (np.arange(len(values), dtype=np.uint64) & np.uint64((1 << 20) - 1))
+    size = end - begin
+    out = np.empty(len(begin), np.uint64)
+    level, width = marked, 1
+    while True:
+        some = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[some] = np.minimum(level[begin[some]], level[end[some] - width])
+        if not (size >= 2 * width).any():
+            break
+        level, width = np.minimum(level[:-width], level[width:]), 2 * width
+    at = (out & np.uint64((1 << 20) - 1)).astype(np.int64)
+    return at + ((begin - at + (1 << 20) - 1) >> 20 << 20)  # places are kept modulo 2**20; ranges are short
+
+
 def symbols(w: Words, run: Running, starts: np.ndarray, n: int) -> Anchored:
-    """The anchor of each window: the first symbol settled inside it, of the latest round that has one.
+    """The anchor of each window: of the symbols settled inside it, in the latest round that has any, that of least name.
 
-    Its key is its name with the words that settle it. A window without one (of a long run, say) is its own anchor.
+    So neighbouring windows mostly share their anchor. Its key is its name with the words that settle it. A window
+    without a symbol (one of a long run, say) is its own anchor.
     """
     key = run.of(starts, starts + n)
     place = starts.astype(np.int64)
@@ -76,9 +93,9 @@ def symbols(w: Words, run: Running, starts: np.ndarray, n: int) -> Anchored:
     found = rounds(w)
     for r in range(len(found) - 1, FIRST_ROUND - 2, -1):
         name, lo, hi = found[r]
-        at = np.minimum(np.searchsorted(lo, starts[todo]), len(lo) - 1)
-        ok = (lo[at] >= starts[todo]) & (hi[at] <= starts[todo] + n)
-        at, done = at[ok], todo[ok]
+        begin, end = np.searchsorted(lo, starts[todo]), np.searchsorted(hi, starts[todo] + n, "right")
+        ok = begin < end
+        at, done = least_in(mix(name), begin[ok], end[ok]) if ok.any() else begin[:0], todo[ok]
         key[done] = mix(run.of(lo[at], hi[at]) + name[at])
         place[done] = at + (r + 1) * (len(w.hash) + 1)
         todo = todo[~ok]
