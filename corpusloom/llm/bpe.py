@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._words import lists, pieces
 
-#: Distinct spans whose ids a task keeps; when there are more it starts anew.
-KEPT_SPANS = 600_000
+#: Distinct spans whose ids a task keeps, those met first; others are encoded each time.
+KEPT_SPANS = 300_000
 
 
 @functools.cache
@@ -60,50 +62,58 @@ class Coder:
 
         chars = byte_chars()
         vocab = {"".join(chars[b] for b in t): i for t, i in ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # the spelling of bytes has no white space
+        size = max(ranks.values()) + 1
+        # the spelling of bytes has no space, so a space between matches is a token of its own that tells them apart
+        self.between = size
+        self.tokenizer = Tokenizer(models.BPE(vocab=vocab | {" ": size}, merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
         self.table = {b: c for b, c in enumerate(chars)}
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.matches = regex.compile(pattern).findall
         self.spans = re.compile(f"[{_SPACES}]+(?![^{_SPACES}])| ?[^{_SPACES}]+|[{_SPACES}]+").findall
         self.known: dict[str, bytes] = {}
-        size = max(ranks.values()) + 1
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of = [b""] * size
         for spelled, i in vocab.items():
-            self.bytes_of[i] = bytes(map(self.byte_of.__getitem__, spelled))
-        self.length_of = np.array([len(b) for b in self.bytes_of], np.int32)
+            bytes_of[i] = bytes(map(self.byte_of.__getitem__, spelled))
+        self.length_of = np.array([len(b) for b in bytes_of], np.int64)
+        self.start_of = np.cumsum(self.length_of) - self.length_of
+        self.all_bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
 
-    def learn(self, spans: list[str]) -> None:
+    def learned(self, spans: list[str]) -> dict[str, bytes]:
         """Ids of new spans: their matches spelled as byte characters, encoded many at a time."""
-        for at in range(0, len(spans), 500):
-            some = spans[at:at + 500]
+        made = {}
+        for at in range(0, len(spans), 1000):
+            some = spans[at:at + 1000]
             found = [self.matches(s) for s in some]
-            flat = [m.encode("utf-8").decode("latin-1").translate(self.table) for f in found for m in f]
-            done = self.tokenizer.encode(" ".join(flat), add_special_tokens=False)
-            ids = np.array(done.ids, "<u4")
-            per_match = np.bincount(np.array(done.word_ids, np.int64), minlength=len(flat))
-            ends = np.concatenate([[0], np.cumsum(per_match)])[np.cumsum([len(f) for f in found])]
-            begin = 0
-            for s, end in zip(some, ends, strict=True):
-                self.known[s] = ids[begin:end].tobytes()
-                begin = end
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        found = self.spans(text)
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            new = [s for s in dict.fromkeys(found) if s not in self.known]
-        if len(self.known) + len(new) > KEPT_SPANS:
-            self.known.clear()
-            new = list(dict.fromkeys(found))
-        self.learn(new)
-        return b"".join(map(self.known.__getitem__, found))
-
-    def decode(self, ids) -> bytes:
-        """The bytes of the ids; a character split over tokens is whole again once they are joined."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+            if any("\0" in s for s in some):  # that character can't part matches then
+                spelled = " ".join(m.encode("utf-8").decode("latin-1").translate(self.table) for f in found for m in f)
+            else:
+                spelled = "\0".join(["\0".join(f) for f in found]).encode("utf-8").decode("latin-1").translate(self.table | {0: " "})
+            ids = np.array(self.tokenizer.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            gaps = np.append(np.flatnonzero(ids == self.between), len(ids))
+            last = np.cumsum([len(f) for f in found]) - 1  # the last match of each span
+            counts = np.diff(gaps[last] - last, prepend=0).tolist()  # its ids, without those between matches
+            raw, begin = ids[ids != self.between].tobytes(), 0
+            for s, n in zip(some, counts, strict=True):
+                made[s] = raw[begin:begin + 4 * n]
+                begin += 4 * n
+        return made
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        found = [self.spans(t) for t in texts]
+        new = self.learned([s for s in dict.fromkeys(chain.from_iterable(found)) if s not in self.known])
+        if len(self.known) + len(new) <= KEPT_SPANS:
+            self.known.update(new)
+            return [b"".join(map(self.known.__getitem__, f)) for f in found]
+        kept = self.known.get
+        return [b"".join([kept(s) or new[s] for s in f]) for f in found]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other; a character split over tokens is whole again once they are joined."""
+        length = self.length_of[ids]
+        end = np.cumsum(length)
+        return self.all_bytes[np.repeat(self.start_of[ids] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 @functools.cache
@@ -111,6 +121,52 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(read_ranks(path), pattern)
 
 
+def encode_batches(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, replaced by ids and ends, in pieces of a MB of text."""
+    c = coder(path, pattern)
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        for lo, hi in pieces(texts):
+            coded = c.encode_all([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+            counts = np.array([len(x) // 4 for x in coded], np.int64)
+            ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(c.length_of[ids])])
+            within = (ends[1:] - np.repeat(ends[np.cumsum(counts) - counts], counts)).astype(np.int32)
+            rest = [x.slice(lo, hi - lo) for x in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*rest, lists(ids, counts, pa.int32()), lists(within, counts, pa.int32())], names=[*batch.schema.names[:-1], "ids", "ends"])
+
+
+def decode_batches(path: str, pattern: str, ids_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``decoded``; ids of some 2000 rows at a time."""
+    c = coder(path, pattern)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            ids = batch.column(batch.schema.get_field_index(ids_col))
+            ids = ids.fill_null([]) if ids.null_count else ids
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            values = ids.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+            ends = np.concatenate([[0], np.cumsum(c.length_of[values])])[offsets - offsets[0]]
+            made = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(c.decode(values))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_tokens, ids_sha256 and decoded_sha256 in place of ids, ends and decoded."""
+    for batch in batches:
+        ids, raw = batch.column(batch.schema.get_field_index("ids")), batch.column(batch.schema.get_field_index("decoded"))
+        values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        counts = np.diff(offsets).astype(np.int64)
+        sums = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        others = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in raw]
+        rest = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("ids", "ends", "decoded")}
+        yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(counts), pa.array(sums), pa.array(others)], names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _kind(df: DataFrame, cols: list[str], more: str) -> str:
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols), more])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of the text, and ``ends`` (array of int): where each token ends in its bytes.
 
@@ -118,59 +174,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     tokens. Null and empty texts have no tokens. Columns named ids or ends are replaced. No rows: no rows.
     """
     cols = [c for c in docs.columns if c not in (text_col, "ids", "ends")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo, hi in pieces(texts):
-                coded = [c.encode(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
-                counts = np.array([len(x) // 4 for x in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-                ends = np.cumsum(c.length_of[ids])
-                base = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
-                ends = (ends - np.repeat(base, counts)).astype(np.int32)
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(len(cols))]
-                yield pa.RecordBatch.from_arrays([*rest, lists(ids, counts, pa.int32()), lists(ends, counts, pa.int32())], names=[*cols, "ids", "ends"])
-
-    kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "ids array<int>", "ends array<int>"])
-    return docs.select(*[F.col(f"`{c}`") for c in cols], text_col).mapInArrow(run, kind)
+    return docs.select(*[F.col(f"`{c}`") for c in cols], text_col).mapInArrow(functools.partial(encode_batches, path, pattern), _kind(docs, cols, "ids array<int>, ends array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded`` (binary): the bytes that the ids stand for; null ids have none. The ids stay."""
     cols = [c for c in tokens.columns if c != "decoded"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
-        for batch in batches:
-            ids = batch.column(cols.index(ids_col))
-            made = pa.array([c.decode(x or ()) for x in ids.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*cols, "decoded"])
-
-    kind = ", ".join([*(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in cols), "decoded binary"])
-    return tokens.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, kind)
+    return tokens.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(functools.partial(decode_batches, path, pattern, ids_col), _kind(tokens, cols, "decoded binary"))
 
 
-def digests(coded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """n_tokens, ids_sha256 (little-endian unsigned 32-bit) and decoded_sha256 in place of ids and bytes."""
-    import hashlib
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Each row of ``docs``, its text replaced by n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256.
 
-    cols = [c for c in coded.columns if c not in (ids_col, decoded_col, "ends")]
+    Encoding, decoding and digests run one after the other in the same task, so that ids don't travel in between.
+    """
+    cols = [c for c in docs.columns if c not in (text_col, "ids", "ends", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, raw = batch.column(len(cols)), batch.column(len(cols) + 1)
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            counts = np.diff(offsets).astype(np.int64)
-            sums = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            others = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in raw]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(cols)], pa.array(counts), pa.array(sums), pa.array(others)], names=[*cols, "n_tokens", "ids_sha256", "decoded_sha256"])
+        return digest_batches(decode_batches(path, pattern, "ids", encode_batches(path, pattern, batches)))
 
-    kind = ", ".join([*(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in cols), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"])
-    return coded.select(*[F.col(f"`{c}`") for c in cols], ids_col, decoded_col).mapInArrow(run, kind)
-
-
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The digests of encoding and decoding each text."""
-    return digests(decode(encode(docs, path, pattern, text_col).drop("ends"), path, pattern))
+    return docs.select(*[F.col(f"`{c}`") for c in cols], text_col).mapInArrow(run, _kind(docs, cols, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -17,8 +17,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Values that a sketch retains.
 K = 64
-#: Rounds in which each document is compared with one centre of its lists, before what is left is compared in full.
-STAR_ROUNDS = 2
+#: Sketches of so many values or fewer are listed value by value, those of so many or more by pairs of neighbours.
+SINGLES_TO, PAIRS_FROM = 20, 12
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -122,12 +122,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle, and one without words (or null) has none and is linked with nothing.
 
     1. One hash function gives the shingles' values; a sketch is the ``k`` least of a set. Equal sets are one node.
-    2. Inverted lists hold the nodes that retain a value. A similar pair shares most of its sketch, so it shares one of
-       the rarest of each (as many as the sketch may lack): only these lists are looked at, which leaves out passages
-       that many documents have. For sets no larger than ``k`` that is certain, for others to about one in 10 million.
-    3. Each node is compared with the first node of the list it shares most of, in an order that changes by round, and
-       components are formed; at the end all pairs of lists that still hold several components are compared. A pair is
-       dropped by the estimate from the union of the sketches, six standard errors off, or else confirmed on full sets.
+    2. Inverted lists hold the nodes that retain a value. A similar pair shares most of its sketch, so it shares many of
+       the rarest values of each (as many are looked at as the sketch may lack): this leaves out passages that many
+       documents have. Lists are kept of two retained values that are neighbours in the order of rarity, as a lone value
+       is met by chance in a large corpus; short sketches are listed by value. A similar pair has 12 or more values
+       between some 5 differences to meet in, so that it isn't missed, but for sketches many standard errors off.
+    3. Each node is compared with a centre, the node of its lists whose values are the most common: the original of a
+       group of edited copies. Components are formed. Lists that still hold several components are compared in pairs,
+       each pair once, without those that can't be similar: a value that no other node left has is in no other set, so
+       the nodes' sizes and numbers of such values bound what the sets share. A pair is dropped by the estimate from
+       the union of the sketches, six standard errors off, or else confirmed on full sets.
 
     component_id is the least id reachable, itself included; kept says whether the id is that one (a repeated id is
     kept each time). Null ids: their row has a component_id only if another id is in its component. No rows: no rows.
@@ -138,14 +142,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = settled(sketched.select("id", "n", "mark"))
     nodes = settled(sketched.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.min("k").alias("k"), F.max("sketch").alias("sketch")))
 
+    percent = round(similarity * 100)
     floor = similarity - 6.3 * math.sqrt(similarity * (1 - similarity) / K)
     held = nodes.select("mark", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     sizes = held.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    common = held.join(sizes, "value").groupBy("mark").agg(F.max("m").alias("m"), F.sort_array(F.collect_list(F.struct("length", "value"))).alias("shared"))
+    common = held.join(sizes, "value").groupBy("mark").agg(F.max("m").alias("m"), F.sum("length").alias("weight"), F.sort_array(F.collect_list(F.struct("length", "value"))).alias("shared"))
     # the rarest m - ceil(floor m) + 1 values must meet; values in one list only come first and meet nothing
     rest = (F.col("m") - F.ceil(F.col("m") * floor) + 1 - (F.col("m") - F.size("shared"))).cast("int")
-    posted = common.where(rest > 0).select("mark", F.explode(F.slice("shared", F.lit(1), rest)).alias("x")).select("mark", F.col("x.value").alias("value"))
-    posted = settled(posted)
+    common = common.where(rest > 0).withColumn("v", F.transform(F.slice("shared", F.lit(1), rest), lambda x: x["value"]))
+    pairs_of = F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v")), lambda x, y: F.xxhash64(x, y))
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(F.when(F.col("m") <= SINGLES_TO, F.col("v")).otherwise(none), F.when((F.col("m") >= PAIRS_FROM) & (F.size("v") > 1), pairs_of).otherwise(none))
+    posted = settled(common.select("mark", "weight", F.explode(keys).alias("value")))
     several = posted.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1").select("value")
     posted = settled(posted.join(several, "value", "left_semi"))
 
@@ -157,36 +165,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = pairs.join(full.withColumnsRenamed({"mark": "a", "full": "full_a"}), "a").join(full.withColumnsRenamed({"mark": "b", "full": "full_b"}), "b")
         return settled(one.select("a", "b", "full_a", "full_b").mapInArrow(_similar(similarity, k), "a bigint, b bigint"))
 
-    roots, links, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = posted.withColumn("root", F.col("mark")) if roots is None else posted.join(roots, posted["mark"] == roots["node"], "left").select("value", "mark", F.coalesce("root", "mark").alias("root"))
-        mixed = placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64(F.lit(turn), "mark").alias("h"), F.col("mark").alias("centre"), F.col("root").alias("of"))).alias("c")).where("r0 != r1")
-        if turn < STAR_ROUNDS:
-            pairs = placed.join(mixed.select("value", "c.centre", "c.of"), "value").where("root != of")
-            pairs = pairs.groupBy("mark", "centre").agg(F.count(F.lit(1)).alias("times")).groupBy("mark").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-            pairs = pairs.select(F.least("mark", "centre").alias("a"), F.greatest("mark", "centre").alias("b")).distinct()
-        else:
-            left = placed.join(mixed.select("value"), "value", "left_semi")
-            left = settled(left)
-            other = left.select("value", F.col("mark").alias("b"), F.col("root").alias("of"))
-            pairs = left.withColumnRenamed("mark", "a").join(other, "value").where("root != of and a < b").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
-        if pairs.isEmpty():
-            continue
-        found = confirmed(pairs)
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        roots = components(links)
+    # a star: each node with the heaviest node of a list, that of most of its lists
+    heaviest = posted.groupBy("value").agg(F.max_by("mark", F.struct("weight", "mark")).alias("centre"), F.max("weight").alias("of"))
+    stars = posted.join(heaviest, "value").where("mark != centre").groupBy("mark", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("of").alias("of"))
+    stars = stars.groupBy("mark").agg(F.max_by("centre", F.struct("times", "of", "centre")).alias("centre"))
+    links = confirmed(settled(stars.select(F.least("mark", "centre").alias("a"), F.greatest("mark", "centre").alias("b")).distinct()))
+    roots = components(links)
+
+    # lists that hold several components, and of these nodes what they may share with others
+    placed = posted.join(roots, posted["mark"] == roots["node"], "left").select("value", "mark", F.coalesce("root", "mark").alias("root"))
+    mixed = placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("value")
+    left = settled(placed.join(mixed, "value", "left_semi"))
+    some = full.join(left.select("mark").distinct(), "mark", "left_semi")
+    own = some.select("mark", F.explode("full").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("times"), F.max("mark").alias("mark")).where("times = 1").groupBy("mark").agg(F.count(F.lit(1)).alias("own"))
+    bounds = some.select("mark", F.size("full").alias("n")).join(own, "mark", "left").select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    bounds = bounds.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    listed = left.groupBy("mark", "root").agg(F.array_sort(F.collect_set("value")).alias("values")).join(bounds, "mark")
+    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "values"))
+    one, two = listed.alias("x"), listed.alias("y")
+    share, either = F.least(F.expr("x.n - x.own"), F.expr("y.n - y.own")), F.greatest(F.expr("x.n + y.own"), F.expr("y.n + x.own"))
+    once = F.array_min(F.array_intersect("x.values", "y.values")) == F.col("x.value")  # of several lists the first
+    pairs = one.join(two, F.expr("x.value = y.value AND x.root != y.root AND x.mark < y.mark") & (share * 100 >= either * percent) & once)
+    found = confirmed(settled(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))))
+    if not found.isEmpty():
+        roots = components(links.union(found))
 
     grouped = nodes.select("mark", "id")
-    if roots is not None:
-        grouped = grouped.join(roots, grouped["mark"] == roots["node"], "left").select("mark", "id", F.coalesce("root", "mark").alias("root"))
-        least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-        grouped = grouped.join(least, "root").select("mark", "component_id")
-    else:
-        grouped = grouped.select("mark", F.col("id").alias("component_id"))
+    grouped = grouped.join(roots, grouped["mark"] == roots["node"], "left").select("mark", "id", F.coalesce("root", "mark").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    grouped = grouped.join(least, "root").select("mark", "component_id")
     done = ids.join(grouped.withColumnRenamed("mark", "_of"), (F.col("mark") == F.col("_of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

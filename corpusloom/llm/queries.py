@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, suffix_array, toxicity
+from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, sql, suffix_array, toxicity
 from ._repeats import removed_words
 from ._shared import text_key, words_of
 
@@ -84,4 +84,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_dedup, op3_toxicity, op4_substring_dedup, op5_bpe_roundtrip, op6_media_columns, op7_suffix_array_dedup, op8_best_fit_packing, op9_sharding, op10_line_dedup,
 )}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
