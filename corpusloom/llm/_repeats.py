@@ -146,6 +146,7 @@ def repeated(docs: DataFrame, text_col: str, n: int, find: Finder) -> DataFrame:
     keyed = docs.select(text_key(text_col).alias("k"), F.col(f"`{text_col}`").alias("t"))
     anchors = keyed.mapInArrow(_keys(n, find), "key bigint, k bigint, twice boolean")
     shared = anchors.groupBy("key").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.max("twice").alias("twice")).where("twice or k0 != k1").select("key")
+    shared = settled(shared)  # read by the join from storage, so that a key of very many texts can be split there
     hits = anchors.join(shared, "key", "left_semi").groupBy("k").agg(F.collect_list("key").alias("keys"))
     hits = hits.withColumn("keys", F.array_distinct("keys"))
     texts = keyed.groupBy("k").agg(F.first("t").alias("t"))
@@ -153,6 +154,7 @@ def repeated(docs: DataFrame, text_col: str, n: int, find: Finder) -> DataFrame:
 
     windows = affected.mapInArrow(_windows(n, find), "hash bigint, check int, k bigint, start int")
     again = windows.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check")
+    again = settled(again)
     starts = windows.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
     cut = affected.select("k", "t").join(starts, "k").mapInArrow(_cut(n), f"k bigint, n_removed bigint, spans {SPANS}, kept string")
     copied = docs.select(text_key(text_col).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k", F.lit(True).alias("whole"))

@@ -68,14 +68,18 @@ def _full_sets(n: int):
     return run
 
 
-def _similar(similarity: float, k: int):
-    """Pairs whose estimate from the union of their sketches isn't hopeless and whose full sets are similar enough."""
+def _compared(similarity: float, k: int, all_pairs: bool):
+    """(a, b, differs, alike): how many values are in one of two sets only, and whether the sets are similar enough.
+
+    Unless all pairs are wanted, those go first whose sizes or whose estimate from the union of the sketches, the ``k``
+    least values of both, are hopeless; the full sets decide about the others, and only similar pairs are returned.
+    """
     percent = round(similarity * 100)
     least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            differs, alike = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             sides = []
             for c in (2, 3):
                 col = batch.column(c)
@@ -83,16 +87,18 @@ def _similar(similarity: float, k: int):
             (va, oa), (vb, ob) = sides
             for i in range(batch.num_rows):
                 x, y = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    continue
-                union = np.union1d(x[:k], y[:k])[:k]
-                both = np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)
-                if both.sum() < least * len(union):
-                    continue
+                if not all_pairs:
+                    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+                        continue
+                    union = np.union1d(x[:k], y[:k])[:k]
+                    both = np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)
+                    if both.sum() < least * len(union):
+                        continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = shared * 100 >= percent * (len(x) + len(y) - shared)
-            at = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+                differs[i] = len(x) + len(y) - 2 * shared
+                alike[i] = shared * 100 >= percent * (len(x) + len(y) - shared)
+            at = pa.array(np.arange(batch.num_rows) if all_pairs else np.flatnonzero(alike))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(differs).take(at), pa.array(alike).take(at)], names=["a", "b", "differs", "alike"])
 
     return run
 
@@ -129,9 +135,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        between some 5 differences to meet in, so that it isn't missed, but for sketches many standard errors off.
     3. Each node is compared with a centre, the node of its lists whose values are the most common: the original of a
        group of edited copies. Components are formed. Lists that still hold several components are compared in pairs,
-       each pair once, without those that can't be similar: a value that no other node left has is in no other set, so
-       the nodes' sizes and numbers of such values bound what the sets share. A pair is dropped by the estimate from
-       the union of the sketches, six standard errors off, or else confirmed on full sets.
+       each pair once, without those that can't be similar. First, a value that no other node has is in no other set,
+       so sizes and numbers of such values bound what two sets share. Second, two sets differ just where their
+       differences from a common centre differ; these sizes are known, and what they may have in common is bounded by
+       the values that aren't a node's own. So the many edited copies of one original, too far from it to be linked,
+       aren't compared with each other. A pair left is dropped by the estimate from the union of the sketches, six
+       standard errors off, or else confirmed on full sets.
 
     component_id is the least id reachable, itself included; kept says whether the id is that one (a repeated id is
     kept each time). Null ids: their row has a component_id only if another id is in its component. No rows: no rows.
@@ -145,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent = round(similarity * 100)
     floor = similarity - 6.3 * math.sqrt(similarity * (1 - similarity) / K)
     held = nodes.select("mark", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    sizes = held.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    sizes = settled(held.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
     common = held.join(sizes, "value").groupBy("mark").agg(F.max("m").alias("m"), F.sum("length").alias("weight"), F.sort_array(F.collect_list(F.struct("length", "value"))).alias("shared"))
     # the rarest m - ceil(floor m) + 1 values must meet; values in one list only come first and meet nothing
     rest = (F.col("m") - F.ceil(F.col("m") * floor) + 1 - (F.col("m") - F.size("shared"))).cast("int")
@@ -161,34 +170,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(text_key(text_col).alias("k"), F.col(f"`{text_col}`").alias("t")).groupBy("k").agg(F.first("t").alias("t"))
     full = stored(wanted.join(texts, "k").select("mark", "t").mapInArrow(_full_sets(n_words), "mark bigint, full array<bigint>"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, all_pairs: bool) -> DataFrame:
         one = pairs.join(full.withColumnsRenamed({"mark": "a", "full": "full_a"}), "a").join(full.withColumnsRenamed({"mark": "b", "full": "full_b"}), "b")
-        return settled(one.select("a", "b", "full_a", "full_b").mapInArrow(_similar(similarity, k), "a bigint, b bigint"))
+        return settled(one.select("a", "b", "full_a", "full_b").mapInArrow(_compared(similarity, k, all_pairs), "a bigint, b bigint, differs bigint, alike boolean"))
 
     # a star: each node with the heaviest node of a list, that of most of its lists
-    heaviest = posted.groupBy("value").agg(F.max_by("mark", F.struct("weight", "mark")).alias("centre"), F.max("weight").alias("of"))
+    heaviest = settled(posted.groupBy("value").agg(F.max_by("mark", F.struct("weight", "mark")).alias("centre"), F.max("weight").alias("of")))
     stars = posted.join(heaviest, "value").where("mark != centre").groupBy("mark", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("of").alias("of"))
-    stars = stars.groupBy("mark").agg(F.max_by("centre", F.struct("times", "of", "centre")).alias("centre"))
-    links = confirmed(settled(stars.select(F.least("mark", "centre").alias("a"), F.greatest("mark", "centre").alias("b")).distinct()))
+    stars = compared(settled(stars.groupBy("mark").agg(F.max_by("centre", F.struct("times", "of", "centre")).alias("centre")).select(F.col("mark").alias("a"), F.col("centre").alias("b"))), True)
+    links = stars.where("alike").select("a", "b")
     roots = components(links)
 
     # lists that hold several components, and of these nodes what they may share with others
     placed = posted.join(roots, posted["mark"] == roots["node"], "left").select("value", "mark", F.coalesce("root", "mark").alias("root"))
-    mixed = placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("value")
+    mixed = settled(placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("value"))
     left = settled(placed.join(mixed, "value", "left_semi"))
-    some = full.join(left.select("mark").distinct(), "mark", "left_semi")
+    star = stars.select(F.col("a").alias("mark"), F.col("b").alias("centre"), "differs")
+    here = left.select("mark").distinct()
+    some = full.join(here.union(star.join(here, "mark", "left_semi").select("centre")).distinct(), "mark", "left_semi")
     own = some.select("mark", F.explode("full").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("times"), F.max("mark").alias("mark")).where("times = 1").groupBy("mark").agg(F.count(F.lit(1)).alias("own"))
-    bounds = some.select("mark", F.size("full").alias("n")).join(own, "mark", "left").select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    bounds = some.select("mark", F.size("full").alias("n")).join(own, "mark", "left").join(star, "mark", "left")
+    bounds = bounds.select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("centre", "mark").alias("centre"), F.coalesce("differs", F.lit(0)).alias("differs"))
     bounds = bounds.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     listed = left.groupBy("mark", "root").agg(F.array_sort(F.collect_set("value")).alias("values")).join(bounds, "mark")
-    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "values"))
+    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "differs", "values"))
     one, two = listed.alias("x"), listed.alias("y")
     share, either = F.least(F.expr("x.n - x.own"), F.expr("y.n - y.own")), F.greatest(F.expr("x.n + y.own"), F.expr("y.n + x.own"))
+    # similar sets differ in (1 - s) / (1 + s) of the sum of their sizes at most
+    apart = F.expr(f"(x.differs + y.differs - 2 * least(x.differs - x.own, y.differs - y.own)) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
+    may = (share * 100 >= either * percent) & (F.expr("x.centre != y.centre") | apart) & F.expr("x.mark != y.centre AND y.mark != x.centre")
     once = F.array_min(F.array_intersect("x.values", "y.values")) == F.col("x.value")  # of several lists the first
-    pairs = one.join(two, F.expr("x.value = y.value AND x.root != y.root AND x.mark < y.mark") & (share * 100 >= either * percent) & once)
-    found = confirmed(settled(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))))
+    pairs = one.join(two, F.expr("x.value = y.value AND x.root != y.root AND x.mark < y.mark") & may & once)
+    found = compared(settled(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))), False)
     if not found.isEmpty():
-        roots = components(links.union(found))
+        roots = components(links.union(found.select("a", "b")))
 
     grouped = nodes.select("mark", "id")
     grouped = grouped.join(roots, grouped["mark"] == roots["node"], "left").select("mark", "id", F.coalesce("root", "mark").alias("root"))
