@@ -10,5 +10,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def vector_length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.lit(1.0) - dot(a, b) / (vector_length(a) * vector_length(b))

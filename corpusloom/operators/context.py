@@ -72,10 +72,10 @@ def build_context(chunks: DataFrame, cases: DataFrame, total: int = TOTAL, per_c
     return within_budget(c, ["best_rank", *KEY], "chars", total).select(*KEY, "case_index", "block", "chars", "used")
 
 
-def registry_index(calls: DataFrame) -> DataFrame:
-    """(case, index): cases numbered in the order in which calls first brought them."""
-    first = calls.groupBy(*KEY).agg(F.min(F.struct("call_order", "pos")).alias("_f"))
-    return first.withColumn("index", F.row_number().over(Window.orderBy("_f", *KEY))).drop("_f")
+def registry_index(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(case, index): cases numbered in the order in which calls first brought them, in each session that ``by`` names."""
+    first = calls.groupBy(*by, *KEY).agg(F.min(F.struct("call_order", "pos")).alias("_f"))
+    return first.withColumn("index", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_f", *KEY))).drop("_f")
 
 
 def triggers(messages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import context as c
 from ..operators.segment import fixed_chunks
 from ..sources.tables import cases, table
+from .retrieval import fts
 
 
 def _messages(spark, d):
@@ -41,12 +42,14 @@ def _steps(spark, d):
 
 def _context(spark, d):
     docs = table(spark, d, "documents")
-    chunks = fixed_chunks(docs.where("doc_id < 40")).where("chunk_index <> 1").select(F.when(F.col("doc_id") % 2 == 0, "sc").otherwise("hc").alias("source_table"), F.col("doc_id").alias("source_id"), "chunk_index", F.col("chunk_text").alias("text"), (F.col("doc_id") * 7 % 40).alias("rank"), F.array(F.col("chunk_index").cast("string")).alias("paragraph_numbers"))
-    return c.build_context(chunks, cases(docs).withColumn("source_table", F.when(F.col("id") % 2 == 0, "sc").otherwise("hc"))).select("source_table", "source_id", "case_index", "chars", "used")
+    hits = fts(spark, d).where("query_id = 1").select(F.col("chunk_id").alias("doc_id"), "source_table", "rank")
+    chunks = fixed_chunks(docs.join(hits, "doc_id", "left_semi")).where("chunk_index <> 1").select("doc_id", "chunk_index", "chunk_text").join(hits, "doc_id")
+    chunks = chunks.select("source_table", F.col("doc_id").alias("source_id"), "chunk_index", F.col("chunk_text").alias("text"), "rank", F.array(F.col("chunk_index").cast("string")).alias("paragraph_numbers"))
+    return c.build_context(chunks, cases(docs)).select("source_table", "source_id", "case_index", "chars", "used")
 
 
 def _calls(spark, d):
-    return table(spark, d, "events").where("event_id < 2000").select(F.lit("sc").alias("source_table"), F.col("user_id").alias("source_id"), F.col("event_id").alias("call_order"), (F.col("event_id") % 3).alias("pos"))
+    return table(spark, d, "events").select(F.to_date("ts").alias("session_id"), F.lit("sc").alias("source_table"), F.col("user_id").alias("source_id"), F.col("event_id").alias("call_order"), (F.col("event_id") % 3).alias("pos"))
 
 
 QUERIES = {
@@ -60,7 +63,7 @@ QUERIES = {
     "citation_validate": lambda spark, d: c.citations(_answers(spark, d), _visible(spark, d)),
     "citation_footers": lambda spark, d: c.checked_answers(_answers(spark, d), _visible(spark, d)).select("answer_id", "n_markers", "n_mismatches"),
     "headnote_snippets": lambda spark, d: table(spark, d, "benchmark").select("item_id", F.length(c.snippet(F.col("text"))).alias("n")),
-    "registry_index": lambda spark, d: c.registry_index(_calls(spark, d)).select("source_id", "index"),
+    "registry_index": lambda spark, d: c.registry_index(_calls(spark, d), ("session_id",)).select("session_id", "source_id", "index"),
     "audit_steps": lambda spark, d: c.audit_steps(table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("call_order"))),
 }
 
@@ -74,6 +77,6 @@ SQL = {
     "citation_validate": f"WITH {_ANSWERS} SELECT * FROM k",
     "citation_footers": f"WITH {_ANSWERS} SELECT answer_id, count(*) AS n_markers, count(reason) AS n_mismatches FROM k GROUP BY answer_id",
     "headnote_snippets": "SELECT item_id, CASE WHEN length(trim(text)) > 400 THEN 401 ELSE length(trim(text)) END AS n FROM benchmark",
-    "registry_index": "SELECT user_id AS source_id, row_number() OVER (ORDER BY min(event_id), user_id) AS index FROM events WHERE event_id < 2000 GROUP BY user_id",
+    "registry_index": "SELECT CAST(ts AS DATE) AS session_id, user_id AS source_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY min(event_id), user_id) AS index FROM events GROUP BY CAST(ts AS DATE), user_id",
     "audit_steps": "WITH c AS (SELECT user_id AS message_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click') SELECT message_id, n + 1 AS step_order, 'tool_call' AS step FROM c UNION ALL SELECT DISTINCT message_id, 1, 'agent_start' FROM c UNION ALL SELECT message_id, count(*) + 2, 'generate' FROM c GROUP BY message_id",
 }

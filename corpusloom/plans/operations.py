@@ -52,9 +52,11 @@ def _replace(spark, d):
 
 def _evaluation(spark, d):
     v = _vectors(spark, d)
-    asked = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("of"))
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("of"))
     hits = r.vector_hits(v, asked, 80).select("query_id", F.col("chunk_id").alias("key"), "rank")
-    wanted = v.join(F.broadcast(asked.select("query_id", "of")), F.col("label") == F.col("of")).where("chunk_id % 5 = 0").select("query_id", F.col("chunk_id").alias("key"))
+    # those expected of a query: rows of its label among the hundred that it stands for
+    of = asked.select("query_id", "of")
+    wanted = v.join(of, (F.col("label") == F.col("of")) & (F.col("chunk_id") - F.col("chunk_id") % 100 == F.col("query_id"))).select("query_id", F.col("chunk_id").alias("key"))
     return e.means(e.per_query(wanted, hits))
 
 
@@ -82,7 +84,7 @@ QUERIES = {
     "name_clusters": lambda spark, d: g.clusters(table(spark, d, "part").select(F.col("p_name").alias("name")), 75),
     "registry_match": _act_matches,
     "registry_mentions": lambda spark, d: g.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), spark.createDataFrame([("License",), ("MIT",), ("rights reserved",)], "alias string")),
-    "token_sort_self": lambda spark, d: table(spark, d, "part").where("p_partkey < 200").select("p_partkey", token_sort_ratio(F.col("p_name"), F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("score")),
+    "token_sort_self": lambda spark, d: table(spark, d, "part").select("p_partkey", token_sort_ratio(F.col("p_name"), F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("score")),
     "errors_page": lambda spark, d: o.errors_page(_errors(spark, d), category="error", resolved=False, limit=25, offset=50).select("id", "severity", "created_at"),
     "errors_count": lambda spark, d: o.errors_where(_errors(spark, d), severity="high").groupBy("category").agg(F.count(F.lit(1)).alias("n")),
     "errors_resolved": lambda spark, d: o.resolve(_errors(spark, d), table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), F.expr(NOW)).groupBy("category", "resolved").agg(F.count(F.lit(1)).alias("n"), F.count("resolved_at").alias("stamped")),
@@ -114,7 +116,7 @@ SQL = {
     "stored_vs_recomputed": "SELECT count(*) FILTER (p_size > 10) AS same, count(*) FILTER (p_size <= 10) AS different, 0 AS was_empty, count(*) FILTER (p_size <= 10) AS now_empty FROM part",
     "constraint_checks": "SELECT 'orders_key' AS \"check\", (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) x) AS violations UNION ALL SELECT 'lineitem_order', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'status_domain', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F'))",
     "registry_mentions": "WITH d AS (SELECT doc_id AS text_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' AS p, lower(text) AS l FROM documents) SELECT text_id, 'License' AS alias FROM d WHERE contains(p, ' license ') UNION ALL SELECT text_id, 'MIT' FROM d WHERE contains(p, ' mit ') UNION ALL SELECT text_id, 'rights reserved' FROM d WHERE contains(l, 'rights reserved')",
-    "token_sort_self": "SELECT p_partkey, 100.0 AS score FROM part WHERE p_partkey < 200",
+    "token_sort_self": "SELECT p_partkey, 100.0 AS score FROM part",
     "errors_page": "SELECT event_id AS id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS severity, ts AS created_at FROM events WHERE event_type = 'error' AND event_id % 3 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 50",
     "errors_count": "SELECT event_type AS category, count(*) AS n FROM events WHERE value > 50 GROUP BY 1",
     "errors_resolved": "WITH h AS (SELECT event_type, event_id % 3 = 0 AS r, event_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS hit FROM events) SELECT event_type AS category, r OR hit AS resolved, count(*) AS n, count(*) FILTER (hit) AS stamped FROM h GROUP BY 1, 2",
@@ -130,5 +132,5 @@ SQL = {
     "cascade_delete": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
     "upsert_coalesce": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'NEW' WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "replace_by_key": "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 5 THEN 1.0 ELSE c_acctbal END AS c_acctbal FROM customer",
-    "retrieval_evaluation": f"WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id < 20), w AS (SELECT q.vec_id AS query_id, c.vec_id AS key FROM embeddings c, embeddings q WHERE q.vec_id < 20 AND c.label = q.label AND c.vec_id % 5 = 0), j AS (SELECT w.query_id, w.key, h.rank FROM w LEFT JOIN h ON h.query_id = w.query_id AND h.key = w.key AND h.rank <= 80), p AS (SELECT query_id, coalesce(1.0 / min(rank), 0) AS rr, " + ", ".join(f"count(*) FILTER (rank <= {k}) / CAST(count(*) AS DOUBLE) AS r{k}" for k in e.CUTS) + " FROM j GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(rr), 6) AS mrr, " + ", ".join(f"round(avg(r{k}), 6) AS recall_{k}" for k in e.CUTS) + " FROM p",
+    "retrieval_evaluation": f"WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0), w AS (SELECT q.vec_id AS query_id, c.vec_id AS key FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.label = q.label AND c.vec_id - c.vec_id % 100 = q.vec_id), j AS (SELECT w.query_id, w.key, h.rank FROM w LEFT JOIN h ON h.query_id = w.query_id AND h.key = w.key AND h.rank <= 80), p AS (SELECT query_id, coalesce(1.0 / min(rank), 0) AS rr, " + ", ".join(f"count(*) FILTER (rank <= {k}) / CAST(count(*) AS DOUBLE) AS r{k}" for k in e.CUTS) + " FROM j GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(rr), 6) AS mrr, " + ", ".join(f"round(avg(r{k}), 6) AS recall_{k}" for k in e.CUTS) + " FROM p",
 }

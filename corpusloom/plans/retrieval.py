@@ -28,12 +28,13 @@ def _vectors(spark, d):
 
 
 def _asked(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 3").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _fts(spark, d, limit=r.BRANCH):
+def fts(spark, d, limit=r.BRANCH):
     chunks = _chunks(spark, d)
-    hits = r.match_all(r.postings(chunks), questions(spark)).join(chunks.select("chunk_id", "source_table"), "chunk_id")
+    asked = questions(spark)
+    hits = r.match_all(r.postings(chunks, only=r.query_terms(asked)), asked).join(chunks.select("chunk_id", "source_table"), "chunk_id")
     return r.ranked(hits, F.desc(F.round("score", 9)), ["query_id", "source_table"], limit=limit)
 
 
@@ -52,19 +53,19 @@ _QT = f"qt AS (SELECT query_id, unnest(list_distinct({tokens_sql('question')}))
 _HITS = "h AS (SELECT qt.query_id, ix.doc_id, ix.source_table, count(*) AS met, sum(tf / CAST(length AS DOUBLE)) AS s FROM ix JOIN qt USING (term) GROUP BY ALL), m AS (SELECT h.query_id, doc_id AS chunk_id, source_table, s / asked AS score FROM h JOIN qn USING (query_id) WHERE met = asked), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM m)"
 _FTS = f"WITH {_Q}, {_POST}, {_QT}, {_HITS}"
 _COS = "1.0 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(e.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))))"
-_VEC = f"vec AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, CASE WHEN e.label % 2 = 0 THEN 'sc' ELSE 'hc' END AS source_table, {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 3)"
+_VEC = f"vec AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, CASE WHEN e.label % 2 = 0 THEN 'sc' ELSE 'hc' END AS source_table, {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
 def _rrf(spark, d):
-    fts = r.concatenated(_fts(spark, d), "sc")
+    text = r.concatenated(fts(spark, d), "sc")
     near = r.concatenated(_near(spark, d, by=("source_table",)), "sc")
-    return r.fuse([("fts", fts), ("vec", near)]).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("tags", ",").alias("tags"), "place")
+    return r.fuse([("fts", text), ("vec", near)]).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("tags", ",").alias("tags"), "place")
 
 
 def _rrf_global(spark, d):
     near = _near(spark, d, limit=80)
-    fts = r.ranked(_fts(spark, d, 80).drop("rank"), F.desc(F.round("score", 9)), ["query_id"], limit=80)
-    return r.fuse([("fts", fts), ("vec", near)], top=80).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("tags", ",").alias("tags"))
+    text = r.ranked(fts(spark, d, 80).drop("rank"), F.desc(F.round("score", 9)), ["query_id"], limit=80)
+    return r.fuse([("fts", text), ("vec", near)], top=80).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("tags", ",").alias("tags"))
 
 
 _CAT = "SELECT query_id, chunk_id, source_table, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN source_table = 'sc' THEN 0 ELSE 1 END, rank, chunk_id) AS rank FROM {0} WHERE rank <= 40"
@@ -85,25 +86,25 @@ def _capped(spark, d):
 
 
 QUERIES = {
-    "fts_and_match_topk": lambda spark, d: _rounded(_fts(spark, d).select("query_id", "chunk_id", "source_table", "score", "rank"), "score"),
+    "fts_and_match_topk": lambda spark, d: _rounded(fts(spark, d).select("query_id", "chunk_id", "source_table", "score", "rank"), "score"),
     "vector_cosine_topk": lambda spark, d: _rounded(_near(spark, d, limit=10), "distance"),
     "vector_cosine_topk_filtered": lambda spark, d: _rounded(_near(spark, d, limit=10, where="label % 3 = 0"), "distance"),
     "vector_cosine_topk_by_register": lambda spark, d: _rounded(_near(spark, d, by=("source_table",), limit=10), "distance"),
     "hybrid_rrf_concatenated": _rrf,
     "hybrid_rrf": _rrf_global,
-    "retrieval_trace_counts": lambda spark, d: r.trace_counts([("fts", _fts(spark, d)), ("vec", _near(spark, d, by=("source_table",)))]),
+    "retrieval_trace_counts": lambda spark, d: r.trace_counts([("fts", fts(spark, d)), ("vec", _near(spark, d, by=("source_table",)))]),
     "query_expansion": _expansion,
     "chunks_per_case_preferred": _capped,
-    "rerank_overlap": lambda spark, d: _rounded(r.rerank(_fts(spark, d), _chunks(spark, d), questions(spark), 5).select("query_id", "chunk_id", "relevance", "rank"), "relevance"),
+    "rerank_overlap": lambda spark, d: _rounded(r.rerank(fts(spark, d), _chunks(spark, d), questions(spark), 5).select("query_id", "chunk_id", "relevance", "rank"), "relevance"),
     "load_case_aspect": lambda spark, d: r.load_case(_chunks(spark, d).select("chunk_id", "text", "source_table", (F.col("chunk_id") % 7).alias("source_id"), F.col("chunk_id").alias("chunk_index")), "sc", 3, questions(spark).where("query_id = 2"), 60, 10).select("chunk_id", "chunk_index"),
     "hashed_embeddings": lambda spark, d: table(spark, d, "benchmark").select("item_id", F.size(r.hashed_embedding("text", 16)).alias("dim"), F.round(F.aggregate(r.hashed_embedding("text", 16), F.lit(0.0), lambda s, v: s + v * v), 3).alias("norm")),
 }
 
 SQL = {
     "fts_and_match_topk": _FTS + " SELECT query_id, chunk_id, source_table, round(score, 6) AS score, rank FROM k WHERE rank <= 40",
-    "vector_cosine_topk": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec) SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM k WHERE rank <= 10",
-    "vector_cosine_topk_filtered": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec WHERE label % 3 = 0) SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM k WHERE rank <= 10",
-    "vector_cosine_topk_by_register": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY distance, chunk_id) AS rank FROM vec) SELECT query_id, chunk_id, source_table, round(distance, 6) AS distance, rank FROM k WHERE rank <= 10",
+    "vector_cosine_topk": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec) SELECT query_id, chunk_id, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10",
+    "vector_cosine_topk_filtered": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec WHERE label % 3 = 0) SELECT query_id, chunk_id, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10",
+    "vector_cosine_topk_by_register": f"WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY distance, chunk_id) AS rank FROM vec) SELECT query_id, chunk_id, source_table, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10",
     "hybrid_rrf_concatenated": _FTS + f", {_VEC}, vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY distance, chunk_id) AS rank FROM vec), f0 AS ({_CAT.format('k')}), g0 AS ({_CAT.format('vk')}), f AS (SELECT * FROM f0 WHERE rank <= 40), g AS (SELECT * FROM g0 WHERE rank <= 40), {_FUSE}, z AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, o, chunk_id) AS place FROM s) SELECT chunk_id, round(score, 9) AS score, tags, place FROM z WHERE place <= 40",
     "hybrid_rrf": _FTS + f", {_VEC}, f AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM k WHERE rank <= 80) x WHERE rank <= 80), g AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec) x WHERE rank <= 80), {_FUSE} SELECT chunk_id, round(score, 9) AS score, tags FROM s ORDER BY round(score, 12) DESC, o, chunk_id LIMIT 80",
     "retrieval_trace_counts": _FTS + f", {_VEC}, vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY distance, chunk_id) AS rank FROM vec), a AS (SELECT query_id, source_table, 'fts' AS method FROM k WHERE rank <= 40 UNION ALL SELECT query_id, source_table, 'vec' FROM vk WHERE rank <= 40) SELECT query_id, method, count(*) FILTER (source_table = 'sc') AS sc, count(*) FILTER (source_table = 'hc') AS hc FROM a GROUP BY query_id, method",

@@ -12,15 +12,15 @@ _WINDOWS = "SELECT doc_id, {cols}i, {strip} AS c FROM (SELECT doc_id, {cols2}t,
 
 
 def numbered(spark, d):
-    """Texts with numbered paragraphs, made from orders; every tenth repeats a number, every seventh has no numbers."""
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0")
+    """Texts with numbered paragraphs, made from orders; some repeat a number, some have none."""
+    o = table(spark, d, "orders")
     para = lambda n, w: F.concat(F.lit(f"{n} "), F.lit("The order of this customer was placed with priority "), F.col("o_orderpriority"), F.lit(f" and {w} was settled."))
     body = F.concat_ws("\n\n", F.lit("IN THE MATTER"), para("1.", "delivery"), para("2.", "price"), para("3)", "interest"), para("4.1", "costs"), para("4.2", "notice"), F.when(F.col("o_orderkey") % 400 == 0, para("2.", "a second claim")), para("5A", "the rest"))
     plain = F.concat(F.lit("No numbers here.\n\n"), F.repeat(F.lit("A long sentence about nothing at all that goes on. "), 40), F.lit("\n\nThe end of "), F.col("o_orderpriority"))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 280 == 0, plain).otherwise(body).alias("text"))
 
 
-_NUMBERED = """WITH b AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 280 <> 0),
+_NUMBERED = """WITH b AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p FROM orders WHERE o_orderkey % 280 <> 0),
 v AS (SELECT doc_id, p, u.o, u.n, u.w FROM b, (VALUES (0, '1', 'delivery'), (1, '2', 'price'), (2, '3', 'interest'), (3, '4.1', 'costs'), (4, '4.2', 'notice'), (5, '2', 'a second claim'), (6, '5A', 'the rest')) u(o, n, w) WHERE u.o <> 5 OR doc_id % 400 = 0)
 SELECT doc_id, 'numbered' AS strategy, CASE WHEN o = 5 THEN '2#2' ELSE n END AS paragraph_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS paragraph_order,
 'The order of this customer was placed with priority ' || p || ' and ' || w || ' was settled.' AS paragraph_text, 'numbered' AS kind FROM v"""
