@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 LATE = "1 day"
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark. Watermarks need a timestamp with a zone; the session's, which should be UTC, is taken."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def daily(events: DataFrame, late: str = LATE) -> DataFrame:
     """(day, kind, n) in tumbling windows of a day; rows later than ``late`` are dropped and state is freed."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _timed(events, late)
     return e.groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "kind", "n")
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = LATE) -> DataFrame:
     """Each event once, though it be delivered again within ``late``."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
     """(user_id, start, end, n): runs of a user's events without a longer gap."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    e = _timed(events, late)
+    return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -141,6 +141,9 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(src))
     operational.run_available(operational.daily(stream), str(tmp_path / "c"), lambda df, _: seen.append({tuple(r) for r in df.collect()}), "complete")
     assert seen[-1] == {tuple(r) for r in operational.daily(events).collect()}
+    found = []
+    operational.run_available(operational.sessions(stream, "12 hours"), str(tmp_path / "c1"), lambda df, _: found.append({tuple(r) for r in df.collect()}), "complete")
+    assert found[-1] == {tuple(r) for r in operational.sessions(events, "12 hours").collect()}
     for _ in range(2):  # the second time nothing is new
         operational.incremental(spark.readStream.schema(events.schema).parquet(str(src)), str(tmp_path / "c2"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
