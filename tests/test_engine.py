@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpusloom.operators import consensus, context, evaluate, filters, ops, quality, registry, retrieval, search
+from corpusloom.operators import consensus, context, evaluate, filters, lookup, ops, quality, registry, retrieval, search
 from corpusloom.sources import sinks, tables
 from corpusloom.streaming import operational
 
@@ -149,6 +149,31 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
 
 
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for name, data in (("x/one.pdf", b"1" * 10), ("two_EN.pdf", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    got = lookup.members(spark.read.format("binaryFile").load(str(tmp_path / "a.tar"))).collect()
+    assert sorted((r["member"], r["size"], bytes(r["content"])) for r in got) == [("two_EN.pdf", 0, b""), ("x/one.pdf", 10, b"1" * 10)]
+    files = spark.createDataFrame([("d/case_1_HIN.pdf",), ("d/case_1_HIN.txt",), ("d/case_2.pdf",)], "file string")
+    found = {r["path"]: r["file"] for r in lookup.located(spark.createDataFrame([("2001/case_1",), ("case_2",), ("case_3",)], "path string"), files).collect()}
+    assert found == {"2001/case_1": "d/case_1_HIN.pdf", "case_2": "d/case_2.pdf", "case_3": None}
+
+
+def test_vector_blocks(spark, monkeypatch):
+    """Blocks of queries find what one block finds."""
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], "chunk_id int, embedding array<double>")
+    asked = rows.where("chunk_id < 9").selectExpr("chunk_id AS query_id", "embedding AS vector")
+    whole = sorted(map(tuple, retrieval.vector_hits(rows, asked, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, retrieval.vector_hits(rows, asked, 4).collect())) == whole and len(whole) == 36
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
