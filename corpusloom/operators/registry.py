@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, token_sort_ratio
+from ..sources.durable import settled
 
 ACT_SCORE, JUDGE_SCORE = 85, 82
 ABSORB, FOLD = 88, 90
@@ -65,11 +66,11 @@ def clusters(names: DataFrame, least: float = ABSORB) -> DataFrame:
     thousands of names, and a block a few.
     """
     edges = likely_pairs(names, least)
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    block = names.select("name").distinct().withColumn("block", F.col("name"))
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
+    block = settled(names.select("name").distinct().withColumn("block", F.col("name")))
     while True:  # the least name of a block, some rounds as blocks are small
         near = both.join(block, both["b"] == block["name"]).groupBy("a").agg(F.min("block").alias("m"))
-        new = block.join(near, block["name"] == near["a"], "left").select("name", "block", F.least("block", "m").alias("next")).cache()
+        new = settled(block.join(near, block["name"] == near["a"], "left").select("name", "block", F.least("block", "m").alias("next")))
         done = new.where("next < block").isEmpty()
         block = new.select("name", F.col("next").alias("block"))
         if done:

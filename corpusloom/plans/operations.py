@@ -41,7 +41,7 @@ def _subs(spark, d):
 def _upsert(spark, d):
     c = table(spark, d, "customer")
     old = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "NEW").alias("c_mktsegment"), (F.col("c_acctbal") * 0).alias("c_acctbal"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "NEW").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"))
     return sinks.upsert(old, new, ["c_custkey"], coalesce_new=True)
 
 
