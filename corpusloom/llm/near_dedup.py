@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 K = 64
 #: Sketches of so many values or fewer are listed value by value, those of so many or more by pairs of neighbours.
 SINGLES_TO, PAIRS_FROM = 20, 12
+#: Parts, by the highest bits of a value, in which it is counted what a node lacks of its centre.
+PARTS = 32
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -69,7 +71,7 @@ def _full_sets(n: int):
 
 
 def _compared(similarity: float, k: int, all_pairs: bool):
-    """(a, b, differs, alike): how many values are in one of two sets only, and whether the sets are similar enough.
+    """(a, b, besides, alike, lacks): how many values a has that b hasn't, whether the sets are similar enough, and how many of b's values a lacks in each of PARTS parts (127 stands for more).
 
     Unless all pairs are wanted, those go first whose sizes or whose estimate from the union of the sketches, the ``k``
     least values of both, are hopeless; the full sets decide about the others, and only similar pairs are returned.
@@ -79,7 +81,8 @@ def _compared(similarity: float, k: int, all_pairs: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differs, alike = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            besides, alike = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            lacks = np.zeros((batch.num_rows, PARTS if all_pairs else 0), np.int8)
             sides = []
             for c in (2, 3):
                 col = batch.column(c)
@@ -94,11 +97,17 @@ def _compared(similarity: float, k: int, all_pairs: bool):
                     both = np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)
                     if both.sum() < least * len(union):
                         continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                differs[i] = len(x) + len(y) - 2 * shared
+                if all_pairs:
+                    missing = np.setdiff1d(y, x, assume_unique=True)
+                    shared = len(y) - len(missing)
+                    lacks[i] = np.minimum(np.bincount((missing >> np.uint64(59)).astype(np.int64), minlength=PARTS), 127)
+                else:
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                besides[i] = len(x) - shared
                 alike[i] = shared * 100 >= percent * (len(x) + len(y) - shared)
             at = pa.array(np.arange(batch.num_rows) if all_pairs else np.flatnonzero(alike))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(differs).take(at), pa.array(alike).take(at)], names=["a", "b", "differs", "alike"])
+            parts = lists(lacks.reshape(-1), np.full(batch.num_rows, lacks.shape[1], np.int64), pa.int8())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(besides).take(at), pa.array(alike).take(at), parts.take(at)], names=["a", "b", "besides", "alike", "lacks"])
 
     return run
 
@@ -137,9 +146,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        group of edited copies. Components are formed. Lists that still hold several components are compared in pairs,
        each pair once, without those that can't be similar. First, a value that no other node has is in no other set,
        so sizes and numbers of such values bound what two sets share. Second, two sets differ just where their
-       differences from a common centre differ; these sizes are known, and what they may have in common is bounded by
-       the values that aren't a node's own. So the many edited copies of one original, too far from it to be linked,
-       aren't compared with each other. A pair left is dropped by the estimate from the union of the sketches, six
+       differences from a common centre differ: in what they have besides it, of which they may share what isn't a
+       node's own, and in what they lack of it, which differs by as much at least as its counts in each of PARTS parts.
+       So the many edited copies of one original, too far from it to be linked, aren't compared with each other. A pair left is dropped by the estimate from the union of the sketches, six
        standard errors off, or else confirmed on full sets.
 
     component_id is the least id reachable, itself included; kept says whether the id is that one (a repeated id is
@@ -172,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compared(pairs: DataFrame, all_pairs: bool) -> DataFrame:
         one = pairs.join(full.withColumnsRenamed({"mark": "a", "full": "full_a"}), "a").join(full.withColumnsRenamed({"mark": "b", "full": "full_b"}), "b")
-        return settled(one.select("a", "b", "full_a", "full_b").mapInArrow(_compared(similarity, k, all_pairs), "a bigint, b bigint, differs bigint, alike boolean"))
+        return settled(one.select("a", "b", "full_a", "full_b").mapInArrow(_compared(similarity, k, all_pairs), "a bigint, b bigint, besides bigint, alike boolean, lacks array<tinyint>"))
 
     # a star: each node with the heaviest node of a list, that of most of its lists
     heaviest = settled(posted.groupBy("value").agg(F.max_by("mark", F.struct("weight", "mark")).alias("centre"), F.max("weight").alias("of")))
@@ -185,19 +194,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = posted.join(roots, posted["mark"] == roots["node"], "left").select("value", "mark", F.coalesce("root", "mark").alias("root"))
     mixed = settled(placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("value"))
     left = settled(placed.join(mixed, "value", "left_semi"))
-    star = stars.select(F.col("a").alias("mark"), F.col("b").alias("centre"), "differs")
+    star = stars.select(F.col("a").alias("mark"), F.col("b").alias("centre"), "besides", "lacks")
     here = left.select("mark").distinct()
     some = full.join(here.union(star.join(here, "mark", "left_semi").select("centre")).distinct(), "mark", "left_semi")
     own = some.select("mark", F.explode("full").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("times"), F.max("mark").alias("mark")).where("times = 1").groupBy("mark").agg(F.count(F.lit(1)).alias("own"))
     bounds = some.select("mark", F.size("full").alias("n")).join(own, "mark", "left").join(star, "mark", "left")
-    bounds = bounds.select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("centre", "mark").alias("centre"), F.coalesce("differs", F.lit(0)).alias("differs"))
+    nothing = F.array_repeat(F.lit(0).cast("tinyint"), PARTS)
+    bounds = bounds.select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("centre", "mark").alias("centre"), F.coalesce("lacks", nothing).alias("lacks"), F.coalesce("besides", F.lit(0)).alias("besides"))
     bounds = bounds.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     listed = left.groupBy("mark", "root").agg(F.array_sort(F.collect_set("value")).alias("values")).join(bounds, "mark")
-    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "differs", "values"))
+    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "besides", "lacks", "values"))
     one, two = listed.alias("x"), listed.alias("y")
     share, either = F.least(F.expr("x.n - x.own"), F.expr("y.n - y.own")), F.greatest(F.expr("x.n + y.own"), F.expr("y.n + x.own"))
     # similar sets differ in (1 - s) / (1 + s) of the sum of their sizes at most
-    apart = F.expr(f"(x.differs + y.differs - 2 * least(x.differs - x.own, y.differs - y.own)) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
+    lacking = " + ".join(f"abs(cast(x.lacks[{i}] AS int) - y.lacks[{i}])" for i in range(PARTS))
+    apart = F.expr(f"(x.besides + y.besides - 2 * greatest(0, least(x.besides - x.own, y.besides - y.own)) + {lacking}) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
     may = (share * 100 >= either * percent) & (F.expr("x.centre != y.centre") | apart) & F.expr("x.mark != y.centre AND y.mark != x.centre")
     once = F.array_min(F.array_intersect("x.values", "y.values")) == F.col("x.value")  # of several lists the first
     pairs = one.join(two, F.expr("x.value = y.value AND x.root != y.root AND x.mark < y.mark") & may & once)
