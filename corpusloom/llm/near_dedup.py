@@ -21,6 +21,8 @@ K = 64
 SINGLES_TO, PAIRS_FROM = 20, 12
 #: Parts, by the highest bits of a value, in which it is counted what a node lacks of its centre.
 PARTS = 32
+#: Edges of a partition of a graph, at least: smaller partitions are put together, so that a round doesn't leave thousands of tiny files.
+PARTITION_EDGES = 100_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -119,12 +121,14 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is no burden, and then its root's root. Roots only fall, so it ends; each round is checkpointed.
     """
     edges = settled(edges.select("a", "b").union(edges.select("b", "a")))
-    roots = settled(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    parts = max(8, edges.count() // PARTITION_EDGES)
+    edges = edges.coalesce(parts)
+    roots = settled(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).coalesce(parts))
     while True:
         near = edges.join(roots, edges["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
         near = roots.join(near, roots["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         above = near.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        new = settled(near.join(above, near["root"] == above["up"]).select("node", "was", F.least("root", "above").alias("root")))
+        new = settled(near.join(above, near["root"] == above["up"]).select("node", "was", F.least("root", "above").alias("root")).coalesce(parts))
         if new.where("was != root").isEmpty():
             return new.select("node", "root")
         roots = new.select("node", "root")
