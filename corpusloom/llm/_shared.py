@@ -37,12 +37,18 @@ def settled(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As ``settled``, as compressed Parquet; for tables that carry texts. Deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = passing_path(spark)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, sql, suffix_array, toxicity
 from ._repeats import removed_words
-from ._shared import text_key, words_of
+from ._shared import passing_path, text_key, words_of
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = _documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    done = sharding.external_shuffle(rows, n_shards=8, size_col="size")
-    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    path = passing_path(spark)
+    sharding.write_shards(_documents(spark, sf_dir).select("doc_id", "text", size), path, "size", n_shards=8)
+    done = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    return done.select("doc_id", size, F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,12 @@ def external_shuffle(
 ) -> DataFrame:
     """Put all rows in random order and cut that order into shards whose row counts differ by one at most.
 
-    First pass: equal rows are counted (combined before the shuffle, so a row repeated without end is one row with a
-    number), each copy gets its number, and a seeded hash of row and number scatters the copies evenly into buckets
-    that fit in memory. Second pass: each bucket is sorted, so that its content alone decides, and put in order by
-    ``shuffle`` with a seed, which is Fisher-Yates. Offsets of the buckets come from sums over blocks of buckets.
+    First pass: equal rows are counted by a hash, and only if one comes twice by the rows themselves (combined before
+    the shuffle, so a row repeated without end is one row with a number); each copy gets its number, a seeded hash of
+    row and number says which bucket that fits in memory a copy falls into, and the buckets' sizes are added up over
+    blocks of buckets. Second pass: the whole rows are scattered into buckets, each is sorted, so that its content
+    alone decides, and put in order by ``shuffle`` with a seed, which is Fisher-Yates. Whole rows are shuffled once.
+    ``rows`` is read in both passes and must be the same in both. One number for each bucket is broadcast.
 
     Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard), which replace columns so named. Nulls are
     values as any other. No rows: no rows. With fewer rows than shards the last shards are empty. ``size_col`` names
@@ -34,27 +36,30 @@ def external_shuffle(
     """
     rows = rows.drop("shard", "slot")
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    held = rows.select(F.struct(*columns).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
-    held = settled(held)
+    whole = rows.select(F.struct(*columns).alias("_row"))
     size = F.coalesce(F.col("_row")[size_col].cast("long"), F.lit(0)) if size_col else F.lit(0)
-    total, size = held.agg(F.coalesce(F.sum("_copies"), F.lit(0)), F.coalesce(F.sum(size * F.col("_copies")), F.lit(0))).first()
+    keys = whole.groupBy(F.xxhash64("_row").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_size"))
+    total, size, most = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0)), F.max("_n")).first()
     n_buckets = max(1, -(-total // bucket_rows), -(-size // bucket_bytes))
 
-    copies = held.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    copies = whole.withColumn("_copy", F.lit(1))
+    if total and most > 1:
+        held = settled(whole.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")))
+        copies = held.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
     scattered = copies.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row", "_copy"), F.lit(n_buckets)))
-    # as many partitions as buckets up to a few thousand: the seed of a bucket then depends on the bucket alone
-    dealt = scattered.repartition(min(n_buckets, 4096), "_bucket")
-    lists = dealt.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "_row", "_copy").alias("_h"), "_row", "_copy"))).alias("_all"))
-    # in order of bucket within a task, so that the seed's random numbers fall to the same buckets each time
-    shuffled = settled(lists.sortWithinPartitions("_bucket").select("_bucket", F.size("_all").cast("long").alias("_n"), F.shuffle("_all", seed).alias("_all")))
-
-    counts = shuffled.select("_bucket", "_n", F.floor(F.col("_bucket") / BLOCK).alias("_block"))
+    counts = settled(scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
     within = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_block").orderBy("_bucket")) - F.col("_n"))
     blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_in_block"))
     blocks = blocks.withColumn("_blocks_before", F.sum("_in_block").over(Window.orderBy("_block")) - F.col("_in_block"))
     offsets = within.join(blocks, "_block").select("_bucket", (F.col("_before") + F.col("_blocks_before")).alias("_offset"))
 
-    placed = shuffled.join(offsets, "_bucket").select("_offset", F.posexplode("_all").alias("_pos", "_one"))
+    # as many partitions as buckets up to a few thousand: the seed of a bucket then depends on the bucket alone
+    parts = min(n_buckets, 4096)
+    dealt = scattered.withColumn("_part", F.floor(F.col("_bucket") * parts / n_buckets).cast("int")).repartitionById(parts, "_part")
+    lists = dealt.groupBy("_part", "_bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "_row", "_copy").alias("_h"), "_row", "_copy"))).alias("_all"))
+    # in order of bucket within a task, so that the seed's random numbers fall to the same buckets each time
+    shuffled = lists.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_all", seed).alias("_all"))
+    placed = shuffled.join(F.broadcast(offsets), "_bucket").select("_offset", F.posexplode("_all").alias("_pos", "_one"))
     place = F.col("_offset") + F.col("_pos")
     each, more = total // n_shards, total % n_shards  # the first `more` shards have one row more
     edge = more * (each + 1)
@@ -64,7 +69,11 @@ def external_shuffle(
     return placed.withColumn("slot", F.col("_place") - start).drop("_place")
 
 
-def write_shards(rows: DataFrame, path: str, **options) -> None:
-    """``external_shuffle`` written as Parquet under ``path``, one folder a shard, rows in their order."""
-    done = external_shuffle(rows, **options)
-    done.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, path: str, size_col: str, **options) -> None:
+    """``external_shuffle`` written as Parquet under ``path``, one folder a shard, files and rows in their order.
+
+    ``size_col`` names the bytes of a row, so that a bucket of long rows fits in memory too. Tasks hold buckets in
+    order and write them as they are, without another shuffle.
+    """
+    done = external_shuffle(rows, size_col=size_col, **options)
+    done.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

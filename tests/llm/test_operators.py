@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, suffix_array, toxicity
+from corpusloom.llm import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, queries, recompression, sharding, suffix_array, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, k string, value long"
@@ -241,6 +241,23 @@ def test_sharding(docs, rows, none, bucket_rows):
     assert sharding.external_shuffle(docs.limit(3)).count() == 3
 
 
+def test_sharding_writes_texts(spark, rows, tmp_path, monkeypatch):
+    """Shards hold the whole records, in order of files and rows; the query derives its columns from them."""
+    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    paths = []
+    monkeypatch.setattr(queries, "passing_path", lambda _: paths.append(f"{tmp_path}/shards") or paths[-1])
+    got = queries.op9_sharding(spark, f"{tmp_path}/sf").collect()
+    size = lambda t: len((t or "").encode())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], size(r[1]) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    shards = spark.read.parquet(paths[0])
+    assert Counter((r["doc_id"], r["text"]) for r in shards.collect()) == Counter((r[0], r[1]) for r in rows)
+    texts = spark.createDataFrame(rows, KIND).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sharding.write_shards(texts, f"{tmp_path}/small", "n", n_shards=3, bucket_bytes=4096)
+    for shard in range(3):
+        slots = [r["slot"] for name in sorted((tmp_path / "small" / f"shard={shard}").glob("*.parquet")) for r in spark.read.parquet(str(name)).collect()]
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 3, len(rows) // 3 + 1)
+
+
 def test_line_dedup(spark, docs, none):
     r = random.Random(3)
     junk, lines = "Subscribe to our letter today", []
