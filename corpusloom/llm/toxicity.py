@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ._words import Words, mix, pieces, words
 
@@ -22,8 +23,8 @@ WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
 RUNS = (3, 4, 5)
 #: Labelled documents that the network learns from: at most so many of each label, those of least hash of their id.
 TRAIN_PER_LABEL = 1000
-#: Words of a training document that are read, at most, so that what the driver holds is bounded; scores read whole texts.
-TRAIN_WORDS = 1024
+#: Bytes of the texts of a label from which no further document is taken, so that what the driver holds is bounded; each is read whole.
+TRAIN_BYTES = 8 << 20
 EPOCHS, RATE, SEED = 4, 0.01, 7
 #: Rows of the tables that fewer training documents use stay zero, in training and in scores: they tell nothing yet.
 LEAST_DOCS = 3
@@ -292,7 +293,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: bool = True) -> tuple[Network, float]:
-    """A network trained on the driver from a bounded sample: TRAIN_PER_LABEL documents of each label, of each the text up to TRAIN_WORDS words' worth of characters.
+    """A network trained on the driver from a bounded sample: TRAIN_PER_LABEL documents of each label, fewer once their whole texts reach TRAIN_BYTES.
 
     With ``held_out`` documents whose crc32 of the id has remainder 0 by 5 are never looked at.
     """
@@ -304,8 +305,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(order, id_col).limit(TRAIN_PER_LABEL)
         chosen = some if chosen is None else chosen.union(some)
-    head = F.substring(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 1, TRAIN_WORDS * 8)
-    rows = docs.select(F.col(f"`{id_col}`"), head.alias("_t")).join(F.broadcast(chosen), id_col).groupBy(id_col, "_y").agg(F.max("_t").alias("_t")).orderBy(order, id_col).collect()
+    chosen = F.broadcast(chosen)
+    texts = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    sizes = texts.select(id_col, F.octet_length("_t").cast("long").alias("_n")).join(chosen, id_col).groupBy(id_col, "_y").agg(F.max("_n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_y").orderBy(order, id_col)) - F.col("_n")
+    fits = sizes.withColumn("_before", before).where(F.col("_before") < TRAIN_BYTES).select(id_col, "_y")
+    rows = texts.join(F.broadcast(fits), id_col).groupBy(id_col, "_y").agg(F.max("_t").alias("_t")).orderBy(order, id_col).collect()
     return train([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
 
 

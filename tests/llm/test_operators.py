@@ -301,6 +301,29 @@ def test_toxicity(spark):
     assert toxicity.score(docs, nothing).count() == 303
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    """Passages after character 8192 teach, and long clean texts stay clean; the bound on bytes takes fewer, whole texts."""
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(160):
+        w = [r.choice(vocab) for _ in range(1600 if i % 2 else 40)]
+        y = int(i % 4 == 1)
+        w[1500:1500] = ["vilestuff", "nastyone", "vilething"] * y
+        texts.append((i, " ".join(w)))
+        labels.append((i, y))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x["doc_id"]: x["score"] >= 0.5 for x in toxicity.score(docs, toxicity.learn(docs, known)).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == bool(y) for i, y in held) >= 0.9 * len(held)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.extend(t))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 50_000)
+    toxicity.learn(docs, known)
+    assert 0 < len(seen) < 128 and set(seen) <= {t for _, t in texts}
+
+
 def test_gradients():
     """Backward passes against differences."""
     import numpy as np
