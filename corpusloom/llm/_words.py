@@ -95,6 +95,15 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(np.searchsorted(start, offsets), hashed, start, end, data)
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of stretches of ``data``, none of them empty, as ``words`` gives them to words of the same bytes."""
+    length = end - start
+    begin = np.cumsum(length) - length
+    place = np.arange(length.sum()) - np.repeat(begin, length)
+    value = (_LOWER if lower else _BYTE)[data[np.repeat(start, length) + place]] * powers(int(_BASE), int(length.max()) + 1)[place]
+    return mix(np.add.reduceat(value, begin) + length.astype(np.uint64))
+
+
 class Running:
     """Hashes of runs of words, each run in a step, from sums over all words."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._words import Words, mix, pieces, words
+from ._words import Words, hashes, mix, pieces, words
 
 #: Words of a window, and from one window's start to the next: neighbours overlap, so each phrase is whole in one.
 WINDOW, STRIDE = 64, 48
@@ -19,8 +19,10 @@ WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, STATE = 8, 8, 8
 #: Rows of the tables of words and of character runs; hashes choose the row.
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
-#: Characters of a run; the first runs of a word and all its inner ones are looked up.
+#: Bytes of a run; the first runs of a word and all its inner ones are looked up.
 RUNS = (3, 4, 5)
+#: Bytes of a part of a word, and from one part's start to the next: longer words are several steps of a window, and each run is whole in a part.
+PART, PART_STRIDE = 48, 32
 #: Labelled documents that the network learns from: at most so many of each label, those of least hash of their id.
 TRAIN_PER_LABEL = 1000
 #: Bytes of the texts of a label from which no further document is taken, so that what the driver holds is bounded; each is read whole.
@@ -123,10 +125,28 @@ class Network:
         return g, d_x
 
 
+def steps(texts: pa.Array) -> Words:
+    """The words of ``texts`` in lower case, those longer than PART bytes as overlapping parts; a word can be a whole text where nothing is blank."""
+    w = words(texts, lower=True)
+    length = w.end - w.start
+    if not len(length) or length.max() <= PART:
+        return w
+    n = np.where(length > PART, -(-(length - PART) // PART_STRIDE) + 1, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = w.start[of] + place * PART_STRIDE
+    end = np.minimum(start + PART, w.end[of])
+    hashed, cut = w.hash[of], n[of] > 1
+    hashed[cut] = hashes(w.data, start[cut], end[cut], lower=True)
+    hashed[place > 0] = mix(hashed[place > 0] + np.uint64(1))  # another than a word of the same bytes
+    return Words(np.concatenate([[0], np.cumsum(n)])[w.first], hashed, start, end, w.data)
+
+
 def vocabulary(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row of each distinct word, rows of character runs, the distinct word of each run, the distinct word of each word)."""
     distinct, first, of = np.unique(w.hash, return_index=True, return_inverse=True)
-    start, length = w.start[first], np.minimum(w.end[first] - w.start[first], 48)
+    start, length = w.start[first], w.end[first] - w.start[first]
+    inner = np.concatenate([[False], w.start[1:] < w.end[:-1]])[first]  # a part that isn't the first overlaps the one before
     rows, owner = [], []
     fold = w.data.astype(np.uint64)
     fold[(w.data >= 65) & (w.data <= 90)] += np.uint64(32)
@@ -138,7 +158,7 @@ def vocabulary(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         value = np.zeros(len(at), np.uint64)
         for j in range(n):
             value = value * np.uint64(257) + fold[at + j]
-        value = value * np.uint64(2) + (place == 0)  # a run at the beginning is another than the same inside
+        value = value * np.uint64(2) + ((place == 0) & ~inner[own])  # a run at the beginning of a word is another than the same inside
         rows.append((mix(value) % np.uint64(CHAR_ROWS)).astype(np.int32))
         owner.append(own.astype(np.int32))
     owner, rows = np.concatenate(owner), np.concatenate(rows)
@@ -231,7 +251,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     for c in (0, 1):
         own = order.permutation(np.flatnonzero(y == c))
         back[own[:len(own) // 5 if len(own) >= 50 else 0]] = True
-    held = [words(pa.array([t]), lower=True) for t in texts]
+    held = [steps(pa.array([t])) for t in texts]
     seen = [vocabulary(w) for w in held]
     cuts = [windows(w) for w in held]
     fit = np.array([i for i in np.flatnonzero(~back) if len(cuts[i][0])])
@@ -331,7 +351,7 @@ def score(docs: DataFrame, model: tuple[Network, float], text_col: str = "text")
         for batch in batches:
             texts = batch.column(cols.index(text_col))
             for lo, hi in pieces(texts):
-                top = top_logits(*window_logits(own, words(texts.slice(lo, hi - lo), lower=True)), hi - lo)
+                top = top_logits(*window_logits(own, steps(texts.slice(lo, hi - lo))), hi - lo)
                 made = 1 / (1 + np.exp(-(top + moved)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(made, pa.float64())], names=[*cols, "score"])
 

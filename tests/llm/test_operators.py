@@ -324,6 +324,30 @@ def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     assert 0 < len(seen) < 128 and set(seen) <= {t for _, t in texts}
 
 
+def test_toxicity_of_unspaced_texts():
+    """Every run of a long word is looked up, and toxic content at the end of an unspaced text counts."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    sign = lambda: "".join(chr(0x4E00 + r.randrange(400)) for _ in range(r.randint(60, 400)))
+    y = [int(i % 3 == 0) for i in range(240)]
+    texts = [sign() + "龘靐齉" * v for v in y]
+    model = toxicity.train(texts[:180], y[:180])
+    net, shift = model
+    right = [(toxicity.top_logits(*toxicity.window_logits(net, toxicity.steps(pa.array([t]))), 1)[0] + shift >= 0) == bool(v) for t, v in zip(texts[180:], y[180:], strict=True)]
+    assert sum(right) >= 0.9 * len(right)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3001))
+    w = toxicity.steps(pa.array(["x" * 48, f"ab {long} cd", None, long[:49]]))
+    assert list(w.first[1:] - w.first[:-1]) == [1, 2 + -(-(3001 - 48) // 32) + 1, 0, 2]
+    runs = lambda t: set(toxicity.vocabulary(toxicity.steps(pa.array([t])))[1].tolist())
+    want = set()
+    for k in range(0, 3001 - 4):
+        want |= runs("_" + long[k:k + 5]) - runs("_" + long[k:k + 4]) if k % 300 == 7 else set()
+    assert want <= runs("_" + long)
+    spaced = pa.array(["Some words of usual length", "and more"])
+    assert (toxicity.steps(spaced).hash == toxicity.words(spaced, lower=True).hash).all()
+
+
 def test_gradients():
     """Backward passes against differences."""
     import numpy as np
