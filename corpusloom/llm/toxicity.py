@@ -13,8 +13,8 @@ from pyspark.sql import Window
 
 from ._words import Words, hashes, mix, pieces, words
 
-#: Words of a window, and from one window's start to the next: neighbours overlap, so each phrase is whole in one.
-WINDOW, STRIDE = 64, 48
+#: Words of a window, and from one window's start to the next: neighbours share half, so each phrase of up to 33 words is whole in one.
+WINDOW, STRIDE = 64, 32
 #: Numbers that a word, its characters and the state of one direction have.
 WORD_DIM, CHAR_DIM, STATE = 8, 8, 8
 #: Rows of the tables of words and of character runs; hashes choose the row.

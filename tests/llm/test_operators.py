@@ -348,6 +348,17 @@ def test_toxicity_of_unspaced_texts():
     assert (toxicity.steps(spaced).hash == toxicity.words(spaced, lower=True).hash).all()
 
 
+def test_windows_hold_phrases_whole():
+    """A passage of 33 words is whole in some window wherever it is laid, and windows stay in their text."""
+    import pyarrow as pa
+
+    for n in (1, 33, 63, 64, 65, 96, 97, 300):
+        start, size, doc = toxicity.windows(toxicity.words(pa.array(["x " * 5, "w " * n])))
+        own = [(a - 5, a - 5 + k) for a, k, d in zip(start, size, doc, strict=True) if d == 1]
+        assert own[0][0] == 0 and own[-1][1] == n and all(0 <= a < b <= n for a, b in own)
+        assert all(any(a <= i and i + 33 <= b for a, b in own) for i in range(n - 32))
+
+
 def test_gradients():
     """Backward passes against differences."""
     import numpy as np
