@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, token_sort_ratio
+from ..functions.text import sort_tokens, squeeze, token_sort_ratio
 from ..sources.durable import settled
 
 ACT_SCORE, JUDGE_SCORE = 85, 82
@@ -24,19 +24,39 @@ def judge_key(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(k, r",?\s*\b(c\.?j\.?i?|jj?)\.?\s*$", ""), r"[.,]", " "))
 
 
+def _bounded(df: DataFrame, key: str, side: str) -> DataFrame:
+    """``df`` with the ordered words' length and its characters, each numbered among its likes, for ``_could_score``."""
+    chars = F.array_sort(F.filter(F.split(sort_tokens(F.col(key)), ""), lambda c: c != ""))
+    df = df.withColumn(f"_c{side}", chars)
+    numbered = F.transform(f"_c{side}", lambda c, i: F.concat(c, (i + 1 - F.array_position(f"_c{side}", c)).cast("string")))
+    return df.withColumn(f"_c{side}", numbered).withColumn(f"_n{side}", F.size(f"_c{side}"))
+
+
+def _could_score(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """All pairs of rows made by ``_bounded`` but those that can't score ``least``.
+
+    The score is 200 * common / both lengths. What is common is no longer than the shorter text, which bounds the
+    lengths that are joined, and no more than the characters that both have, counted with their repeats.
+    """
+    slack = 1e-6
+    shortest = F.ceil(F.col("_na") * (least / (200 - least)) - slack).cast("int")
+    longest = F.floor(F.col("_na") * ((200 - least) / least) + slack).cast("int")
+    pairs = a.withColumn("_nb", F.explode(F.sequence(shortest, longest))).join(b, "_nb")
+    return pairs.where(F.size(F.array_intersect("_ca", "_cb")) * 200 + slack >= (F.col("_na") + F.col("_nb")) * least)
+
+
 def matched(names: DataFrame, registry: DataFrame, key, least: float, keep: bool = True) -> DataFrame:
     """(name, canonical, score): the registry entry most like each distinct name, if it scores ``least`` or more.
 
-    Exact keys are joined; only the rest is compared, with entries that share a word, as names without a common word
-    score low. The score is token order's likeness, 0 to 100; ties go to the least key. ``keep``: names without a match
+    Exact keys are joined; the rest is compared with all entries but those that length or letters keep below ``least``.
+    The score is token order's likeness, 0 to 100; ties go to the least key. ``keep``: names without a match
     stand for themselves, else they are left out.
     """
     n = names.select("name").distinct().withColumn("key", key(F.col("name")))
     r = registry.select(F.col("key").alias("rkey"), "canonical")
     exact = n.join(r, n["key"] == r["rkey"]).select("name", "canonical", F.lit(100.0).alias("score"))
     rest = n.join(exact.select("name"), "name", "left_anti")
-    words = lambda df, k: df.withColumn("_w", F.explode(F.array_distinct(F.filter(F.split(F.col(k), " "), lambda w: F.length(w) > 2))))
-    pairs = words(rest, "key").join(words(r, "rkey"), "_w").select("name", "key", "rkey", "canonical").distinct()
+    pairs = _could_score(_bounded(rest, "key", "a"), _bounded(r, "rkey", "b"), least).select("name", "key", "rkey", "canonical")
     scored = pairs.withColumn("score", token_sort_ratio(F.col("key"), F.col("rkey"))).where(F.col("score") >= least)
     best = scored.groupBy("name").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", "rkey")).alias("b")).select("name", "b.canonical", F.round("b.score", 3).alias("score"))
     found = exact.union(best)
@@ -53,9 +73,9 @@ def normalised_lists(rows: DataFrame, id_col: str, list_col: str, matches: DataF
 
 
 def likely_pairs(names: DataFrame, least: float = ABSORB) -> DataFrame:
-    """(a, b, score) of distinct names that share a word and are alike; each pair once, a < b."""
-    n = names.select("name").distinct().withColumn("_w", F.explode(F.array_distinct(F.split(F.lower("name"), " "))))
-    p = n.select(F.col("name").alias("a"), "_w").join(n.select(F.col("name").alias("b"), "_w"), "_w").where("a < b").select("a", "b").distinct()
+    """(a, b, score) of distinct names that are alike, of all pairs; each pair once, a < b."""
+    n = names.select("name").distinct()
+    p = _could_score(_bounded(n.select(F.col("name").alias("a")), "a", "a"), _bounded(n.select(F.col("name").alias("b")), "b", "b"), least).where("a < b").select("a", "b")
     return p.withColumn("score", token_sort_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
 
 

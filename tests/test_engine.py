@@ -193,3 +193,30 @@ def test_query_matches_its_sql(spark, sf, name):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         other = con.sql(sql)
         assert sorted(other.columns) == sorted(got.columns) and len(other.fetchall()) == rows
+
+
+def test_registry_compares_all_pairs(spark):
+    """Names without a common word are found; scores equal those of all pairs."""
+    names = ["evidance", "evidence", "chandrachood d y", "chandrachud d y", "d y chandrachud", "sale code", "sales codes", "aab", "abb", "contract act", "contracts acts", "x", "", "unlike"]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+        return row[-1]
+
+    def likeness(a, b):
+        x, y = (" ".join(sorted(n.split())) for n in (a, b))
+        return 200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0
+
+    t = spark.createDataFrame([(n,) for n in names], "name string")
+    for least in (60, 75, 82, 88):
+        want = {(a, b): likeness(a, b) for a in names for b in names if a < b and likeness(a, b) >= least}
+        got = {(r["a"], r["b"]): r["score"] for r in registry.likely_pairs(t, least).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    reg = spark.createDataFrame([("evidence", "Evidence"), ("chandrachud d y", "D. Y. Chandrachud")], "key string, canonical string")
+    asked = spark.createDataFrame([("Evidance",), ("Chandrachood D. Y.",), ("unlike",)], "name string")
+    found = {r["name"]: (r["canonical"], r["score"]) for r in registry.matched(asked, reg, registry.judge_key, registry.JUDGE_SCORE, keep=False).collect()}
+    assert found == {"Evidance": ("Evidence", 87.5), "Chandrachood D. Y.": ("D. Y. Chandrachud", 90.323)}
