@@ -2,7 +2,8 @@
 
 Each window of n words gets an anchor: a place in it that its words alone decide, so that equal windows have equal
 anchors. How anchors are chosen is the operators' own affair. Texts that share an anchor's key with another text, or
-have it at two places, go on; of these the windows at shared anchors are compared, and only these.
+have it at two places, go on; what stands at shared anchors is compared by the operators, each in its way, and the
+windows that they find are cut out here.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settled, stored, text_key, words_of
-from ._words import Running, Words, lists, mix, pieces, words
+from ._shared import free, others, settled, stored, text_key, words_of
+from ._words import Running, Words, pieces, words
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -66,34 +67,15 @@ def _keys(n: int, find: Finder):
     return run
 
 
-def _windows(n: int, find: Finder):
-    """(hash, check, k, start) of each window whose anchor key is among the text's shared ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text_keys, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            values, offsets = shared.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.offsets.to_numpy()
-            for lo, hi in pieces(batch.column(1)):
-                w = words(batch.column(1).slice(lo, hi - lo))
-                starts, doc = window_starts(w, n)
-                if not len(starts):
-                    continue
-                run_ = Running(w.hash)
-                found = find(w, run_, starts, n)
-                good = np.zeros(len(starts), bool)
-                bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for d in range(hi - lo):
-                    own = slice(bounds[d], bounds[d + 1])
-                    good[own] = np.isin(found.key[own], values[offsets[lo + d]:offsets[lo + d + 1]])
-                at, of = starts[good], doc[good]
-                # a second hash of the same words, by other values of the words
-                check = Running(mix(w.hash ^ np.uint64(0x5DEECE66D))).of(at, at + n) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_.of(at, at + n).view(np.int64)), pa.array(check.astype(np.int32)), pa.array(text_keys[lo:hi][of]), pa.array((at - w.first[of]).astype(np.int32))],
-                    names=["hash", "check", "k", "start"],
-                )
-
-    return run
+def at_shared(found: Anchored, doc: np.ndarray, shared: pa.ListArray, lo: int, hi: int) -> np.ndarray:
+    """Which windows have an anchor whose key is among those that their text shares; ``shared``: the keys of each text of the batch."""
+    values, offsets = shared.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.offsets.to_numpy()
+    good = np.zeros(len(found.key), bool)
+    bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+    for d in range(hi - lo):
+        own = slice(bounds[d], bounds[d + 1])
+        good[own] = np.isin(found.key[own], values[offsets[lo + d]:offsets[lo + d + 1]])
+    return good
 
 
 def spans_of(starts: np.ndarray, n: int) -> np.ndarray:
@@ -105,19 +87,18 @@ def spans_of(starts: np.ndarray, n: int) -> np.ndarray:
     return np.stack([starts[new], ends], 1)
 
 
-def _cut(n: int):
-    """(k, n_removed, spans, kept) of each text with its repeated windows."""
+def _cut(n: int, starts_of: Callable[[pa.Array], np.ndarray]):
+    """(k, n_removed, spans, kept) of each text with its repeated windows, of which ``starts_of`` tells the first words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2)
-            values, offsets = at.values.to_numpy(zero_copy_only=False), at.offsets.to_numpy()
+            found, offsets = batch.column(2).values, batch.column(2).offsets.to_numpy()
             for lo, hi in pieces(batch.column(1)):
                 w = words(batch.column(1).slice(lo, hi - lo))
                 data = w.data.tobytes()
                 removed, spans, kept = [], [], []
                 for d in range(hi - lo):
-                    cut = spans_of(values[offsets[lo + d]:offsets[lo + d + 1]], n)
+                    cut = spans_of(starts_of(found.slice(offsets[lo + d], offsets[lo + d + 1] - offsets[lo + d])), n)
                     first, last = int(w.first[d]), int(w.first[d + 1])
                     stay = np.ones(last - first, bool)
                     for a, b in cut:
@@ -132,31 +113,32 @@ def _cut(n: int):
     return run
 
 
-def repeated(docs: DataFrame, text_col: str, n: int, find: Finder) -> DataFrame:
-    """(k, whole, n_removed, spans, kept) of each distinct text, by its ``text_key``, with a window found twice or more.
-
-    ``whole``: the text itself occurs twice or more, so all its words are covered if it has a window at all; the other
-    columns may be null then. Else spans (in words), their words and the rest, joined by one space.
+def affected(docs: DataFrame, text_col: str, n: int, find: Finder) -> DataFrame:
+    """(k, t, keys) of each distinct text, by its ``text_key``, that shares keys of anchors with others or has one twice.
 
-    Only keys of anchors travel at first. They are combined before the shuffle, so that a passage that a third of the
-    texts have is one row of each task. Equal texts count as one until the end. Two texts that share the 64-bit key of
-    a text are taken for one: a chance of one in 10 billion for each text of 1 billion. Windows are compared by 95
-    bits of hash.
+    Only keys travel at first. They are combined before the shuffle, so that a passage that a third of the texts have
+    is one row of each task. Equal texts count as one. Two texts that share the 64-bit key of a text are taken for one:
+    a chance of one in 10 billion for each text of 1 billion.
     """
     keyed = docs.select(text_key(text_col).alias("k"), F.col(f"`{text_col}`").alias("t"))
-    anchors = keyed.mapInArrow(_keys(n, find), "key bigint, k bigint, twice boolean")
+    anchors = stored(keyed.mapInArrow(_keys(n, find), "key bigint, k bigint, twice boolean"))
     shared = anchors.groupBy("key").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.max("twice").alias("twice")).where("twice or k0 != k1").select("key")
     shared = settled(shared)  # read by the join from storage, so that a key of very many texts can be split there
     hits = anchors.join(shared, "key", "left_semi").groupBy("k").agg(F.collect_list("key").alias("keys"))
     hits = hits.withColumn("keys", F.array_distinct("keys"))
     texts = keyed.groupBy("k").agg(F.first("t").alias("t"))
-    affected = stored(texts.join(hits, "k").select("k", "t", "keys"))
+    return stored(texts.join(hits, "k").select("k", "t", "keys"))
 
-    windows = affected.mapInArrow(_windows(n, find), "hash bigint, check int, k bigint, start int")
-    again = windows.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check")
-    again = settled(again)
-    starts = windows.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
-    cut = affected.select("k", "t").join(starts, "k").mapInArrow(_cut(n), f"k bigint, n_removed bigint, spans {SPANS}, kept string")
+
+def repeats_of(docs: DataFrame, text_col: str, n: int, texts: DataFrame, found: DataFrame, starts_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """(k, whole, n_removed, spans, kept) of each distinct text with a window found twice or more.
+
+    ``texts``: as ``affected`` gives them; ``found``: (k, list) of those with repeated windows, whose first words
+    ``starts_of`` reads from a list. ``whole``: the text itself occurs twice or more, so all its words are covered if
+    it has a window at all; the other columns may be null then. Else spans (in words), their words and the rest, joined
+    by one space.
+    """
+    cut = texts.select("k", "t").join(found, "k").mapInArrow(_cut(n, starts_of), f"k bigint, n_removed bigint, spans {SPANS}, kept string")
     copied = docs.select(text_key(text_col).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k", F.lit(True).alias("whole"))
     return cut.join(copied, "k", "full_outer").select("k", F.coalesce("whole", F.lit(False)).alias("whole"), "n_removed", "spans", "kept")
 
@@ -168,16 +150,16 @@ def removed_words(n: int, n_words: Column) -> Column:
 
 def cut_texts(docs: DataFrame, found: DataFrame, text_col: str, n: int) -> DataFrame:
     """``docs`` with repeated windows cut out: a changed text is its kept words joined by one space; adds n_words, n_removed, spans."""
-    made = ("n_words", "n_removed", "spans")
-    docs = docs.drop(*made)
-    found = found.select(F.col("k").alias("_k"), *[c for c in found.columns if c != "k"])
-    joined = docs.withColumn("_own", text_key(text_col)).join(found.withColumnsRenamed({c: f"_{c}" for c in ("whole", "n_removed", "spans", "kept")}), F.col("_own") == F.col("_k"), "left")
+    docs = docs.select(*[F.col(f"`{c}`") for c in others(docs, "n_words", "n_removed", "spans")])
+    key, own, whole, removed, spans, kept = free(docs, "_k", "_own", "_whole", "_n_removed", "_spans", "_kept")
+    found = settled(found.select(F.col("k").alias(key), F.col("whole").alias(whole), F.col("n_removed").alias(removed), F.col("spans").alias(spans), F.col("kept").alias(kept)))
+    joined = docs.withColumn(own, text_key(text_col)).join(found, F.col(own) == F.col(key), "left")
     n_words = F.size(words_of(text_col)).cast("long")
-    whole = F.coalesce("_whole", F.lit(False)) & (n_words >= n)
-    text = F.when(whole, "").when(F.coalesce("_n_removed", F.lit(0)) > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
+    all_go = F.coalesce(whole, F.lit(False)) & (n_words >= n)
+    text = F.when(all_go, "").when(F.coalesce(removed, F.lit(0)) > 0, F.col(kept)).otherwise(F.col(f"`{text_col}`"))
     everything = F.array(F.struct(F.lit(0).alias("start"), n_words.cast("int").alias("end")))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_words.alias("n_words"),
-        F.when(whole, n_words).otherwise(F.coalesce("_n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, everything).otherwise(F.coalesce("_spans", F.array().cast(SPANS))).alias("spans"),
+        F.when(all_go, n_words).otherwise(F.coalesce(removed, F.lit(0))).cast("long").alias("n_removed"),
+        F.when(all_go, everything).otherwise(F.coalesce(spans, F.array().cast(SPANS))).alias("spans"),
     )

@@ -59,12 +59,30 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def text_key(text: str | Column) -> Column:
     """64-bit key of a text; null and empty texts share one."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit("")))
 
 
 def words_of(text: str | Column) -> Column:
     """The words of a text; null has none."""
-    return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def others(docs: DataFrame, *made: str) -> list[str]:
+    """The columns of ``docs`` but those named as in ``made``, in whatever case: results replace them."""
+    names = {m.lower() for m in made}
+    return [c for c in docs.columns if c.lower() not in names]
+
+
+def free(docs: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, each with as many underscores before it as keep it apart from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def let(value: Column, body) -> Column:

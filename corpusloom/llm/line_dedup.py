@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, settled, text_key
+from ._shared import WORD, free, others, settled, stored, text_key
 
 #: Sites from which a line can be boilerplate.
 MIN_SITES = 10
-#: Distinct surroundings a site of boilerplate has for each distinct text with the line, in hundredths, at least.
-MIN_CONTEXTS = 50
-#: Characters of the line before and of the line after that make up a surrounding.
-REACH = 24
-#: Estimates within this part of a threshold, in hundredths, are counted exactly; twelve standard errors of the sketch.
+#: A text bears witness to boilerplate if spread lines hold so many hundredths of its letters at most.
+MOST_SPREAD = 50
+#: Estimates within this part of the threshold, in hundredths, are counted exactly; twelve standard errors of the sketch.
 BAND = 20
-#: Parts into which the places of a line are dealt for exact counts.
-SALTS = 16
 #: Sketches have 2**LG_K registers.
 LG_K = 12
 
@@ -25,64 +21,71 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_spread(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``line_hash`` of each boilerplate line: found at ``min_sites`` sites or more, in surroundings of its own.
+def _lines_of_texts(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
+    """(line_hash, k, site, chars, total) of each line with a word of each distinct text ``k``.
+
+    ``site`` is the least of the text's sites, so that however many copies it has it speaks for one; ``chars`` and
+    ``total`` are the lengths of the line and of all such lines of the text. Copies are combined before the shuffle.
+    """
+    lines = F.filter(F.array_distinct(_lines(F.col(f"`{text_col}`"))), lambda line: line.rlike(WORD))
+    each = docs.select(text_key(text_col).alias("k"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), lines.alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.length(line))
+    each = each.select("k", "site", total.alias("total"), F.explode("lines").alias("line"))
+    each = each.select(F.xxhash64("line").alias("line_hash"), "k", "site", F.length("line").cast("long").alias("chars"), "total")
+    return each.groupBy("line_hash", "k").agg(F.min("site").alias("site"), F.max("chars").alias("chars"), F.max("total").alias("total"))
 
-    For each line with a word two HyperLogLog sketches are built and merged by aggregation: of the sites, and of the
-    surroundings (end of the line before, start of the next). Lines whose estimate is clearly below a threshold end
-    there; those clearly above pass; those near one get exact distinct counts. The surroundings tell boilerplate,
-    which stands between other lines each time, from lines of copied documents, whose neighbours are copied too: at
-    least MIN_CONTEXTS hundredths as many surroundings as distinct texts are asked for. A null site is a site.
+
+def widespread(rows: DataFrame, min_sites: int) -> DataFrame:
+    """``line_hash`` of the lines of ``rows`` (line_hash, site) at ``min_sites`` sites or more.
+
+    A HyperLogLog sketch for each line, merged by aggregation; lines clearly below the threshold end there, those
+    clearly above it pass, and those near it get exact distinct counts, in two steps that combine before the shuffle.
     """
-    lines = _lines(F.col(text_col))
-    each = docs.select(text_key(text_col).alias("k"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0null")).alias("site"), lines.alias("lines"))
-    each = each.select(
-        "k", "site",
-        F.explode(F.arrays_zip(
-            F.col("lines").alias("line"),
-            F.concat(F.array(F.lit("")), F.slice("lines", 1, F.size("lines") - 1)).alias("prev"),
-            F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit(""))).alias("next"),
-        )).alias("at"),
-    ).where(F.col("at.line").rlike(WORD))
-    each = each.select(
-        F.xxhash64("at.line").alias("line_hash"), "k", "site",
-        F.xxhash64(F.right("at.prev", F.lit(REACH)), F.left("at.next", F.lit(REACH))).alias("context"),
-    )
-    sketches = each.groupBy("line_hash").agg(
-        F.hll_sketch_agg("site", LG_K).alias("sites"), F.hll_sketch_agg("context", LG_K).alias("contexts"), F.hll_sketch_agg("k", LG_K).alias("texts"),
-    )
-    guess = sketches.select("line_hash", *(F.hll_sketch_estimate(c).alias(c) for c in ("sites", "contexts", "texts")))
-    low, high = 1 - BAND / 100, 1 + BAND / 100
-    ratio = F.col("contexts") * 100 / F.col("texts")
-    guess = settled(guess.where((F.col("sites") >= min_sites * low) & (ratio >= MIN_CONTEXTS * low)))
-    sure = (F.col("sites") >= min_sites * high) & (ratio >= MIN_CONTEXTS * high)
-    # a line at very many places is dealt to SALTS tasks
-    near = guess.where(~sure).select("line_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    exact = each.withColumn("salt", F.pmod(F.xxhash64("k", "site"), F.lit(SALTS))).join(near, ["line_hash", "salt"], "left_semi")
-    counts = None
-    for name in ("site", "context", "k"):  # two steps each, so that a line at very many places is combined before the shuffle
-        one = exact.select("line_hash", name).distinct().groupBy("line_hash").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        counts = one if counts is None else counts.join(one, "line_hash")
-    counted = counts.where((F.col("n_site") >= min_sites) & (F.col("n_context") * 100 >= F.col("n_k") * MIN_CONTEXTS))
+    sketches = rows.groupBy("line_hash").agg(F.hll_sketch_agg("site", LG_K).alias("sites"))
+    guess = sketches.select("line_hash", F.hll_sketch_estimate("sites").alias("sites"))
+    guess = settled(guess.where(F.col("sites") >= min_sites * (1 - BAND / 100)))
+    sure = F.col("sites") >= min_sites * (1 + BAND / 100)
+    near = rows.join(guess.where(~sure).select("line_hash"), "line_hash", "left_semi").select("line_hash", "site").distinct()
+    counted = near.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     return settled(guess.where(sure).select("line_hash").union(counted.select("line_hash")))
 
 
+def _spread_among(each: DataFrame, min_sites: int) -> DataFrame:
+    spread = widespread(each, min_sites)
+    # a text's spread lines are a row at most as long as the text's own
+    held = each.join(spread, "line_hash", "left_semi").groupBy("k").agg(F.collect_list(F.struct("line_hash", "site")).alias("at"), F.sum("chars").alias("chars"), F.max("total").alias("total"))
+    witnesses = held.where(F.col("chars") * 100 <= F.col("total") * MOST_SPREAD).select(F.explode("at").alias("at")).select("at.*")
+    return widespread(settled(witnesses), min_sites)
+
+
+def line_spread(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """``line_hash`` of each boilerplate line: texts of ``min_sites`` sites or more have it among lines of their own.
+
+    Sites are counted over distinct texts, each speaking for the least of its sites: a document copied unchanged is one
+    text. First the lines at enough sites are found. A text of which such lines hold more than MOST_SPREAD hundredths
+    of the letters is a copy, changed here and there, rather than one with boilerplate in it, and the sites are counted
+    again without such texts. So blocks of several lines go entirely, and lines of copied documents stay. A null site
+    is a site; lines without a word don't count.
+    """
+    return _spread_among(stored(_lines_of_texts(docs, text_col, site_col)), min_sites)
+
+
 def drop_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Every row of ``docs`` with its boilerplate lines cut out of the text; adds n_lines and n_lines_removed.
 
-    Lines are the parts between ``\\n``; only lines with a word are removed, and the rest stay as they were, joined by
-    ``\\n``. A null text stays null, with one line and none removed; an empty one stays empty. Other columns, repeated
-    rows and ties need no care: the spread counts distinct sites, surroundings and texts. No rows: no rows. Columns
-    n_lines and n_lines_removed of the input are replaced.
+    Lines are the parts between ``\\n``; only lines with a word are removed, from all texts that have them, and the rest
+    stay as they were, joined by ``\\n``. A null text stays null, with one line and none removed; an empty one stays
+    empty. Other columns, repeated rows and ties need no care: the spread counts distinct sites and texts. No rows: no
+    rows. Columns n_lines and n_lines_removed of the input, in any case, are replaced. Lines and texts are compared by
+    64-bit hashes.
     """
-    docs = docs.drop("n_lines", "n_lines_removed")
-    bad = line_spread(docs, text_col, site_col, min_sites)
-    found = docs.select(text_key(text_col).alias("_k"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda line: F.xxhash64(line)))).alias("line_hash"))
-    found = found.join(bad, "line_hash", "left_semi").groupBy("_k").agg(F.collect_set("line_hash").alias("_bad"))
-    joined = docs.withColumn("_k", text_key(text_col)).join(found, "_k", "left").withColumn("_lines", _lines(F.col(text_col)))
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda line: ~(F.array_contains("_bad", F.xxhash64(line)) & line.rlike(WORD)))
-    )
-    joined = joined.withColumn("_kept", kept)
-    out = [F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_lines_removed"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in others(docs, "n_lines", "n_lines_removed")])
+    key, bad, lines, kept = free(docs, "_k", "_bad", "_lines", "_kept")
+    each = stored(_lines_of_texts(docs, text_col, site_col))
+    found = each.join(_spread_among(each, min_sites), "line_hash", "left_semi").groupBy("k").agg(F.collect_list("line_hash").alias(bad))
+    found = settled(found.withColumnRenamed("k", key))  # from storage, so that the join can split the rows of a text with very many copies
+    joined = docs.withColumn(key, text_key(text_col)).join(found, key, "left").withColumn(lines, _lines(F.col(f"`{text_col}`")))
+    stay = F.when(F.col(bad).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda line: ~(F.array_contains(bad, F.xxhash64(line)) & line.rlike(WORD))))
+    joined = joined.withColumn(kept, stay)
+    out = [F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*out, F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_lines_removed"))

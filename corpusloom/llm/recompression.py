@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._repeats import Anchored, cut_texts, repeated
-from ._words import Running, Words, mix
+from ._repeats import Anchored, affected, at_shared, cut_texts, repeats_of, window_starts
+from ._shared import settled
+from ._words import Running, Words, mix, pieces, words
 
 #: Words of a window: repeats of so many words or more are found.
 WINDOW = 35
@@ -102,9 +107,40 @@ def symbols(w: Words, run: Running, starts: np.ndarray, n: int) -> Anchored:
     return Anchored(starts, key, place)
 
 
+def _windows(n: int):
+    """(hash, check, k, start) of each window whose anchor key is among the text's shared ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text_keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in pieces(batch.column(1)):
+                w = words(batch.column(1).slice(lo, hi - lo))
+                starts, doc = window_starts(w, n)
+                if not len(starts):
+                    continue
+                held = Running(w.hash)
+                good = at_shared(symbols(w, held, starts, n), doc, batch.column(2), lo, hi)
+                at, of = starts[good], doc[good]
+                # a second hash of the same words, by other values of the words
+                check = Running(mix(w.hash ^ np.uint64(0x5DEECE66D))).of(at, at + n) >> np.uint64(33)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held.of(at, at + n).view(np.int64)), pa.array(check.astype(np.int32)), pa.array(text_keys[lo:hi][of]), pa.array((at - w.first[of]).astype(np.int32))],
+                    names=["hash", "check", "k", "start"],
+                )
+
+    return run
+
+
 def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The repeated windows of each distinct text, see ``_repeats.repeated``; anchors are recompression symbols."""
-    return repeated(docs, text_col, window, symbols)
+    """The repeated windows of each distinct text, see ``_repeats.repeats_of``; anchors are recompression symbols.
+
+    Windows are compared by 95 bits of hash.
+    """
+    texts = affected(docs, text_col, window, symbols)
+    held = texts.mapInArrow(_windows(window), "hash bigint, check int, k bigint, start int")
+    again = settled(held.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check"))
+    found = held.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
+    return repeats_of(docs, text_col, window, texts, found, lambda starts: starts.to_numpy(zero_copy_only=False))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:

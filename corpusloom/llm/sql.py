@@ -76,9 +76,11 @@ def _lines() -> str:
     m = line_dedup
     return f"""
 WITH {_DOCS}, l AS (SELECT rid, t, coalesce(source, chr(0) || 'null') AS site, string_split(t, chr(10)) AS ls FROM d),
-x AS (SELECT rid, t, site, ls, unnest(generate_series(1, len(ls))) AS i FROM l),
-e AS (SELECT rid, t, site, i, ls[i] AS line, CASE WHEN i > 1 THEN right(ls[i - 1], {m.REACH}) ELSE '' END || chr(1) || CASE WHEN i < len(ls) THEN left(ls[i + 1], {m.REACH}) ELSE '' END AS context FROM x),
-bad AS (SELECT line FROM e WHERE regexp_matches(line, {_WORD}) GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES} AND count(DISTINCT context) * 100 >= count(DISTINCT t) * {m.MIN_CONTEXTS}),
+e AS (SELECT rid, t, site, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM l),
+x AS (SELECT line, t, min(site) AS site FROM e WHERE regexp_matches(line, {_WORD}) GROUP BY line, t),
+spread AS (SELECT line FROM x GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
+copied AS (SELECT t FROM x LEFT JOIN spread ON spread.line = x.line GROUP BY t HAVING sum(CASE WHEN spread.line IS NOT NULL THEN length(x.line) ELSE 0 END) * 100 > sum(length(x.line)) * {m.MOST_SPREAD}),
+bad AS (SELECT line FROM x SEMI JOIN spread USING (line) ANTI JOIN copied USING (t) GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
 k AS (SELECT rid, count(*) AS n FROM e SEMI JOIN bad USING (line) GROUP BY rid),
 s AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t FROM e ANTI JOIN bad USING (line) GROUP BY rid)
 SELECT d.doc_id, CAST(len(string_split(d.t, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(s.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.rid = d.rid LEFT JOIN s ON s.rid = d.rid"""

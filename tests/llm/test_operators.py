@@ -277,6 +277,31 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.drop_boilerplate(none).count() == 0 and line_dedup.drop_boilerplate(docs).count() == docs.count()
 
 
+def test_blocks_of_lines_go_and_copies_stay(spark):
+    """Footers of 2 to 5 lines go entirely; lines of exact and of edited copies at many sites stay; names clash."""
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for size in (2, 3, 5):
+        footer = [say(6) for _ in range(size)]
+        for i in range(60):
+            own = [say(20) for _ in range(4)]
+            want[len(rows)] = "\n".join(own)
+            rows.append((len(rows), "\n".join(own + footer), f"site{i % 20}"))
+    article = [say(12) for _ in range(9)]
+    for i in range(80):
+        lines = list(article)
+        if i % 2:
+            lines[i % 9] = say(12)
+        want[len(rows)] = "\n".join(lines)
+        rows.append((len(rows), "\n".join(lines), f"site{i % 20}"))
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("_k", "_bad", "_lines", "_kept", "N_Lines", "line_hash", "k", "site")})
+    got = line_dedup.drop_boilerplate(t)
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == want
+    assert {"_k", "_bad", "_lines", "_kept", "line_hash", "n_lines", "n_lines_removed"} <= set(got.columns) and "N_Lines" not in got.columns
+    assert got.select("_k", "_bad").distinct().collect() == [("_k", "_bad")]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]

@@ -68,15 +68,20 @@ def test_toxic_documents_go(stages):
 
 def test_boilerplate_lines_go(stages):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in stages[1].collect()]
-    sites, contexts, texts = defaultdict(set), defaultdict(set), defaultdict(set)
+    least, sites = {}, defaultdict(set)
     for _, text, site in rows:
-        lines = (text or "").split("\n")
-        for k, line in enumerate(lines):
-            if WORD.search(line):
-                sites[line].add(site)
-                contexts[line].add((lines[k - 1][-line_dedup.REACH:] if k else "", lines[k + 1][:line_dedup.REACH] if k + 1 < len(lines) else ""))
-                texts[line].add(text)
-    bad = {x for x in sites if len(sites[x]) >= line_dedup.MIN_SITES and 100 * len(contexts[x]) >= line_dedup.MIN_CONTEXTS * len(texts[x])}
+        least[text or ""] = min(site, least.get(text or "", site))
+    lines = {t: {x for x in t.split("\n") if WORD.search(x)} for t in least}
+    for t, own in lines.items():
+        for x in own:
+            sites[x].add(least[t])
+    spread = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
+    sites = defaultdict(set)
+    for t, own in lines.items():
+        if 100 * sum(len(x) for x in own & spread) <= line_dedup.MOST_SPREAD * sum(map(len, own)):
+            for x in own & spread:
+                sites[x].add(least[t])
+    bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
     want = Counter((i, t if t is None else "\n".join(x for x in t.split("\n") if x not in bad)) for i, t, _ in rows)
     assert bad and rows_of(stages[2]) == want
 
