@@ -21,6 +21,8 @@ K = 64
 SINGLES_TO, PAIRS_FROM = 20, 12
 #: Parts, by the highest bits of a value, in which it is counted what a node lacks of its centre.
 PARTS = 32
+#: Nodes of a list that are compared with as many others in one step: longer lists are dealt out in blocks.
+BLOCK = 512
 #: Edges of a partition of a graph, at least: smaller partitions are put together, so that a round doesn't leave thousands of tiny files.
 PARTITION_EDGES = 100_000
 
@@ -75,8 +77,9 @@ def _full_sets(n: int):
 def _compared(similarity: float, k: int, all_pairs: bool):
     """(a, b, besides, alike, lacks): how many values a has that b hasn't, whether the sets are similar enough, and how many of b's values a lacks in each of PARTS parts (127 stands for more).
 
-    Unless all pairs are wanted, those go first whose sizes or whose estimate from the union of the sketches, the ``k``
-    least values of both, are hopeless; the full sets decide about the others, and only similar pairs are returned.
+    Pairs aren't alike whose sizes or whose estimate from the union of the sketches, the ``k`` least values of both, are
+    hopeless; the full sets decide about the others. Only similar pairs are returned, unless the differences of all
+    pairs are wanted.
     """
     percent = round(similarity * 100)
     least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / k)
@@ -92,13 +95,13 @@ def _compared(similarity: float, k: int, all_pairs: bool):
             (va, oa), (vb, ob) = sides
             for i in range(batch.num_rows):
                 x, y = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
-                if not all_pairs:
-                    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                        continue
+                likely = min(len(x), len(y)) * 100 >= percent * max(len(x), len(y))
+                if likely:
                     union = np.union1d(x[:k], y[:k])[:k]
                     both = np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)
-                    if both.sum() < least * len(union):
-                        continue
+                    likely = both.sum() >= least * len(union)
+                if not (likely or all_pairs):
+                    continue
                 if all_pairs:
                     missing = np.setdiff1d(y, x, assume_unique=True)
                     shared = len(y) - len(missing)
@@ -106,7 +109,7 @@ def _compared(similarity: float, k: int, all_pairs: bool):
                 else:
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                 besides[i] = len(x) - shared
-                alike[i] = shared * 100 >= percent * (len(x) + len(y) - shared)
+                alike[i] = likely and shared * 100 >= percent * (len(x) + len(y) - shared)
             at = pa.array(np.arange(batch.num_rows) if all_pairs else np.flatnonzero(alike))
             parts = lists(lacks.reshape(-1), np.full(batch.num_rows, lacks.shape[1], np.int64), pa.int8())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(besides).take(at), pa.array(alike).take(at), parts.take(at)], names=["a", "b", "besides", "alike", "lacks"])
@@ -148,12 +151,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        between some 5 differences to meet in, so that it isn't missed, but for sketches many standard errors off.
     3. Each node is compared with a centre, the node of its lists whose values are the most common: the original of a
        group of edited copies. Components are formed. Lists that still hold several components are compared in pairs,
-       each pair once, without those that can't be similar. First, a value that no other node has is in no other set,
-       so sizes and numbers of such values bound what two sets share. Second, two sets differ just where their
-       differences from a common centre differ: in what they have besides it, of which they may share what isn't a
-       node's own, and in what they lack of it, which differs by as much at least as its counts in each of PARTS parts.
-       So the many edited copies of one original, too far from it to be linked, aren't compared with each other. A pair left is dropped by the estimate from the union of the sketches, six
-       standard errors off, or else confirmed on full sets.
+       each pair once, without those that can't be similar; nodes of a list's largest component only meet the others,
+       and long lists are dealt out in blocks. First, a value that no other node has is in no other set, so sizes and
+       numbers of such values bound what two sets share; two nodes with many such values don't even meet. Second, two
+       sets differ just where their differences from a common centre differ: in what they have besides it, of which
+       they may share what isn't a node's own, and in what they lack of it, which differs by as much at least as its
+       counts in each of PARTS parts. So the many edited copies of one original, too far from it to be linked, aren't
+       compared with each other. A pair left is dropped by the estimate from the union of the sketches, six standard
+       errors off, or else confirmed on full sets.
 
     component_id is the least id reachable, itself included; kept says whether the id is that one (a repeated id is
     kept each time). Null ids: their row has a component_id only if another id is in its component. No rows: no rows.
@@ -207,23 +212,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounds = bounds.select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("centre", "mark").alias("centre"), F.coalesce("lacks", nothing).alias("lacks"), F.coalesce("besides", F.lit(0)).alias("besides"))
     bounds = bounds.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     listed = left.groupBy("mark", "root").agg(F.array_sort(F.collect_set("value")).alias("values")).join(bounds, "mark")
-    listed = settled(listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "besides", "lacks", "values"))
-    one, two = listed.alias("x"), listed.alias("y")
+    listed = listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "besides", "lacks", "values")
+    listed = settled(listed.withColumn("heavy", F.col("own") * (100 + percent) > F.col("n") * (100 - percent)))
+    # of each list the largest component and how many blocks its nodes, and those of other components, make
+    lists = listed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    lists = settled(lists.where("most < all").select("value", "main", F.ceil(F.col("all") / BLOCK).alias("to"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("of")))
+    met = listed.join(lists, "value")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    one = met.where("root != main").withColumn("i", F.pmod(F.xxhash64("mark"), "of")).withColumn("j", every(F.col("to")))
+    one = one.withColumn("with_heavy", F.explode(F.when(F.col("heavy"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).alias("x")
+    two = met.withColumn("j", F.pmod(F.xxhash64("mark"), "to")).withColumn("i", every(F.col("of"))).alias("y")
     share, either = F.least(F.expr("x.n - x.own"), F.expr("y.n - y.own")), F.greatest(F.expr("x.n + y.own"), F.expr("y.n + x.own"))
     # similar sets differ in (1 - s) / (1 + s) of the sum of their sizes at most
     lacking = " + ".join(f"abs(cast(x.lacks[{i}] AS int) - y.lacks[{i}])" for i in range(PARTS))
     apart = F.expr(f"(x.besides + y.besides - 2 * greatest(0, least(x.besides - x.own, y.besides - y.own)) + {lacking}) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
     may = (share * 100 >= either * percent) & (F.expr("x.centre != y.centre") | apart) & F.expr("x.mark != y.centre AND y.mark != x.centre")
     once = F.array_min(F.array_intersect("x.values", "y.values")) == F.col("x.value")  # of several lists the first
-    pairs = one.join(two, F.expr("x.value = y.value AND x.root != y.root AND x.mark < y.mark") & may & once)
+    block = F.expr("x.value = y.value AND x.i = y.i AND x.j = y.j AND x.with_heavy = y.heavy AND x.root != y.root AND (y.root = y.main OR x.mark < y.mark)")
+    pairs = one.join(two, block & may & once)
     found = compared(settled(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))), False)
     if not found.isEmpty():
         roots = components(links.union(found.select("a", "b")))
 
     grouped = nodes.select("mark", "id")
-    grouped = grouped.join(roots, grouped["mark"] == roots["node"], "left").select("mark", "id", F.coalesce("root", "mark").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    grouped = grouped.join(least, "root").select("mark", "component_id")
+    grouped = settled(grouped.join(roots, grouped["mark"] == roots["node"], "left").select("mark", "id", F.coalesce("root", "mark").alias("root")))
+    least = settled(grouped.groupBy("root").agg(F.min("id").alias("component_id")))  # from storage, so that the join can split a large component
+    grouped = settled(grouped.join(least, "root").select("mark", "component_id"))
     done = ids.join(grouped.withColumnRenamed("mark", "_of"), (F.col("mark") == F.col("_of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
