@@ -9,7 +9,7 @@ from ._shared import WORD, free, others, settled, stored, text_key
 
 #: Sites from which a line can be boilerplate.
 MIN_SITES = 10
-#: A text bears witness to boilerplate if spread lines hold so many hundredths of its letters at most.
+#: A text bears witness to boilerplate if its spread lines, each counted once, are so many hundredths of its length at most.
 MOST_SPREAD = 50
 #: Estimates within this part of the threshold, in hundredths, are counted exactly; twelve standard errors of the sketch.
 BAND = 20
@@ -25,13 +25,11 @@ def _lines_of_texts(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """(line_hash, k, site, chars, total) of each line with a word of each distinct text ``k``.
 
     ``site`` is the least of the text's sites, so that however many copies it has it speaks for one; ``chars`` and
-    ``total`` are the lengths of the line and of all such lines of the text. Copies are combined before the shuffle.
+    ``total`` are the lengths of the line and of the text. Copies are combined before the shuffle.
     """
-    lines = F.filter(F.array_distinct(_lines(F.col(f"`{text_col}`"))), lambda line: line.rlike(WORD))
-    each = docs.select(text_key(text_col).alias("k"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), lines.alias("lines"))
-    total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.length(line))
-    each = each.select("k", "site", total.alias("total"), F.explode("lines").alias("line"))
-    each = each.select(F.xxhash64("line").alias("line_hash"), "k", "site", F.length("line").cast("long").alias("chars"), "total")
+    text = F.col(f"`{text_col}`")
+    each = docs.select(text_key(text_col).alias("k"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), F.length(text).cast("long").alias("total"), F.explode(_lines(text)).alias("line"))
+    each = each.where(F.col("line").rlike(WORD)).select(F.xxhash64("line").alias("line_hash"), "k", "site", F.length("line").cast("long").alias("chars"), "total")
     return each.groupBy("line_hash", "k").agg(F.min("site").alias("site"), F.max("chars").alias("chars"), F.max("total").alias("total"))
 
 
@@ -43,11 +41,11 @@ def widespread(rows: DataFrame, min_sites: int) -> DataFrame:
     """
     sketches = rows.groupBy("line_hash").agg(F.hll_sketch_agg("site", LG_K).alias("sites"))
     guess = sketches.select("line_hash", F.hll_sketch_estimate("sites").alias("sites"))
-    guess = settled(guess.where(F.col("sites") >= min_sites * (1 - BAND / 100)))
+    guess = stored(guess.where(F.col("sites") >= min_sites * (1 - BAND / 100)))  # as files, so that Spark knows how small it is
     sure = F.col("sites") >= min_sites * (1 + BAND / 100)
     near = rows.join(guess.where(~sure).select("line_hash"), "line_hash", "left_semi").select("line_hash", "site").distinct()
     counted = near.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
-    return settled(guess.where(sure).select("line_hash").union(counted.select("line_hash")))
+    return stored(guess.where(sure).select("line_hash").union(counted.select("line_hash")))
 
 
 def _spread_among(each: DataFrame, min_sites: int) -> DataFrame:
@@ -62,8 +60,8 @@ def line_spread(docs: DataFrame, text_col: str = "text", site_col: str = "source
     """``line_hash`` of each boilerplate line: texts of ``min_sites`` sites or more have it among lines of their own.
 
     Sites are counted over distinct texts, each speaking for the least of its sites: a document copied unchanged is one
-    text. First the lines at enough sites are found. A text of which such lines hold more than MOST_SPREAD hundredths
-    of the letters is a copy, changed here and there, rather than one with boilerplate in it, and the sites are counted
+    text. First the lines at enough sites are found. A text of which such lines make up more than MOST_SPREAD
+    hundredths is a copy, changed here and there, rather than one with boilerplate in it, and the sites are counted
     again without such texts. So blocks of several lines go entirely, and lines of copied documents stay. A null site
     is a site; lines without a word don't count.
     """

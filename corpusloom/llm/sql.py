@@ -79,7 +79,7 @@ WITH {_DOCS}, l AS (SELECT rid, t, coalesce(source, chr(0) || 'null') AS site, s
 e AS (SELECT rid, t, site, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM l),
 x AS (SELECT line, t, min(site) AS site FROM e WHERE regexp_matches(line, {_WORD}) GROUP BY line, t),
 spread AS (SELECT line FROM x GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
-copied AS (SELECT t FROM x LEFT JOIN spread ON spread.line = x.line GROUP BY t HAVING sum(CASE WHEN spread.line IS NOT NULL THEN length(x.line) ELSE 0 END) * 100 > sum(length(x.line)) * {m.MOST_SPREAD}),
+copied AS (SELECT t FROM x LEFT JOIN spread ON spread.line = x.line GROUP BY t HAVING sum(CASE WHEN spread.line IS NOT NULL THEN length(x.line) ELSE 0 END) * 100 > length(t) * {m.MOST_SPREAD}),
 bad AS (SELECT line FROM x SEMI JOIN spread USING (line) ANTI JOIN copied USING (t) GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
 k AS (SELECT rid, count(*) AS n FROM e SEMI JOIN bad USING (line) GROUP BY rid),
 s AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t FROM e ANTI JOIN bad USING (line) GROUP BY rid)

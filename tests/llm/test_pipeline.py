@@ -78,7 +78,7 @@ def test_boilerplate_lines_go(stages):
     spread = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
     sites = defaultdict(set)
     for t, own in lines.items():
-        if 100 * sum(len(x) for x in own & spread) <= line_dedup.MOST_SPREAD * sum(map(len, own)):
+        if 100 * sum(len(x) for x in own & spread) <= line_dedup.MOST_SPREAD * len(t):
             for x in own & spread:
                 sites[x].add(least[t])
     bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
