@@ -21,8 +21,9 @@ SHORTEST = 50
 HEAD = 12
 #: Places that a window can have before its suffix: the bits of a mask.
 PLACES = 62
-#: Surroundings of suffixes that a task sorts, about.
-TASK_ROWS = 100_000
+#: Surroundings of suffixes that a task sorts, at most about and, while there are cores for them, at least: to find the
+#: borders of ranges Spark brings 100 rows of each task to the driver, so tasks are large.
+TASK_ROWS, LEAST_ROWS = 1_000_000, 20_000
 #: Suffixes whose words are put together at a time.
 BATCH = 20_000
 
@@ -205,13 +206,16 @@ def repeats(docs: DataFrame, text_col: str = "text", shortest: int = SHORTEST) -
        the left. So a window longer to the left or to the right than both neighbours allow has no partner at all.
     5. What is left are windows within both reaches that neither pair of neighbours has whole. They are compared by
        their words with all of that kind at suffixes that begin alike.
+
+    Words are compared, not hashes; a row of surroundings is named by 96 bits of hash from the second step on.
     """
     n = shortest
     texts = affected(docs, text_col, n, minimisers)
     suffixes = stored(texts.mapInArrow(_suffixes(n), "k bigint, at int, right string, left string"))
     h, check = F.xxhash64("right", "left").alias("h"), F.hash("left", "right").alias("check")
     surroundings = stored(suffixes.groupBy("right", "left").agg((F.count(F.lit(1)) > 1).alias("twice")).select("right", "left", h, check, "twice"))
-    parts = max(1, -(-surroundings.count() // TASK_ROWS))
+    count = surroundings.count()
+    parts = max(1, -(-count // TASK_ROWS), min(docs.sparkSession.sparkContext.defaultParallelism, count // LEAST_ROWS))
     first = F.substring_index("right", " ", head_of(n))
     met = _compared(surroundings, [F.col("right"), F.col("left")], n, parts).union(_compared(surroundings, [first, F.col("left"), F.col("right")], n, parts))
     met = met.groupBy("h", "check").agg(F.bit_or("mask").alias("mask"), F.max("r").alias("r"), F.max("l").alias("l"))
