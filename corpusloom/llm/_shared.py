@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Copies of a row that one step makes.
+RANGE = 1 << 16
 #: A word of every contract: a run of characters other than these six.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -67,6 +69,19 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def numbered(rows: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row so many times as its column ``count`` says, with ``number`` (long) from 1 in place of it.
+
+    A row with more than RANGE copies is first cut into ranges, which are dealt out, so that no task makes all of them.
+    """
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != count]
+    few = rows.where(F.col(count) <= RANGE).select(*rest, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count).cast("long"))).alias(number))
+    many = rows.where(F.col(count) > RANGE).select(*rest, count, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / RANGE))).alias(number))
+    many = many.repartition(F.xxhash64(F.struct(*rest)), number)
+    begin, end = F.col(number) * RANGE + 1, F.least(F.col(count).cast("long"), (F.col(number) + 1) * RANGE)
+    return few.union(many.select(*rest, F.explode(F.sequence(begin, end)).alias(number)))
+
+
 def others(docs: DataFrame, *made: str) -> list[str]:
     """The columns of ``docs`` but those named as in ``made``, in whatever case: results replace them."""
     names = {m.lower() for m in made}

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import others
 from ._words import lists, pieces
 
 #: Distinct spans whose ids a task keeps, those met first; others are encoded each time.
@@ -158,9 +159,9 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
         counts = np.diff(offsets).astype(np.int64)
         sums = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        others = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in raw]
+        bytes_too = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in raw]
         rest = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("ids", "ends", "decoded")}
-        yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(counts), pa.array(sums), pa.array(others)], names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(counts), pa.array(sums), pa.array(bytes_too)], names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _kind(df: DataFrame, cols: list[str], more: str) -> str:
@@ -173,13 +174,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     ``path``: a rank file that every executor has. Each match of ``pattern`` is encoded for itself, without special
     tokens. Null and empty texts have no tokens. Columns named ids or ends are replaced. No rows: no rows.
     """
-    cols = [c for c in docs.columns if c not in (text_col, "ids", "ends")]
+    cols = others(docs, text_col, "ids", "ends")
     return docs.select(*[F.col(f"`{c}`") for c in cols], text_col).mapInArrow(functools.partial(encode_batches, path, pattern), _kind(docs, cols, "ids array<int>, ends array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded`` (binary): the bytes that the ids stand for; null ids have none. The ids stay."""
-    cols = [c for c in tokens.columns if c != "decoded"]
+    cols = others(tokens, "decoded")
     return tokens.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(functools.partial(decode_batches, path, pattern, ids_col), _kind(tokens, cols, "decoded binary"))
 
 
@@ -188,7 +189,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     Encoding, decoding and digests run one after the other in the same task, so that ids don't travel in between.
     """
-    cols = [c for c in docs.columns if c not in (text_col, "ids", "ends", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
+    cols = others(docs, text_col, "ids", "ends", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return digest_batches(decode_batches(path, pattern, "ids", encode_batches(path, pattern, batches)))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import others
+
 #: Bytes of a sample of the containers that ``contain`` writes: mono 8-bit PCM, this many bytes a sample.
 SAMPLE = 192
 TIMESCALE = 8000
@@ -105,11 +107,25 @@ def table(data: bytes, at: tuple[int, int] | None, form: str) -> list[tuple]:
     return list(struct.iter_unpack(form, data[at[0] + 8:at[0] + 8 + count * each]))
 
 
+def sample_sizes(data: bytes, boxes: dict) -> list[int]:
+    """Bytes of each sample: one size for all, 32 bits each, or the compact table's 4, 8 or 16 bits each."""
+    if b"stsz" in boxes:
+        start = boxes[b"stsz"][0]
+        one, n = struct.unpack_from(">II", data, start + 4)
+        return [one] * n if one else [x[0] for x in struct.iter_unpack(">I", data[start + 12:start + 12 + 4 * n])]
+    start = boxes[b"stz2"][0]
+    bits, n = data[start + 7], struct.unpack_from(">I", data, start + 8)[0]
+    if bits not in (4, 8, 16):
+        raise ValueError(f"compact sample sizes of {bits} bits")
+    held = data[start + 12:start + 12 + (n * bits + 7) // 8]
+    if bits == 4:
+        return [x for byte in held for x in (byte >> 4, byte & 15)][:n]
+    return list(held) if bits == 8 else [x[0] for x in struct.iter_unpack(">H", held)]
+
+
 def samples(data: bytes, boxes: dict) -> list[tuple[int, int]]:
     """(offset, bytes) of each sample, from the size, chunk and offset tables."""
-    start = boxes[b"stsz"][0]
-    one, n = struct.unpack_from(">II", data, start + 4)
-    sizes = [one] * n if one else [x[0] for x in struct.iter_unpack(">I", data[start + 12:start + 12 + 4 * n])]
+    sizes = sample_sizes(data, boxes)
     offsets = [x[0] for x in (table(data, boxes.get(b"co64"), ">Q") or table(data, boxes.get(b"stco"), ">I"))]
     runs = table(data, boxes.get(b"stsc"), ">III")
     found, k = [], 0
@@ -126,8 +142,10 @@ def samples(data: bytes, boxes: dict) -> list[tuple[int, int]]:
 
 def describe(data: bytes) -> dict:
     """codec, timescale, duration, n_samples, the byte ranges of keyframes and of all samples of the first track with samples."""
+    if any(kind == b"moof" for kind, _, _ in walk(data, 0, len(data))):
+        raise ValueError("a fragmented file: the tables of its fragments aren't read")
     for boxes in tracks(data):
-        if b"stsz" not in boxes:
+        if b"stsz" not in boxes and b"stz2" not in boxes:
             continue
         at = boxes[b"mdhd"][0]
         scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
@@ -170,7 +188,7 @@ def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The bytes are filled with spaces to a positive multiple of SAMPLE, so a null or empty text is one sample of spaces.
     Equal texts give equal files. Columns named media or n_bytes are replaced. No rows: no rows.
     """
-    cols = [c for c in docs.columns if c not in (text_col, "media", "n_bytes")]
+    cols = others(docs, text_col, "media", "n_bytes")
 
     def one(text):
         raw = (text or "").encode()
@@ -193,7 +211,7 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
         "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string(),
     }
     sql = "codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<offset:bigint,bytes:bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
-    cols = [c for c in media.columns if c != media_col and c not in types]
+    cols = others(media, media_col, *types)
 
     def one(data):
         out = dict.fromkeys(types) | {"keyframes": []}

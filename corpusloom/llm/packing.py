@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settled
+from ._shared import numbered, settled
 
 #: Permitted sequence lengths, in words, separators included.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -82,8 +82,8 @@ def pack(rows: DataFrame, length_col: str, id_col: str = "doc_id", capacities: t
     carried; null ids are packed as any other.
     """
     top = max(capacities)
-    counted = rows.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{length_col}`").cast("long"), F.lit(0)).alias("_len")).groupBy("_id", "_len").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    pieces = counted.select("_id", "_len", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
+    counted = rows.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{length_col}`").cast("long"), F.lit(0)).alias("_len")).groupBy("_id", "_len").agg(F.count(F.lit(1)).alias("_copies"))
+    pieces = numbered(settled(counted), "_copies", "_copy")
     pieces = settled(pieces.select("_id", "_len", "_copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("_len") / top).cast("int"))).alias("piece")))
     n_blocks = max(1, -(-pieces.count() // block_pieces))
     taken = F.least(F.lit(top), F.col("_len") + 1 - F.col("piece").cast("long") * top)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import WORD, let, settled, words_of
+from ._shared import WORD, free, let, others, settled, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -28,8 +28,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Repeats of 3-word windows are found by sorting the windows of a document by a 64-bit hash of their words, in the
     row: neighbours with the same hash are repeats. A null text has no words; so has an empty one.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.withColumn("_w", words_of(text_col))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    (own,) = free(docs, "_w")
+    held = docs.withColumn(own, words_of(text_col))
 
     def windows(w: Column) -> Column:
         return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))).otherwise(
@@ -45,11 +46,11 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         # three words each, less what the next repeated window covers too
         return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])
 
-    repeat = let(F.col("_w"), lambda w: let(F.sort_array(windows(w)), lambda s: covered(repeated(s))))
+    repeat = let(F.col(own), lambda w: let(F.sort_array(windows(w)), lambda s: covered(repeated(s))))
     lines = let(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return held.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.size(own).cast("long").alias("n_words"), F.length(F.array_join(own, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), repeat.cast("long").alias("n_repeat_words"),
     )
 
@@ -96,11 +97,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spreads; the quartiles come from sketches (counts of value buckets) built once for each language and source and
     merged upwards, by adding, for languages and for all; a group of fewer than MIN_GROUP rows uses the next one up.
     Null languages or sources are groups of their own. Empty and null texts have no words, so base_failed. A group whose
-    rows all are the same is kept. No rows: no rows. Columns of the input with the names of results are replaced.
+    rows all are the same is kept. No rows: no rows. Columns of the input with the names of results, in any case, are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fence_of"]
-    rest = [c for c in docs.columns if c not in (*made, *LEAST_SPREAD, text_col)]
-    base = measures(docs.select(*rest, F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), text_col), text_col).drop(text_col)
+    rest = others(docs, *made, *LEAST_SPREAD, text_col)
+    inner = {c: f"_{i}_column" for i, c in enumerate(rest)}  # under other names until the end, so that none clashes
+    base = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()], F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{source_col}`").alias("_source"), F.col(f"`{text_col}`").alias("_text"))
+    base = measures(base, "_text").drop("_text")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     rated = settled(base.withColumns(rates({c: F.col(c) for c in made[:5]})))
 
@@ -127,4 +130,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         if m in TWO_SIDED:
             beyond = beyond | (F.col(m) < F.col("_limit")[f"{m}_low"])
     kept = ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))
-    return joined.select(*[F.col(f"`{c}`") for c in rest], *made[:5], "base_failed", kept.alias("kept"), "fence_of")
+    return joined.select(*[F.col(x).alias(c) for c, x in inner.items()], *made[:5], "base_failed", kept.alias("kept"), "fence_of")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import settled
+from ._shared import numbered, others, settled
 
 #: Rows of a bucket at most on average: a bucket is one array in one task.
 BUCKET_ROWS = 4096
 #: Bytes of a bucket at most on average.
 BUCKET_BYTES = 32 << 20
+#: Buckets that one task shuffles, one after the other; there are as many tasks as that makes, whatever the input.
+TASK_BUCKETS = 4
 #: Buckets whose sizes are added up together; the sums of such blocks are added up in turn.
 BLOCK = 4096
 
@@ -34,18 +36,17 @@ def external_shuffle(
     a column with the bytes of a row; without it only ``bucket_rows`` bounds a bucket. Same rows, seed and bucket
     bounds give the same order.
     """
-    rows = rows.drop("shard", "slot")
-    columns = [F.col(f"`{c}`") for c in rows.columns]
+    columns = [F.col(f"`{c}`") for c in others(rows, "shard", "slot")]
     whole = rows.select(F.struct(*columns).alias("_row"))
     size = F.coalesce(F.col("_row")[size_col].cast("long"), F.lit(0)) if size_col else F.lit(0)
     keys = whole.groupBy(F.xxhash64("_row").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_size"))
     total, size, most = keys.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0)), F.max("_n")).first()
     n_buckets = max(1, -(-total // bucket_rows), -(-size // bucket_bytes))
 
-    copies = whole.withColumn("_copy", F.lit(1))
+    copies = whole.withColumn("_copy", F.lit(1).cast("long"))
     if total and most > 1:
         held = settled(whole.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")))
-        copies = held.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+        copies = numbered(held, "_copies", "_copy")
     scattered = copies.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row", "_copy"), F.lit(n_buckets)))
     counts = settled(scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
     within = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_block").orderBy("_bucket")) - F.col("_n"))
@@ -53,8 +54,7 @@ def external_shuffle(
     blocks = blocks.withColumn("_blocks_before", F.sum("_in_block").over(Window.orderBy("_block")) - F.col("_in_block"))
     offsets = within.join(blocks, "_block").select("_bucket", (F.col("_before") + F.col("_blocks_before")).alias("_offset"))
 
-    # as many partitions as buckets up to a few thousand: the seed of a bucket then depends on the bucket alone
-    parts = min(n_buckets, 4096)
+    parts = -(-n_buckets // TASK_BUCKETS)
     dealt = scattered.withColumn("_part", F.floor(F.col("_bucket") * parts / n_buckets).cast("int")).repartitionById(parts, "_part")
     lists = dealt.groupBy("_part", "_bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "_row", "_copy").alias("_h"), "_row", "_copy"))).alias("_all"))
     # in order of bucket within a task, so that the seed's random numbers fall to the same buckets each time
@@ -65,8 +65,8 @@ def external_shuffle(
     edge = more * (each + 1)
     shard = F.when(place < edge, F.floor(place / (each + 1))).otherwise(more + F.floor((place - edge) / max(each, 1)))
     start = F.when(F.col("shard") < more, F.col("shard") * (each + 1)).otherwise(edge + (F.col("shard") - more) * each)
-    placed = placed.select("_one._row.*", place.alias("_place"), shard.cast("int").alias("shard"))
-    return placed.withColumn("slot", F.col("_place") - start).drop("_place")
+    placed = placed.select("_one._row", place.alias("_place"), shard.cast("int").alias("shard"))
+    return placed.select("_row.*", "shard", (F.col("_place") - start).alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, size_col: str, **options) -> None:

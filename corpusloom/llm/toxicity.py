@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ._shared import others
 from ._words import Words, hashes, mix, pieces, words
 
 #: Words of a window, and from one window's start to the next: neighbours share half, so each phrase of up to 33 words is whole in one.
@@ -338,12 +339,12 @@ def score(docs: DataFrame, model: tuple[Network, float], text_col: str = "text")
     """``docs`` with ``score`` (0 to 1): of the most toxic of all overlapping windows of the whole text.
 
     Null and empty texts, and those without words, get the score of a window far from toxic. Equal texts have equal
-    scores. A column named score is replaced. The network, a few MB whatever the input, is broadcast.
+    scores, repeated rows and ids among them. A column named score, in any case, is replaced. The network, a few MB whatever the input, is broadcast.
     """
     spark = docs.sparkSession
     net, shift = model
     sent = spark.sparkContext.broadcast(({k: v.astype(np.float32) for k, v in net.p.items()}, shift))
-    cols = [c for c in docs.columns if c != "score"]
+    cols = others(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.__new__(Network)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,56 @@ def test_quality_fences_merge(spark, docs):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_fences_of_language_and_source(spark):
+    """Groups with rows enough use fences of their own, as quartiles over sketch buckets counted plainly; others the next up."""
+    r = random.Random(21)
+    rows = []
+    for i in range(700):
+        lang, source = ("en", "a") if i < 250 else ("en", "b") if i < 450 else ("de", "a") if i < 600 else ("en", f"few{i % 3}") if i < 690 else ("xx", None)
+        size = 5 if (lang, source) != ("de", "a") else 9
+        w = ["".join(r.choice("abcdefghij") for _ in range(r.choice([size - 1, size, size + 1]))) for _ in range(80)]
+        if i % 50 == 0:
+            w = [x * 3 for x in w]
+        if i % 50 == 1:
+            w = [x + "#$%" for x in w]
+        rows.append((i, " ".join(w), lang, source))
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    def floor(v):
+        if v < quality_rules.EXACT:
+            return v
+        step = 2 ** (v.bit_length() - quality_rules.EXACT.bit_length() + 1)
+        return v // step * step
+
+    def fence(values, measure):
+        v = sorted(floor(x) for x in values)
+        q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        reach = max(q3 - q1, quality_rules.LEAST_SPREAD[measure]) * quality_rules.FENCE
+        return q1 - reach, q3 + reach
+
+    def measured(text):
+        w = text.split()
+        wins = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+        again = {j for i in range(len(w) - 2) if wins[tuple(w[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        return {"word_length": sum(map(len, w)) * 1000 // len(w), "symbol_rate": sum(text.count(c) for c in "#*$%&|<>") * 1000 // len(w), "line_rate": 0, "repeat_rate": len(again) * 1000 // len(w)}
+
+    values = {i: measured(t) for i, t, *_ in rows}
+    by = defaultdict(list)
+    for i, _, lang, source in rows:
+        for key in ((lang, source), lang, None):
+            by[key].append(i)
+    used = Counter()
+    for i, _, lang, source in rows:
+        key, name = next((k, n) for k, n in (((lang, source), "source"), (lang, "lang"), (None, "all")) if k is None or len(by[k]) >= quality_rules.MIN_GROUP)
+        kept = True
+        for m, v in values[i].items():
+            low, high = fence([values[j][m] for j in by[key]], m)
+            kept &= v <= high and (v >= low or m not in quality_rules.TWO_SIDED)
+        used[name, kept] += 1
+        assert (got[i]["fence_of"], got[i]["kept"], got[i]["base_failed"]) == (name, kept, False), i
+    assert min(used[n, k] for n in ("source", "lang") for k in (True, False)) > 0 and used["all", True]
+
+
 def sets_of(text, n):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -197,6 +248,15 @@ def test_media(docs, rows, none, spark):
     assert media_columns.media_features(media_columns.to_media(none)).count() == 0
 
 
+def test_compact_sizes_and_fragments():
+    sizes = lambda bits, raw, n: media_columns.sample_sizes(b"\0" * 7 + bytes([bits]) + n.to_bytes(4, "big") + raw, {b"stz2": (0, 12 + len(raw))})
+    assert sizes(4, b"\x12\x30", 3) == [1, 2, 3] and sizes(8, b"\x01\xff", 2) == [1, 255] and sizes(16, b"\x01\x00\x00\x02", 2) == [256, 2]
+    with pytest.raises(ValueError, match="compact"):
+        sizes(5, b"", 0)
+    with pytest.raises(ValueError, match="fragmented"):
+        media_columns.describe((8).to_bytes(4, "big") + b"moof")
+
+
 def test_packing(spark, docs, none):
     sized = docs.withColumn("n", F.size(F.split("text", " ")).cast("long"))
     packed = packing.pack(sized, "n", capacities=(64, 128, 512), block_pieces=40)
@@ -224,6 +284,32 @@ def test_best_fit_prefers_tight_bins():
     assert all(loads[w] <= c for w, c in zip(which, final, strict=True))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_is_the_plain_one(seed):
+    """Against the rule written down plainly: every open bin is looked at for every piece; and bins are well filled."""
+    r = random.Random(seed)
+    caps = packing.CAPACITIES
+    lengths = [r.choice([r.randint(1, 60), r.randint(1, 900), r.randint(1, caps[-1])]) for _ in range(300)]
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins, want = [], {}  # of each bin its size and what it holds
+    for k, i in enumerate(order):
+        n, rest = lengths[i], [lengths[j] for j in order[k + 1:]]
+        rooms = [(size - used, b) for b, (size, used) in enumerate(bins) if size - used >= n]
+        if rooms:
+            b = min(rooms)[1]
+        else:
+            costs = [((c + packing.OVERHEAD) / (n + min(c - n, sum(x for x in rest if x <= c - n))), c) for c in caps if c >= n]
+            best = min(x for x, _ in costs)
+            b = len(bins)
+            bins.append([next(c for x, c in costs if x == best), 0])
+        want[i] = (b, bins[b][1])
+        bins[b][1] += n
+    which, offset, final = packing.best_fit(np.array(lengths))
+    assert [(int(which[i]), int(offset[i])) for i in range(len(lengths))] == [want[i] for i in range(len(lengths))]
+    assert [int(f) for f in final] == [next(c for c in caps if c >= bins[want[i][0]][1]) for i in range(len(lengths))]
+    assert sum(lengths) / sum(next(c for c in caps if c >= used) for _, used in bins) > 0.9
+
+
 @pytest.mark.parametrize("bucket_rows", [3, 10_000])
 def test_sharding(docs, rows, none, bucket_rows):
     got = sharding.external_shuffle(docs.select("doc_id", "text", "value"), n_shards=8, bucket_rows=bucket_rows)
@@ -241,6 +327,63 @@ def test_sharding(docs, rows, none, bucket_rows):
     assert sharding.external_shuffle(docs.limit(3)).count() == 3
 
 
+def test_buckets_stand_together(spark):
+    """The plain two passes: buckets by a seeded hash one after the other, each in an order of its own; no cap on their number."""
+    t = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"))
+    got = sharding.external_shuffle(t, n_shards=8, bucket_rows=6)
+    held = got.withColumn("bucket", F.pmod(F.xxhash64(F.lit(42), F.struct("doc_id"), F.lit(1).cast("long")), F.lit(5000))).orderBy("shard", "slot").collect()
+    buckets = [r["bucket"] for r in held]
+    assert len(held) == 30_000 and len(set(buckets)) > 4900 and buckets == sorted(buckets)
+    ids, at = [r["doc_id"] for r in held], {r["doc_id"]: i for i, r in enumerate(held)}
+    assert abs(sum((at[i] - 15_000) * (i - 15_000) for i in ids)) < 0.03 * sum((i - 15_000) ** 2 for i in ids)  # no trace of the input's order
+    hashes = {r["doc_id"]: r["h"] for r in t.select("doc_id", F.xxhash64(F.lit(42), F.struct("doc_id"), F.lit(1).cast("long")).alias("h")).collect()}
+    rising = sum(hashes[x] < hashes[y] for x, y, a, b in zip(ids, ids[1:], buckets, buckets[1:]) if a == b)
+    assert 0.45 < rising / sum(a == b for a, b in zip(buckets, buckets[1:])) < 0.55
+
+
+def test_copies_are_numbered_in_ranges(spark, monkeypatch):
+    from corpusloom.llm import _shared
+
+    monkeypatch.setattr(_shared, "RANGE", 7)
+    t = spark.createDataFrame([("a", 1), ("b", 7), ("c", 8), ("d", 100), (None, 21)], "x string, n long")
+    assert Counter(tuple(r) for r in _shared.numbered(t, "n", "k").collect()) == Counter((r["x"], k) for r in t.collect() for k in range(1, r["n"] + 1))
+    same = spark.createDataFrame([(5, 30)] * 50, "doc_id long, n long")
+    assert packing.pack(same, "n").count() == 50 and sharding.external_shuffle(same, 3).groupBy("shard").count().count() == 3
+
+
+def test_names_that_clash(spark, rows):
+    """Columns named as an operator's own or its results, in any case: own ones stay, results replace."""
+    odd = ("_k", "_own", "_w", "_lang", "_source", "_text", "_copy", "_row", "_bucket", "k", "key", "t", "whole", "start")
+    made = ("Score", "N_words", "Kept", "Ids", "DECODED", "Media", "N_Bytes", "Spans", "Shard", "SLOT")
+    t = spark.createDataFrame(rows[:30], KIND).select("doc_id", "text", "lang", "source", *(F.lit(c).alias(c) for c in (*odd, *made))).repartition(2)
+    net = toxicity.Network()
+    for got in (
+        quality_rules.quality_rules(t), line_dedup.drop_boilerplate(t), recompression.remove_repeats(t), suffix_array.remove_repeats(t),
+        near_dedup.drop_near_duplicates(t), toxicity.score(t, (net, 0.0)), media_columns.to_media(t), sharding.external_shuffle(t),
+    ):
+        held = got.collect()
+        assert held and len({c.lower() for c in got.columns}) == len(got.columns)
+        assert all(r[c] == c for r in held for c in odd)
+
+
+def test_very_long_text(spark):
+    """Texts of more than one piece: shared passages far inside are found, and nothing else goes."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    shared = say(80)
+    long = say(200_000) + shared + say(20_000)
+    short = say(40) + shared + say(10)
+    t = spark.createDataFrame([(1, " ".join(long), "s", "en"), (2, " ".join(short), "s", "en"), (3, " ".join(say(60)), "s", "en")], "doc_id long, text string, source string, lang string")
+    assert len(" ".join(long)) > 1 << 20
+    for module in (recompression, suffix_array):
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in module.remove_repeats(t).collect()}
+        assert got == {1: (220_080, 80), 2: (130, 80), 3: (60, 0)}
+    assert {x["doc_id"]: x["n_shingles"] for x in near_dedup.near_duplicates(t).collect()} == {1: len(sets_of(" ".join(long), 5)), 2: 126, 3: 56}
+    assert {x["doc_id"]: x["n_words"] for x in quality_rules.quality_rules(t).collect()} == {1: 220_080, 2: 130, 3: 60}
+    assert line_dedup.drop_boilerplate(t).count() == 3
+
+
 def test_sharding_writes_texts(spark, rows, tmp_path, monkeypatch):
     """Shards hold the whole records, in order of files and rows; the query derives its columns from them."""
     spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/sf/documents.parquet")
