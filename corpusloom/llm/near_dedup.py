@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        between some 5 differences to meet in, so that it isn't missed, but for sketches many standard errors off.
     3. Each node is compared with a centre, the node of its lists whose values are the most common: the original of a
        group of edited copies. Components are formed. Lists that still hold several components are compared in pairs,
-       each pair once, without those that can't be similar; nodes of a list's largest component only meet the others,
+       without those that can't be similar; nodes of a list's largest component only meet the others,
        and long lists are dealt out in blocks. First, a value that no other node has is in no other set, so sizes and
        numbers of such values bound what two sets share; two nodes with many such values don't even meet. Second, two
        sets differ just where their differences from a common centre differ: in what they have besides it, of which
@@ -211,8 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing = F.array_repeat(F.lit(0).cast("tinyint"), PARTS)
     bounds = bounds.select("mark", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("centre", "mark").alias("centre"), F.coalesce("lacks", nothing).alias("lacks"), F.coalesce("besides", F.lit(0)).alias("besides"))
     bounds = bounds.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    listed = left.groupBy("mark", "root").agg(F.array_sort(F.collect_set("value")).alias("values")).join(bounds, "mark")
-    listed = listed.select(F.explode("values").alias("value"), "mark", "root", "n", "own", "centre", "besides", "lacks", "values")
+    listed = left.distinct().join(bounds, "mark").select("value", "mark", "root", "n", "own", "centre", "besides", "lacks")
     listed = settled(listed.withColumn("heavy", F.col("own") * (100 + percent) > F.col("n") * (100 - percent)))
     # of each list the largest component and how many blocks its nodes, and those of other components, make
     lists = listed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -227,10 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lacking = " + ".join(f"abs(cast(x.lacks[{i}] AS int) - y.lacks[{i}])" for i in range(PARTS))
     apart = F.expr(f"(x.besides + y.besides - 2 * greatest(0, least(x.besides - x.own, y.besides - y.own)) + {lacking}) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
     may = (share * 100 >= either * percent) & (F.expr("x.centre != y.centre") | apart) & F.expr("x.mark != y.centre AND y.mark != x.centre")
-    once = F.array_min(F.array_intersect("x.values", "y.values")) == F.col("x.value")  # of several lists the first
     block = F.expr("x.value = y.value AND x.i = y.i AND x.j = y.j AND x.with_heavy = y.heavy AND x.root != y.root AND (y.root = y.main OR x.mark < y.mark)")
-    pairs = one.join(two, block & may & once)
-    found = compared(settled(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))), False)
+    pairs = one.join(two, block & may).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct()  # they may meet in several lists
+    found = compared(settled(pairs), False)
     if not found.isEmpty():
         roots = components(links.union(found.select("a", "b")))
 
