@@ -33,12 +33,12 @@ def merged_text(parts: Column, budget: int = PER_CASE) -> Column:
     return F.aggregate(parts, state, step, lambda a: a["text"])
 
 
-def cases_of(chunks: DataFrame) -> DataFrame:
+def cases_of(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(case, best_rank, parts, paragraphs): the chunks of each case in order of index; cases rank by their best chunk."""
     each = F.struct(F.col("chunk_index").cast("bigint").alias("chunk_index"), "text", "paragraph_numbers")
-    g = chunks.groupBy(*KEY).agg(F.min("rank").alias("best_rank"), F.array_sort(F.collect_list(each)).alias("_all"))
+    g = chunks.groupBy(*by, *KEY).agg(F.min("rank").alias("best_rank"), F.array_sort(F.collect_list(each)).alias("_all"))
     parts = F.transform("_all", lambda c: F.struct(c["chunk_index"].alias("chunk_index"), c["text"].alias("text")))
-    return g.select(*KEY, "best_rank", parts.alias("parts"), F.array_distinct(F.flatten(F.transform("_all", lambda c: F.coalesce(c["paragraph_numbers"], F.array().cast("array<string>"))))).alias("paragraphs"))
+    return g.select(*by, *KEY, "best_rank", parts.alias("parts"), F.array_distinct(F.flatten(F.transform("_all", lambda c: F.coalesce(c["paragraph_numbers"], F.array().cast("array<string>"))))).alias("paragraphs"))
 
 
 def within_budget(sized: DataFrame, order: list, size: str, total: int = TOTAL, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,17 +59,17 @@ def case_block(index: Column, title: Column, citation: Column, court: Column, pa
     return F.concat_ws("\n", F.concat(F.lit("[Case "), index.cast("string"), F.lit("]")), F.concat(F.lit("Title: "), title), F.concat(F.lit("Citation: "), citation), F.concat(F.lit("Court: "), court), F.concat(F.lit("Paragraphs: "), shown), body)
 
 
-def build_context(chunks: DataFrame, cases: DataFrame, total: int = TOTAL, per_case: int = PER_CASE) -> DataFrame:
-    """(source_table, source_id, case_index, block, chars, used): the blocks that fit, best case first.
+def build_context(chunks: DataFrame, cases: DataFrame, total: int = TOTAL, per_case: int = PER_CASE, by: tuple[str, ...] = ()) -> DataFrame:
+    """(source_table, source_id, case_index, block, chars, used): the blocks that fit, best case first, for each question that ``by`` names.
 
-    The chunks are those of one question, so the window over all cases is a short list.
+    The chunks are those found for a question, so the window over its cases is a short list.
     """
-    c = cases_of(chunks).withColumn("body", merged_text(F.col("parts"), per_case))
+    c = cases_of(chunks, by).withColumn("body", merged_text(F.col("parts"), per_case))
     c = c.join(cases.select(F.col("source_table"), F.col("id").alias("source_id"), "title", "citation", "court"), KEY, "left")
-    c = c.withColumn("case_index", F.row_number().over(Window.orderBy("best_rank", *KEY)))
+    c = c.withColumn("case_index", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("best_rank", *KEY)))
     block = case_block(F.col("case_index"), F.coalesce("title", F.lit("Untitled")), F.col("citation"), F.col("court"), F.col("paragraphs"), F.col("body"))
     c = c.withColumn("block", block).withColumn("chars", F.length("block"))
-    return within_budget(c, ["best_rank", *KEY], "chars", total).select(*KEY, "case_index", "block", "chars", "used")
+    return within_budget(c, ["best_rank", *KEY], "chars", total, by).select(*by, *KEY, "case_index", "block", "chars", "used")
 
 
 def registry_index(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -150,3 +150,37 @@ def audit_steps(calls: DataFrame) -> DataFrame:
     per = calls.groupBy("message_id").agg(F.count(F.lit(1)).alias("_c"))
     ends = per.select("message_id", F.inline(F.array(F.struct(F.lit(1).alias("step_order"), F.lit("agent_start").alias("step")), F.struct((F.col("_c") + 2).cast("int").alias("step_order"), F.lit("generate").alias("step")))))
     return tools.unionByName(ends)
+
+
+def merged_filters(names: tuple[str, ...], tool: str = "tool", session: str = "session") -> Column:
+    """Filters by name of two maps of texts: the session's win, even blank ones, and blank ones are dropped then."""
+    one = [F.struct(F.lit(n).alias("k"), F.when(F.map_contains_key(session, n), F.col(session)[n]).otherwise(F.col(tool)[n]).alias("v")) for n in names]
+    return F.map_from_entries(F.filter(F.array(*one), lambda x: F.coalesce(x["v"], F.lit("")) != ""))
+
+
+def owned(rows: DataFrame, id_: Column, user: Column) -> DataFrame:
+    """The row of an id if it is the user's."""
+    return rows.where((F.col("id") == id_) & (F.col("user_id") == user))
+
+
+def with_session(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Messages with the title of their session; those without a session are left out."""
+    return messages.join(sessions.select("session_id", F.col("title").alias("session_title")), "session_id")
+
+
+def paragraph_labels(c: Column) -> Column:
+    """Labels that aren't blank, trimmed; null for none at all."""
+    kept = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(kept) > 0, kept)
+
+
+def full_chunks_of_hot(tiers: DataFrame, chunks: DataFrame, most: int = 150) -> DataFrame:
+    """(session_id, case_id, chunk_index, ...): all chunks of each session's hot cases, the first ``most`` of a case."""
+    hot = tiers.where("tier = 'hot'").select("session_id", "case_id")
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("chunk_index"))
+    return hot.join(chunks.withColumn("_n", n).where(F.col("_n") <= most).drop("_n"), "case_id")
+
+
+def escaped(c: Column) -> Column:
+    """Text as a pattern that matches just it."""
+    return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")

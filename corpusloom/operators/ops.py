@@ -107,3 +107,21 @@ def daily_counts(events: DataFrame) -> DataFrame:
 def first_of_kind(events: DataFrame, by: str = "user_id") -> DataFrame:
     w = Window.partitionBy(by, "event_type").orderBy("ts", "event_id")
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def plan_type(plan_id: Column, ids: dict[str, str]) -> Column:
+    """The plan whose id this is (``ids``: plan to id), else null; a blank id is no plan's."""
+    out = F.lit(None).cast("string")
+    for plan, known in ids.items():
+        out = F.when((plan_id == known) & (plan_id != ""), plan).otherwise(out)
+    return out
+
+
+def stamped(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """A time put in where none is; others stay."""
+    return rows.withColumn(column, F.coalesce(column, value))
+
+
+def failed_sample(rows: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
+    """(id, preview): the first failed records by id and how their texts begin."""
+    return rows.where("status = 'failed'").orderBy("id").limit(n).select("id", F.coalesce(F.nullif(F.substring("text", 1, chars), F.lit("")), F.lit("(empty)")).alias("preview"))

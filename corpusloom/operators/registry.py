@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sort_tokens, squeeze, token_sort_ratio
-from ..sources.durable import settled
+from ..sources.durable import sent_if_small, settled
 
 ACT_SCORE, JUDGE_SCORE = 85, 82
 ABSORB, FOLD = 88, 90
@@ -120,11 +120,25 @@ def merged(scraped: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, short: int = 8) -> DataFrame:
-    """(text_id, alias) of aliases in texts; short ones as whole words only. The aliases are a registry, read whole into every task."""
+    """(text_id, alias) of aliases in texts; short ones as whole words only. Every text meets every alias; the aliases are counted before they go to all tasks."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     hit = F.when(F.length("alias") <= short, F.contains(padded, F.concat(F.lit(" "), F.lower("alias"), F.lit(" ")))).otherwise(F.contains(F.lower("text"), F.lower("alias")))
-    return texts.crossJoin(F.broadcast(aliases)).where(hit).select("text_id", "alias")
+    return texts.crossJoin(sent_if_small(aliases)).where(hit).select("text_id", "alias")
 
 
 def is_clean_judge(c: Column) -> Column:
-    return (F.length(c) >= 6) & (F.size(F.split(F.trim(c), r"\s+")) >= 2) & ~c.rlike(r"\band[A-Z]") & ~c.rlike(r"^\d")
+    """Whether a registry's name can be a person's: six letters and two words at least, no number first, no ``and`` run into a name."""
+    name = F.trim(c)
+    return (F.length(name) >= 6) & (F.size(F.split(name, r"\s+")) >= 2) & ~name.rlike(r"\band(?=[A-Z])") & ~name.rlike(r"^\d")
+
+
+def search_names(judges: DataFrame, acts: DataFrame) -> DataFrame:
+    """(alias, canonical) for questions: of both registries (canonical, aliases) each name and alias, without judges' names that can't be names."""
+    both = judges.where(is_clean_judge(F.col("canonical"))).select("canonical", "aliases").union(acts.select("canonical", "aliases"))
+    return both.select(F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("alias"), "canonical")
+
+
+def write_registry(entries: DataFrame, path: str) -> None:
+    """A registry (canonical, aliases) as one JSON file of entries in order of name, as ``registry`` of the sources reads it."""
+    one = entries.agg(F.array_sort(F.collect_list(F.struct("canonical", "aliases"))).alias("entries"))
+    one.coalesce(1).write.mode("overwrite").json(path)

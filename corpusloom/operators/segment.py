@@ -10,9 +10,15 @@ from ..functions.text import blank_to_null, head, strip
 SIZE, STRIDE = 2000, 1800
 MIN_BODY, MIN_COUNT, MIN_COVER = 15, 3, 0.4
 SYNTHETIC = 1500
-#: Where a numbered paragraph begins: 14.1 and 14A need no mark after them, 14 needs a dot or a bracket.
-NUMBERED = r"[ \t]*(?:\d+\.\d+[A-Za-z]?|\d+[A-Za-z]|\d+\.|\d+\))[ \t]+(?=\S)"
-PARA_WORD = r"\s*(?:[Pp][Aa][Rr][Aa](?:[Gg][Rr][Aa][Pp][Hh])?)\s+\d+(?:\.\d+)?[A-Za-z]?\b\s*[.:\-]?\s*"
+_WHOLE, _LETTER = r"\d+", "[A-Za-z]"
+#: Labels that can't be taken for a number in running text: one with a part after the dot, or a letter after the number.
+_PLAIN_TO_SEE = (rf"{_WHOLE}\.{_WHOLE}{_LETTER}?", f"{_WHOLE}{_LETTER}")
+#: A whole number alone could be (14 days later), so it needs a dot or a closing bracket.
+_MARKED = rf"{_WHOLE}[.)]"
+#: Where a numbered paragraph begins: a label of either kind at the start of a line, blanks, and text on the same line.
+NUMBERED = rf"[ \t]*(?:{'|'.join((*_PLAIN_TO_SEE, _MARKED))})[ \t]+(?=\S)"
+#: Where one begins that says so: the word, short or long, a label of any kind, and a dot, colon or dash if there is one.
+PARA_WORD = rf"\s*(?i:para|paragraph)\s+{_WHOLE}(?:\.{_WHOLE})?{_LETTER}?\b\s*[.:-]?\s*"
 
 
 def fixed_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", header: Column | None = None, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
@@ -87,12 +93,14 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(key, strategy, paragraph_number, paragraph_order, start_char, end_char, paragraph_text, kind).
 
     Numbered paragraphs if there are three or more and they cover two fifths of the text; else paragraphs that begin
-    with the word; else blocks. Steps are kept as columns, so that each is computed once.
+    with the word; else blocks. Openings are counted first: texts with fewer than three aren't cut by them. Steps are
+    kept as columns, so that each is computed once.
     """
     t = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).where(strip(F.col("_t")) != "")
-    t = t.withColumn("_n", _regex_paragraphs(F.col("_t"), NUMBERED)).withColumn("_w", _regex_paragraphs(F.col("_t"), PARA_WORD))
-    ok_n, ok_w = _reasonable(F.col("_n"), F.col("_t")), _reasonable(F.col("_w"), F.col("_t"))
-    t = t.withColumn("strategy", F.when(ok_n, "numbered").when(ok_w, "para_word").otherwise("synthetic"))
+    cut = lambda opening: F.when(F.regexp_count("_t", F.lit(f"(?m)^{opening}")) >= MIN_COUNT, _regex_paragraphs(F.col("_t"), opening))
+    ok = lambda c: F.coalesce(_reasonable(F.col(c), F.col("_t")), F.lit(False))
+    t = t.withColumn("_n", cut(NUMBERED)).withColumn("_by_number", ok("_n")).withColumn("_w", F.when(~F.col("_by_number"), cut(PARA_WORD)))
+    t = t.withColumn("strategy", F.when(F.col("_by_number"), "numbered").when(ok("_w"), "para_word").otherwise("synthetic"))
     chosen = F.when(F.col("strategy") == "numbered", _labelled(F.col("_n"), "numbered")).when(F.col("strategy") == "para_word", _labelled(F.col("_w"), "numbered")).otherwise(_synthetic(F.col("_t")))
     return t.select(key, "strategy", F.inline(chosen))
 

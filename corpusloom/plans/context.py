@@ -42,10 +42,11 @@ def _steps(spark, d):
 
 def _context(spark, d):
     docs = table(spark, d, "documents")
-    hits = fts(spark, d).where("query_id = 1").select(F.col("chunk_id").alias("doc_id"), "source_table", "rank")
-    chunks = fixed_chunks(docs.join(hits, "doc_id", "left_semi")).where("chunk_index <> 1").select("doc_id", "chunk_index", "chunk_text").join(hits, "doc_id")
-    chunks = chunks.select("source_table", F.col("doc_id").alias("source_id"), "chunk_index", F.col("chunk_text").alias("text"), "rank", F.array(F.col("chunk_index").cast("string")).alias("paragraph_numbers"))
-    return c.build_context(chunks, cases(docs)).select("source_table", "source_id", "case_index", "chars", "used")
+    hits = fts(spark, d).select(F.col("chunk_id").alias("doc_id"), "source_table", "query_id", "rank")
+    # of each hit the first chunks and, after a gap, the fourth
+    chunks = fixed_chunks(docs.join(hits, "doc_id", "left_semi")).where("chunk_index <= 3 AND chunk_index <> 2").join(hits, "doc_id")
+    chunks = chunks.select("query_id", "source_table", F.col("doc_id").alias("source_id"), "chunk_index", F.col("chunk_text").alias("text"), "rank", F.array(F.col("chunk_index").cast("string")).alias("paragraph_numbers"))
+    return c.build_context(chunks, cases(docs), by=("query_id",)).select("query_id", "source_table", "source_id", "case_index", "chars", "used")
 
 
 def _calls(spark, d):
@@ -62,7 +63,7 @@ QUERIES = {
     "session_summary": lambda spark, d: c.session_summary(c.recency(_cited(spark, d)), spark.range(11).select(F.col("id").alias("case_id"), F.concat(F.lit("Case "), F.col("id").cast("string")).alias("title"))),
     "citation_validate": lambda spark, d: c.citations(_answers(spark, d), _visible(spark, d)),
     "citation_footers": lambda spark, d: c.checked_answers(_answers(spark, d), _visible(spark, d)).select("answer_id", "n_markers", "n_mismatches"),
-    "headnote_snippets": lambda spark, d: table(spark, d, "benchmark").select("item_id", F.length(c.snippet(F.col("text"))).alias("n")),
+    "headnote_snippets": lambda spark, d: table(spark, d, "benchmark").select("item_id", c.snippet(F.concat(F.lit("  "), "text", F.lit(" "), F.repeat(F.col("text"), (F.col("item_id") % 4).cast("int")))).alias("snippet")),
     "registry_index": lambda spark, d: c.registry_index(_calls(spark, d), ("session_id",)).select("session_id", "source_id", "index"),
     "audit_steps": lambda spark, d: c.audit_steps(table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("call_order"))),
 }
@@ -76,7 +77,7 @@ SQL = {
     "session_summary": f"WITH {_CITED} SELECT session_id, string_agg(place || '. Case ' || case_id || ' (' || CASE WHEN place <= 6 THEN 'hot' ELSE 'cold' END || ')', chr(10) ORDER BY place) AS summary FROM z GROUP BY session_id",
     "citation_validate": f"WITH {_ANSWERS} SELECT * FROM k",
     "citation_footers": f"WITH {_ANSWERS} SELECT answer_id, count(*) AS n_markers, count(reason) AS n_mismatches FROM k GROUP BY answer_id",
-    "headnote_snippets": "SELECT item_id, CASE WHEN length(trim(text)) > 400 THEN 401 ELSE length(trim(text)) END AS n FROM benchmark",
+    "headnote_snippets": "SELECT item_id, CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END AS snippet FROM (SELECT item_id, trim('  ' || text || ' ' || repeat(text, CAST(item_id % 4 AS BIGINT))) AS t FROM benchmark) x",
     "registry_index": "SELECT CAST(ts AS DATE) AS session_id, user_id AS source_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY min(event_id), user_id) AS index FROM events GROUP BY CAST(ts AS DATE), user_id",
     "audit_steps": "WITH c AS (SELECT user_id AS message_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click') SELECT message_id, n + 1 AS step_order, 'tool_call' AS step FROM c UNION ALL SELECT DISTINCT message_id, 1, 'agent_start' FROM c UNION ALL SELECT message_id, count(*) + 2, 'generate' FROM c GROUP BY message_id",
 }

@@ -160,6 +160,7 @@ SQL = {
     "cited_cases": f"WITH cases AS ({cases_sql()}) SELECT source_table, id, coalesce(title, 'Untitled') AS title, coalesce(citation, legacy_citation) AS citation FROM cases",
     "object_keys": f"WITH cases AS ({cases_sql()}) SELECT id, 'supreme-court/' || year || '/' || path || '_EN.pdf' AS key FROM cases WHERE path IS NOT NULL",
     "html_list_items": "WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS xs FROM pages), t AS (SELECT page_id, list_filter(list_transform(xs, lambda v: trim(regexp_replace(regexp_replace(v, '<[^>]*>', '', 'g'), '\\s+|&nbsp;', ' ', 'g'))), lambda v: v <> '') AS xs FROM l) SELECT page_id, CAST(unnest(generate_series(1, len(xs))) - 1 AS INT) AS pos, unnest(xs) AS item FROM t",
+    "strategy_histogram": "SELECT 'synthetic' AS strategy, count(*) AS documents, true AS ok FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')",
     "sampled_rows": "SELECT least(count(*), 50) AS n FROM orders",
     "stream_frames": "SELECT event_id, u.pos, CASE u.pos WHEN 0 THEN 'start' WHEN 1 THEN event_type END AS event, CASE u.pos WHEN 0 THEN '{}' WHEN 1 THEN props ELSE 'end' END AS data FROM events, (VALUES (0), (1), (2)) u(pos)",
     "blocks_by_heading": "SELECT p_partkey AS doc_id, 'Headnotes' AS heading, p_name || chr(10) || p_brand AS body FROM part UNION ALL SELECT p_partkey, 'List of Acts', p_type FROM part",

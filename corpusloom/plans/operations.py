@@ -78,7 +78,7 @@ QUERIES = {
     "status_distribution": lambda spark, d: q.distribution(table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus"))), "s"),
     "confidence_buckets": lambda spark, d: q.confidence_buckets(table(spark, d, "lineitem").select((1 - F.col("l_discount") * 6).alias("confidence"))),
     "low_confidence_review": lambda spark, d: q.review(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), "l_discount", 0.01),
-    "contradictory_pairs": lambda spark, d: q.contradictions(table(spark, d, "part").where("p_size = 7"), "p_brand", "p_type", 5),
+    "contradictory_pairs": lambda spark, d: q.contradictions(table(spark, d, "part").withColumn("p_type", F.concat("p_type", F.lit(" "), F.col("p_size").cast("string"))), "p_brand", "p_type", 5),
     "validation_summary": lambda spark, d: q.report_summary(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("field"), (F.col("o_totalprice") > 20000).alias("valid")), "id").withColumn("sample", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",")),
     "stored_vs_recomputed": lambda spark, d: q.differences(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("v")), table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("v")), "p_partkey", "v"),
     "constraint_checks": lambda spark, d: q.assertions([("orders_key", q.duplicates(table(spark, d, "orders"), ["o_orderkey"])), ("lineitem_order", table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")), ("status_domain", table(spark, d, "orders").where("o_orderstatus NOT IN ('O', 'F')"))]),
@@ -113,7 +113,7 @@ SQL = {
     "status_distribution": "SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus ELSE 'pending' END AS value, count(*) AS times FROM orders GROUP BY 1",
     "confidence_buckets": "WITH c AS (SELECT 1 - l_discount * 6 AS c FROM lineitem) SELECT CASE WHEN c >= 1 THEN '1.00' WHEN c >= 0.85 THEN '0.85+' WHEN c >= 0.7 THEN '0.70+' WHEN c >= 0.5 THEN '0.50+' ELSE '<0.50' END AS bucket, count(*) AS times FROM c GROUP BY 1",
     "low_confidence_review": "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount < 0.01",
-    "contradictory_pairs": "WITH p AS (SELECT * FROM part WHERE p_size = 7), a AS (SELECT p_brand FROM p GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 5), b AS (SELECT p_type FROM p GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 5) SELECT p_brand, p_type FROM a, b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.p_brand = a.p_brand AND p.p_type = b.p_type)",
+    "contradictory_pairs": "WITH p AS (SELECT p_brand, p_type || ' ' || p_size AS p_type FROM part), a AS (SELECT p_brand FROM p GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 5), b AS (SELECT p_type FROM p GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 5) SELECT p_brand, p_type FROM a, b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.p_brand = a.p_brand AND p.p_type = b.p_type)",
     "validation_summary": "WITH v AS (SELECT o_orderkey AS id, o_orderpriority AS field, o_totalprice > 20000 AS valid FROM orders), s AS (SELECT field, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY id) AS n FROM v WHERE NOT valid) x WHERE n <= 10 GROUP BY field) SELECT v.field, count(*) FILTER (valid) AS passed, count(*) FILTER (NOT valid) AS failed, coalesce(max(s.sample), '') AS sample FROM v LEFT JOIN s ON s.field = v.field GROUP BY v.field",
     "stored_vs_recomputed": "SELECT count(*) FILTER (p_size > 10) AS same, count(*) FILTER (p_size <= 10) AS different, 0 AS was_empty, count(*) FILTER (p_size <= 10) AS now_empty FROM part",
     "constraint_checks": "SELECT 'orders_key' AS \"check\", (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) x) AS violations UNION ALL SELECT 'lineitem_order', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'status_domain', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F'))",

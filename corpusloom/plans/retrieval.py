@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_sql
+from ..functions.text import tokens, tokens_sql
+from ..functions.vectors import dot
 from ..operators import retrieval as r
 from ..sources.tables import table
 
@@ -34,7 +35,8 @@ def _asked(spark, d):
 def fts(spark, d, limit=r.BRANCH):
     chunks = _chunks(spark, d)
     asked = questions(spark)
-    hits = r.match_all(r.postings(chunks, only=r.query_terms(asked)), asked).join(chunks.select("chunk_id", "source_table"), "chunk_id")
+    some = r.with_all_terms(chunks, asked)
+    hits = r.match_all(r.postings(some, only=r.query_terms(asked)), asked).join(chunks.select("chunk_id", "source_table"), "chunk_id")
     return r.ranked(hits, F.desc(F.round("score", 9)), ["query_id", "source_table"], limit=limit)
 
 
@@ -85,6 +87,15 @@ def _capped(spark, d):
     return r.capped(c, 16, preferred).select("chunk_id", "source_table", "source_id", "n")
 
 
+def _embedded(spark, d):
+    """Items beside the next one: texts with a term in common have vectors that aren't at right angles, and none is all zero."""
+    b = table(spark, d, "benchmark").select("item_id", "text", r.hashed_embedding("text", 64).alias("v"))
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("t2"), F.col("v").alias("w")), "item_id")
+    common = F.size(F.array_intersect(tokens("text"), tokens("t2"))) > 0
+    near, full = dot(F.col("v"), F.col("w")) > 1e-9, F.abs(dot(F.col("v"), F.col("v")) - 1) < 1e-5
+    return pairs.where(common | (F.size(tokens("text")) == 0)).select("item_id", "other", near.alias("related"), full.alias("filled"))
+
+
 QUERIES = {
     "fts_and_match_topk": lambda spark, d: _rounded(fts(spark, d).select("query_id", "chunk_id", "source_table", "score", "rank"), "score"),
     "vector_cosine_topk": lambda spark, d: _rounded(_near(spark, d, limit=10), "distance"),
@@ -97,7 +108,7 @@ QUERIES = {
     "chunks_per_case_preferred": _capped,
     "rerank_overlap": lambda spark, d: _rounded(r.rerank(fts(spark, d), _chunks(spark, d), questions(spark), 5).select("query_id", "chunk_id", "relevance", "rank"), "relevance"),
     "load_case_aspect": lambda spark, d: r.load_case(_chunks(spark, d).select("chunk_id", "text", "source_table", (F.col("chunk_id") % 7).alias("source_id"), F.col("chunk_id").alias("chunk_index")), "sc", 3, questions(spark).where("query_id = 2"), 60, 10).select("chunk_id", "chunk_index"),
-    "hashed_embeddings": lambda spark, d: table(spark, d, "benchmark").select("item_id", F.size(r.hashed_embedding("text", 16)).alias("dim"), F.round(F.aggregate(r.hashed_embedding("text", 16), F.lit(0.0), lambda s, v: s + v * v), 3).alias("norm")),
+    "hashed_embeddings": lambda spark, d: _embedded(spark, d),
 }
 
 SQL = {
@@ -110,5 +121,12 @@ SQL = {
     "retrieval_trace_counts": _FTS + f", {_VEC}, vk AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY distance, chunk_id) AS rank FROM vec), a AS (SELECT query_id, source_table, 'fts' AS method FROM k WHERE rank <= 40 UNION ALL SELECT query_id, source_table, 'vec' FROM vk WHERE rank <= 40) SELECT query_id, method, count(*) FILTER (source_table = 'sc') AS sc, count(*) FILTER (source_table = 'hc') AS hc FROM a GROUP BY query_id, method",
     "chunks_per_case_preferred": f"WITH c AS (SELECT doc_id AS chunk_id, {_TABLE} AS source_table, doc_id % 7 AS source_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source_table, source_id ORDER BY CASE WHEN chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 0 ELSE 1 END, chunk_id) AS n FROM c) SELECT chunk_id, source_table, source_id, n FROM n WHERE n <= 16",
     "rerank_overlap": _FTS + f", o AS (SELECT k.query_id, k.chunk_id, len(list_intersect(list_distinct({tokens_sql('q.question')}), {tokens_sql('d.text')})) / CAST(len(list_distinct({tokens_sql('q.question')})) AS DOUBLE) AS relevance FROM k JOIN q USING (query_id) JOIN documents d ON d.doc_id = k.chunk_id WHERE rank <= 40), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS rank FROM o) SELECT query_id, chunk_id, round(relevance, 6) AS relevance, rank FROM z WHERE rank <= 5",
-    "hashed_embeddings": "SELECT item_id, 16 AS dim, 1.0 AS norm FROM benchmark",
+    "query_expansion": """WITH q AS (SELECT * FROM (VALUES (0, 'red'), (1, 'blue'), (2, 'large'), (3, 'nothing')) v(query_id, w)), t AS (SELECT query_id, 'Which parts are ' || w || ' or alike' AS question FROM q),
+g AS (SELECT string_split(lower(p_name), ' ')[1] AS alias, min(lower(p_name)) AS canonical FROM part GROUP BY 1), g2 AS (SELECT alias, canonical FROM g WHERE alias <> canonical),
+h AS (SELECT query_id, question, alias, canonical, CASE WHEN length(alias) <= 8 THEN instr(' ' || regexp_replace(lower(question), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' ' || alias || ' ') ELSE instr(lower(question), alias) END AS place FROM t, g2),
+m AS (SELECT query_id, substr(question, 1, place - 1) || canonical || substr(question, place + length(alias)) AS variant, length(alias) AS len, alias FROM h WHERE place > 0 UNION ALL SELECT query_id, question, 1048576, '' FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, alias, lower(variant)) AS n FROM m) SELECT query_id, variant, CAST(n AS INT) AS n FROM n WHERE n <= 5""",
+    "load_case_aspect": f"WITH own AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE lang = 'en' AND doc_id % 7 = 3), p AS (SELECT doc_id, len(list_intersect(list_distinct({tokens_sql('q')}), {tokens_sql('text')})) / 2.0 AS relevance FROM (SELECT doc_id, text, 'then hand' AS q FROM own WHERE n <= 60) x), z AS (SELECT doc_id, row_number() OVER (ORDER BY relevance DESC, doc_id) AS k FROM p) SELECT doc_id AS chunk_id, doc_id AS chunk_index FROM z WHERE k <= 10",
+    "search_fresh": _FTS + f", o AS (SELECT k.query_id, k.chunk_id, len(list_intersect(list_distinct({tokens_sql('q.question')}), {tokens_sql('d.text')})) / CAST(len(list_distinct({tokens_sql('q.question')})) AS DOUBLE) AS relevance FROM k JOIN q USING (query_id) JOIN documents d ON d.doc_id = k.chunk_id WHERE rank <= 40), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS rank FROM o) SELECT query_id, chunk_id, CAST(rank AS INT) AS rank FROM z WHERE rank <= 10",
+    "hashed_embeddings": f"WITH t AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS toks FROM benchmark) SELECT a.item_id, b.item_id AS other, len(list_intersect(a.toks, b.toks)) > 0 AS related, len(a.toks) > 0 AS filled FROM t a JOIN t b ON b.item_id = a.item_id + 1 WHERE len(list_intersect(a.toks, b.toks)) > 0 OR len(a.toks) = 0",
 }

@@ -39,7 +39,8 @@ def _with_header(spark, d):
 
 
 def _batches(spark, d):
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("part"), "doc_id", g.token_estimate(F.col("text")).alias("n"))
+    # a thousand ids a list, so that lists don't grow with the table
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.coalesce(g.token_estimate(F.col("text")), F.lit(0)).alias("n"))
     each = docs.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("xs"))
     return each.select("part", F.inline(F.arrays_zip(F.col("xs.doc_id").alias("doc_id"), g.token_batches(F.col("xs.n"), 5000).alias("batch"))))
 
@@ -56,7 +57,20 @@ QUERIES = {
     "page_ranges": lambda spark, d: table(spark, d, "part").select("p_partkey", F.posexplode(F.sequence(F.lit(0), F.col("p_size") - 1, F.lit(12))).alias("part", "first")).select("p_partkey", "part", "first"),
 }
 
+_PLACED = """x AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p, 'The order of this customer was placed with priority ' || o_orderpriority || ' and ' AS a FROM orders)"""
+_TEXTS = f"""{_PLACED}, t AS (SELECT doc_id, CASE WHEN doc_id % 280 = 0 THEN 'No numbers here.' || chr(10) || chr(10) || repeat('A long sentence about nothing at all that goes on. ', 40) || chr(10) || chr(10) || 'The end of ' || p
+ELSE concat_ws(chr(10) || chr(10), 'IN THE MATTER', '1. ' || a || 'delivery was settled.', '2. ' || a || 'price was settled.', '3) ' || a || 'interest was settled.', '4.1 ' || a || 'costs was settled.', '4.2 ' || a || 'notice was settled.', CASE WHEN doc_id % 400 = 0 THEN '2. ' || a || 'a second claim was settled.' END, '5A ' || a || 'the rest was settled.') END AS text FROM x)"""
 SQL = {
+    "display_resplit": f"WITH {_TEXTS}, m AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.;:]) (\\(?[0-9ivx]+[.)] )', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda v: trim(v)), lambda v: v <> '') AS xs FROM t) SELECT doc_id, CAST(unnest(generate_series(1, len(xs))) - 1 AS INT) AS pos, unnest(xs) AS part FROM m",
+    "chunk_paragraphs": _NUMBERED.replace("WITH b AS", "WITH RECURSIVE b AS").split("SELECT doc_id, 'numbered' AS strategy")[0] + """,
+ps AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS i, CASE WHEN o = 5 THEN '2#2' ELSE n END AS num, 'The order of this customer was placed with priority ' || p || ' and ' || w || ' was settled.' AS body FROM v),
+r(doc_id, i, chunk, used) AS (SELECT doc_id, i, 0, length(body) FROM ps WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN r.used + length(p.body) > 200 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.used + length(p.body) > 200 THEN length(p.body) ELSE r.used + length(p.body) END FROM r JOIN ps p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+e AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p FROM orders WHERE o_orderkey % 280 = 0)
+SELECT r.doc_id, CAST(r.chunk AS INT) AS chunk_index, CAST(3 + length(string_agg('¶' || num || '  ' || body, chr(10) || chr(10) ORDER BY r.i)) AS INT) AS n, string_agg(num, ',' ORDER BY r.i) AS labels FROM r JOIN ps ON ps.doc_id = r.doc_id AND ps.i = r.i GROUP BY r.doc_id, r.chunk
+UNION ALL SELECT doc_id, CAST(k AS INT), CAST(3 + 6 + CASE WHEN k < 10 THEN 200 ELSE 57 END AS INT), 's1' FROM e, (SELECT unnest(generate_series(0, 10)) AS k) s UNION ALL SELECT doc_id, 11, CAST(3 + 5 + length('The end of ' || p) AS INT), 's2' FROM e""",
+    "token_batches": """WITH RECURSIVE t AS (SELECT doc_id // 1000 AS part, doc_id, CAST(floor(coalesce(length(text), 0) / 2.5) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
+r(part, i, doc_id, batch, used) AS (SELECT part, i, doc_id, 0, n FROM t WHERE i = 1 UNION ALL SELECT t.part, t.i, t.doc_id, CASE WHEN r.used + t.n > 5000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + t.n > 5000 THEN t.n ELSE r.used + t.n END FROM r JOIN t ON t.part = r.part AND t.i = r.i + 1)
+SELECT part, doc_id, CAST(batch AS INT) AS batch FROM r""",
     "chunk_fixed": "WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (" + _WINDOWS.format(cols="", cols2="", strip=_STRIP.format("substring(t, i * 1800 + 1, 2000)")) + ") SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, length(c) AS n, md5(c) AS digest FROM w WHERE c <> ''",
     "chunk_with_header": f"WITH s AS (SELECT d.doc_id, {_STRIP.format('text')} AS t, 'Source: ' || source || chr(10) || 'Language: ' || lang || coalesce(chr(10) || 'Quality: ' || CAST(quality AS VARCHAR), '') || CASE WHEN trim(substring(text, 1, 50), ' ' || chr(10) || chr(9) || chr(13)) <> '' THEN chr(10) || 'Start: ' || substring(text, 1, 50) ELSE '' END || chr(10) || chr(10) AS h FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), w AS (" + _WINDOWS.format(cols="h, ", cols2="h, ", strip=_STRIP.format("substring(t, i * 1800 + 1, 2000)")) + ") SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, length(h || c) AS n, md5(h || c) AS digest FROM w WHERE c <> ''",
     "paragraph_extract": _NUMBERED,

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of spark.checkpoint.dir; only in local mode may that be a temporary one."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+#: Rows that are sent to every task, at most.
+SMALL = 100_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked to be broadcast if it has SMALL rows at most; counted first, and otherwise left to Spark."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; only in local mode may it be a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
@@ -17,4 +28,10 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpusloom.operators import consensus, context, evaluate, filters, lookup, ops, quality, registry, retrieval, search
+from corpusloom.operators import consensus, context, evaluate, extract, filters, lookup, ops, quality, registry, retrieval, search
 from corpusloom.sources import sinks, tables
 from corpusloom.streaming import operational
 
@@ -96,6 +96,73 @@ def test_consensus(spark):
     assert r["confidence"] == 0.5 and len(r["value"]) == 2
 
 
+def fields(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    return extract.all_fields(df).first().asDict(recursive=True)
+
+
+def test_sections_need_a_line_of_their_own(spark):
+    head = "[2003] 4 S.C.R. 77 : 2003 INSC 9\n\nA. Khan\nv.\nState of Goa\n(Review Petition No. 5 of 2003)\n\n"
+    got = fields(spark, head + "In the headnotes\nare no Headnotes of any kind.\nHeadnotes*:\nFirst holding.\n\nList of Acts and more\nOne\nJUDGMENT\nList of Acts\nLate Act, 1999\n")
+    assert got["headnotes"] == "First holding." and got["acts_cited"] == [] and got["case_category"] == "Review" and got["case_number"] == "Review Petition No. 5 of 2003"
+    long = fields(spark, head + "Headnotes\n" + "x" * 4000)
+    assert len(long["headnotes"]) == extract.SECTION_CHARS and long["issue_for_consideration"] is None
+    assert fields(spark, "Headnotes\n" + "y" * 40_000 + "\nList of Acts\nLate Act, 1999\n")["acts_cited"] == []
+    none = fields(spark, None)
+    assert none["fields_extracted"] == 1 and none["case_category"] == "Other" and none["judge_names"] == []
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("Criminal and civil", "Criminal"), ("SLP (C) 4", "Civil"), ("a writ petition", "Constitutional"), ("income tax", "Tax"), ("transfer of a petition", "Transfer"), ("transfer alone", "Other"),
+    ("contempt and review", "Contempt"), ("review", "Review"), ("x" * 5000 + " criminal", "Other"), ("z" * 5000 + "\nCase Arising From\nCivil Jurisdiction\nJUDGMENT\n", "Civil"),
+])
+def test_categories(spark, text, kind):
+    assert fields(spark, text)["case_category"] == kind
+
+
+@pytest.mark.parametrize("text,number", [
+    ("(Civil Appeal No. 12 of 2003)", "Civil Appeal No. 12 of 2003"), ("(Writ Petition (Civil) No. 1-3 OF 1999)", "Writ Petition (Civil) No. 1-3 OF 1999"), ("in Special Leave Petition No. 7/8 of 2001 we", "Special Leave Petition No. 7/8 of 2001"),
+    ("Civil Appeal No. 12", None), ("x" * 3000 + "(Civil Appeal No. 12 of 2003)", None), ("(In the matter of a long Civil Suit No. 3 of 2004)", None),
+])
+def test_case_numbers(spark, text, number):
+    assert fields(spark, text)["case_number"] == number
+
+
+def test_page_marks_go(spark):
+    c = spark.createDataFrame([("a\u0008b [2003] 4 S.C.R.\nc\n 17 \nd Digital Supreme Court Reports\ne * Author\nState of A. v. B. Roy\n7) f  g\n\n\n\nh ",)], "t string")
+    assert c.select(extract.cleaned(F.col("t"))).first()[0] == "ab c\nd e \n7) f  g\n\n\n\nh " and c.select(extract.cleaned(F.col("t"), flat=True)).first()[0] == "ab c\nd e \n7) f g\n\nh"
+
+
+def test_layout_blocks_and_registry_names(spark):
+    p = spark.createDataFrame([(1, None, ["x"]), (2, " ", ["x"]), (3, " ", []), (4, "a; b", ["x"])], "i int, b string, f array<string>")
+    lists = consensus.layout_block(F.col("b"), lambda b: F.transform(F.split(b, ";"), lambda x: F.trim(x)))
+    got = {r["i"]: (r["l"], r["m"]) for r in p.withColumn("l", lists).withColumn("m", consensus.layout_merged(F.col("f"), F.col("l"), "array<string>")).collect()}
+    assert got == {1: (None, ["x"]), 2: ([], ["x"]), 3: ([], []), 4: (["a", "b"], ["a", "b"])}
+    judges = spark.createDataFrame([("B.R", []), ("Aniruddha Bose andB. Pardiwala", []), ("2 Judge Bench", []), ("A. K. Sikri", ["Sikri"]), ("Chandrachud", [])], "canonical string, aliases array<string>")
+    assert {r["alias"] for r in registry.search_names(judges, judges.limit(0)).collect()} == {"A. K. Sikri", "Sikri"}
+
+
+def test_live_search_equals_the_index(spark, sf, monkeypatch):
+    docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = spark.createDataFrame([(0, "Licensed under the License"), (1, "all rights reserved"), (2, "of the"), (3, "nowhere to be found")], "query_id int, question string")
+    all_ = {tuple(r) for r in retrieval.match_all(retrieval.postings(docs), asked).collect()}
+    some = retrieval.with_all_terms(docs, asked)
+    assert all_ and some.count() < docs.count() and {tuple(r) for r in retrieval.match_all(retrieval.postings(some), asked).collect()} == all_
+    monkeypatch.setattr(retrieval, "LIVE_QUERIES", 1)
+    assert retrieval.with_all_terms(docs, asked) is docs
+
+
+def test_session_pieces(spark):
+    m = spark.createDataFrame([({"court": "SC", "year": "2001"}, {"court": "", "judge": None})], "tool map<string,string>, session map<string,string>")
+    assert m.select(context.merged_filters(("court", "year", "judge"))).first()[0] == {"year": "2001"}
+    a = spark.createDataFrame([(["  ", " 4 "],), ([],), (None,)], "a array<string>")
+    assert [r[0] for r in a.select(context.paragraph_labels(F.col("a"))).collect()] == [["4"], None, None]
+    t = spark.createDataFrame([("a.b*(c)[d]\\",)], "t string").select("t", context.escaped(F.col("t")).alias("p"))
+    assert t.where("t RLIKE concat('^', p, '$')").count() == 1 and t.where("'axb*(c)[d]' RLIKE p").count() == 0
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "id int, user_id int")
+    assert context.owned(rows, F.lit(1), F.lit(7)).count() == 1 and context.owned(rows, F.lit(1), F.lit(8)).count() == 0
+
+
 def test_registry(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text(json.dumps({"entries": [{"canonical": "Contract Act", "aliases": ["C Act"]}, {"canonical": "Contract Act 2", "aliases": ["C ACT"]}]}))
