@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, recompression, sharding, sql, suffix_array, toxicity
+from . import bpe, line_dedup, media_columns, naming, near_dedup, packing, quality_rules, recompression, sharding, sql, suffix_array, toxicity
 from ._repeats import removed_words
 from ._shared import passing_path, text_key, words_of
 
@@ -42,7 +42,7 @@ def _kept_digests(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return _kept_digests(docs, recompression.repeats(docs), recompression.WINDOW)
+    return _kept_digests(docs, naming.repeats(docs), recompression.WINDOW)
 
 
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, line_dedup, media_columns, near_dedup, packing, quality_rules, queries, recompression, sharding, suffix_array, toxicity
+from corpusloom.llm import _repeats, bpe, line_dedup, media_columns, naming, near_dedup, packing, quality_rules, queries, recompression, sharding, suffix_array, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, k string, value long"
@@ -200,6 +200,21 @@ def test_repeats(docs, rows, none, module, n):
     assert module.remove_repeats(none).count() == 0
 
 
+def test_names_by_spark(docs, none):
+    """Rounds named by Spark find the same repeats as those named in tasks; a name stands for the same words everywhere."""
+    plain = lambda found: sorted((r["k"], r["whole"], r["n_removed"], r["kept"]) for r in found.collect())
+    assert plain(naming.repeats(docs)) == plain(recompression.repeats(docs)) and naming.repeats(none).count() == 0
+    texts = _repeats.affected(docs, "text", recompression.WINDOW, recompression.symbols)
+    inside, n = {}, recompression.WINDOW
+    for r in naming.symbols_by_spark(texts).collect():
+        assert len(r["names"]) < len(r["ids"]) and r["lo"] == sorted(r["lo"]) and r["hi"] == sorted(r["hi"])
+        for s in range(len(r["ids"]) - n + 1):
+            own = [name for name, lo, hi in zip(r["names"], r["lo"], r["hi"]) if s <= lo and hi <= s + n]
+            inside.setdefault(tuple(r["ids"][s:s + n]), []).append(own)
+    assert all(own == all_[0] for all_ in inside.values() for own in all_) and sum(len(x) > 1 and len(x[0]) > 0 for x in inside.values()) > 20
+    assert any(name % naming.STEPS == 2 * recompression.ROUNDS for x in inside.values() for name in x[0])
+
+
 def test_symbols_are_alike_inside():
     """A passage has the same anchors in any surroundings."""
     import numpy as np
