@@ -175,12 +175,13 @@ def _by_words(surroundings: DataFrame, met: DataFrame, n: int) -> DataFrame:
     """(h, check, mask) of windows that may be shared as far as neighbours tell, but not with a neighbour: found by their words.
 
     A window's partner may agree further neither to the right than the right neighbour nor to the left than the left
-    one. All such windows of suffixes that begin alike are grouped by their words.
+    one. All windows that begin as far before suffixes that begin alike are grouped by their words.
     """
     first = F.substring_index("right", " ", head_of(n))
-    beyond = surroundings.join(met.where("rest != 0").select("h", "check"), ["h", "check"], "left_semi").select(first.alias("head")).distinct()
-    some = surroundings.withColumn("head", first).join(settled(beyond), "head", "left_semi").join(met.where(F.col("l") >= n - F.col("r")).select("h", "check", "r", "l"), ["h", "check"])
-    each = some.select("h", "check", F.split("right", " ").alias("right"), F.split("left", " ").alias("left"), F.explode(F.sequence(n - F.col("r"), F.col("l"))).alias("o"))
+    beyond = surroundings.join(met.where("rest != 0").select("h", "check", "rest"), ["h", "check"]).groupBy(first.alias("head")).agg(F.bit_or("rest").alias("asked"))
+    some = surroundings.withColumn("head", first).join(settled(beyond), "head").join(met.where(F.col("l") >= n - F.col("r")).select("h", "check", "r", "l"), ["h", "check"])
+    asked = F.filter(F.sequence(n - F.col("r"), F.col("l")), lambda o: F.getbit("asked", o) == 1)  # a partner's window begins as far before
+    each = some.select("h", "check", F.split("right", " ").alias("right"), F.split("left", " ").alias("left"), F.explode(asked).alias("o"))
     held = stored(each.select("h", "check", "o", F.array_join(F.concat(F.reverse(F.slice("left", F.lit(1), F.col("o"))), F.slice("right", F.lit(1), n - F.col("o"))), " ").alias("w")))
     again = settled(held.groupBy("o", "w").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("o", "w"))
     return held.join(again, ["o", "w"], "left_semi").select("h", "check", F.expr("shiftleft(1L, o)").alias("mask"))
