@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import context as c
 from ..operators.segment import fixed_chunks
-from ..sources.tables import cases, table
-from .retrieval import fts
+from ..sources.tables import cases, cases_sql, table
+from .retrieval import FTS_SQL, fts
 
 
 def _messages(spark, d):
@@ -68,7 +68,16 @@ QUERIES = {
     "audit_steps": lambda spark, d: c.audit_steps(table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("call_order"))),
 }
 
+_CHUNKED = "w AS (SELECT doc_id, i, regexp_replace(substring(t, i * 1800 + 1, 2000), '^\\s+|\\s+$', '', 'g') AS c FROM (SELECT doc_id, coalesce(text, '') AS t, unnest(generate_series(0, CAST((length(coalesce(text, '')) - 1) // 1800 AS BIGINT))) AS i FROM documents WHERE length(coalesce(text, '')) > 0) x), ch AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM w WHERE c <> '')"
+_ASSEMBLED = FTS_SQL + f""", {_CHUNKED}, cs AS ({cases_sql()}), bodies AS (SELECT doc_id, max(CASE WHEN n = 0 THEN c END) AS c0, max(CASE WHEN n = 1 THEN c END) AS c1, max(CASE WHEN n = 3 THEN c END) AS c3 FROM ch GROUP BY doc_id),
+ranked AS (SELECT k.query_id, k.source_table, k.chunk_id AS source_id, k.rank, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank, k.source_table, k.chunk_id) AS case_index FROM k JOIN bodies ON bodies.doc_id = k.chunk_id WHERE k.rank <= 40),
+blocks AS (SELECT r.*, length(concat_ws(chr(10), '[Case ' || case_index || ']', 'Title: ' || coalesce(cs.title, 'Untitled'), 'Citation: ' || cs.citation, 'Court: ' || cs.court, 'Paragraphs: ¶0' || CASE WHEN c1 IS NOT NULL THEN ', ¶1' ELSE '' END || CASE WHEN c3 IS NOT NULL THEN ', ¶3' ELSE '' END,
+  c0 || coalesce(chr(10) || c1, '') || coalesce(chr(10) || '[...]' || chr(10) || c3, ''))) AS chars FROM ranked r JOIN bodies b ON b.doc_id = r.source_id LEFT JOIN cs ON cs.source_table = r.source_table AND cs.id = r.source_id),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY case_index) AS used FROM blocks)
+SELECT query_id, source_table, source_id, CAST(case_index AS INT) AS case_index, CAST(chars AS INT) AS chars, CAST(used AS BIGINT) AS used FROM summed WHERE case_index = 1 OR used <= 60000"""
+
 SQL = {
+    "context_assembled": _ASSEMBLED,
     "context_budget": "SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER w AS used, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) x WHERE n = 1 OR used <= 20000",
     "asof_trigger_message": "SELECT a.conv_id AS session_id, a.turn AS at, u.turn AS asked_at, u.text AS asked FROM (SELECT * FROM conversations WHERE role = 'assistant') a LEFT JOIN (SELECT * FROM conversations WHERE role = 'user') u ON u.conv_id = a.conv_id AND u.turn = (SELECT max(x.turn) FROM conversations x WHERE x.conv_id = a.conv_id AND x.role = 'user' AND x.turn < a.turn)",
     "latest_step_scalar_subquery": "WITH s AS (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error') SELECT u.user_id AS message_id, s.props AS data FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s ON s.user_id = u.user_id AND n = 1",

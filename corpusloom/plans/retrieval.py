@@ -53,7 +53,7 @@ def _rounded(df, *cols):
 _POST = f"t AS (SELECT doc_id, {_TABLE} AS source_table, {tokens_sql('text')} AS toks FROM documents), p AS (SELECT doc_id, source_table, len(toks) AS length, unnest(toks) AS term FROM t), ix AS (SELECT term, doc_id, source_table, length, count(*) AS tf FROM p GROUP BY ALL)"
 _QT = f"qt AS (SELECT query_id, unnest(list_distinct({tokens_sql('question')})) AS term FROM q), qn AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY query_id)"
 _HITS = "h AS (SELECT qt.query_id, ix.doc_id, ix.source_table, count(*) AS met, sum(tf / CAST(length AS DOUBLE)) AS s FROM ix JOIN qt USING (term) GROUP BY ALL), m AS (SELECT h.query_id, doc_id AS chunk_id, source_table, s / asked AS score FROM h JOIN qn USING (query_id) WHERE met = asked), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_table ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM m)"
-_FTS = f"WITH {_Q}, {_POST}, {_QT}, {_HITS}"
+FTS_SQL = _FTS = f"WITH {_Q}, {_POST}, {_QT}, {_HITS}"
 _COS = "1.0 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(e.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))))"
 _VEC = f"vec AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, CASE WHEN e.label % 2 = 0 THEN 'sc' ELSE 'hc' END AS source_table, {_COS} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
 
