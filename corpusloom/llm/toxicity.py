@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import functools
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,9 +253,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     for c in (0, 1):
         own = order.permutation(np.flatnonzero(y == c))
         back[own[:len(own) // 5 if len(own) >= 50 else 0]] = True
-    held = [steps(pa.array([t])) for t in texts]
-    seen = [vocabulary(w) for w in held]
-    cuts = [windows(w) for w in held]
+    seen, cuts = [], []
+    for t in texts:  # what is kept of a text is its distinct words and where its windows are, not every word's place
+        w = steps(pa.array([t]))
+        wr, cr, co, of = vocabulary(w)
+        seen.append((wr, cr, co, of.astype(np.int32)))
+        cuts.append(windows(w))
     fit = np.array([i for i in np.flatnonzero(~back) if len(cuts[i][0])])
     used = _start_rows(net, [seen[i] for i in fit], y[fit])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("word", "char")}
@@ -309,7 +313,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 squares[k][ids] += (total**2).mean(1)
                 net.p[k][ids, 1:] -= 0.02 * total / np.sqrt(squares[k][ids])[:, None]
     judge = np.flatnonzero(back) if back.any() and 0 < y[back].sum() < back.sum() else np.arange(len(y))
-    top = np.array([top_logits(*window_logits(net, held[i]), 1)[0] for i in judge])
+    top = np.array([top_logits(*window_logits(net, steps(pa.array([texts[i]]))), 1)[0] for i in judge])
     return net, -_cut(top, y[judge])
 
 
@@ -332,7 +336,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     before = F.sum("_n").over(Window.partitionBy("_y").orderBy(order, id_col)) - F.col("_n")
     fits = sizes.withColumn("_before", before).where(F.col("_before") < TRAIN_BYTES).select(id_col, "_y")
     rows = texts.join(F.broadcast(fits), id_col).groupBy(id_col, "_y").agg(F.max("_t").alias("_t")).orderBy(order, id_col).collect()
-    return train([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
+    texts, known_labels = [r["_t"] for r in rows], [int(r["_y"]) for r in rows]
+    del rows
+    model = train(texts, known_labels)
+    del texts
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Returns the memory that training has freed to the system: the driver lives on and holds much else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def score(docs: DataFrame, model: tuple[Network, float], text_col: str = "text") -> DataFrame:
