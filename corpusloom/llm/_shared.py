@@ -41,7 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = passing_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def let_go(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``, before the driver ends; nothing may read it any more."""
+    _drop(df.sparkSession, df._stored_at)
 
 
 def passing_path(spark: SparkSession) -> str:

@@ -6,19 +6,20 @@ figures of both. Here a name stands for one run or pair by construction, and two
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._repeats import affected, at_shared, repeats_of, spans_of, window_starts
-from ._shared import settled, stored
+from ._shared import let_go, settled, stored
 from ._words import Running, lists, mix, pieces, words
 from .recompression import ROUNDS, WINDOW, symbols
 
-_TOKENS = "sid bigint, k bigint, start int, ids array<bigint>, names array<bigint>, lo array<int>, hi array<int>"
+_TOKENS = "sid bigint, n_words int, names array<bigint>, lo array<int>, hi array<int>"
 #: Names of so many rounds, two steps each and one for the words, differ in their lowest digits.
 STEPS = 64
 
@@ -36,8 +37,10 @@ def _stretches(n: int):
                     continue
                 good = at_shared(symbols(w, Running(w.hash), starts, n), doc, batch.column(2), lo, hi)
                 data, out = w.data.tobytes(), ([], [], [])
-                for d in np.unique(doc[good]):
-                    for a, b in spans_of(starts[good & (doc == d)], n).tolist():
+                at, of = starts[good], doc[good]
+                own, begin = np.unique(of, return_index=True)
+                for d, some in zip(own, np.split(at, begin[1:]), strict=True):
+                    for a, b in spans_of(some, n).tolist():
                         out[0].append(int(text_keys[lo + d]))
                         out[1].append(a - int(w.first[d]))
                         out[2].append([data[x:y] for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)])
@@ -46,67 +49,107 @@ def _stretches(n: int):
     return run
 
 
-def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal names begin, and how long they are."""
-    begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists and the row of each."""
+    offsets = column.offsets.to_numpy()
+    return column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(offsets))
+
+
+def _runs(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal names of a row begin, and how long they are."""
+    begin = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (row[1:] != row[:-1])])) if len(names) else np.zeros(0, np.int64)
     return begin, np.diff(np.append(begin, len(names)))
 
 
-def _joins(names: np.ndarray, r: int) -> np.ndarray:
-    """Which symbols join the next one: a left one before a right one, sides being drawn by name and round."""
-    side = (mix(names.view(np.uint64) + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(bool)
-    out = np.zeros(len(names), bool)
-    out[:-1] = ~side[:-1] & side[1:]
+def _sides(names: np.ndarray, r: int) -> np.ndarray:
+    """Left (False) or right, drawn by name and round."""
+    return (mix(names.view(np.uint64) + np.full(1, r + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(bool)
+
+
+def _joins(names: np.ndarray, row: np.ndarray, r: int) -> np.ndarray:
+    """Which symbols join the next one: a left one before a right one of the same row."""
+    side, out = _sides(names, r), np.zeros(len(names), bool)
+    out[:-1] = ~side[:-1] & side[1:] & (row[1:] == row[:-1])
     return out
 
 
-def _defined(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    """(sid, a, b) of the distinct runs or pairs of each stretch."""
+def _defined(r: int, pairs: bool):
+    """(sid, a, b) of the distinct pairs (a before b) or runs (a, b times) of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            values, offsets, found = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), []
-            for i in range(batch.num_rows):
-                a, b = step(values[offsets[i]:offsets[i + 1]])
-                found.append(np.unique(np.stack([a, b], 1), axis=0))
-            counts = [len(x) for x in found]
-            both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["sid", "a", "b"])
+            names, row = _rows_of(batch.column(1))
+            if pairs:
+                at = np.flatnonzero(_joins(names, row, r))
+                of, a, b = row[at], names[at], names[np.minimum(at + 1, len(names) - 1)]
+            else:
+                begin, count = _runs(names, row)
+                some = count > 1
+                of, a, b = row[begin[some]], names[begin[some]], count[some].astype(np.int64)
+            order = np.lexsort((b, a, of))
+            of, a, b = of[order], a[order], b[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[new])), pa.array(a[new]), pa.array(b[new])], names=["sid", "a", "b"])
 
     return run
 
 
+def _looked_up(known: tuple[np.ndarray, ...], names: np.ndarray, asked: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The name of each asked (row, a, b); all of them are known."""
+    n = len(names)
+    keys = [np.concatenate(x) for x in zip(known, asked, strict=True)]
+    order = np.lexsort((np.arange(n + len(asked[0])) >= n, *keys[::-1]))  # what is known stands before what asks for it
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.empty(len(order), np.int64)
+    out[order] = names[np.minimum(order[first], n - 1)] if n else 0
+    return out[n:]
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, k, start, ids): the dictionary's name of each word."""
+    for batch in batches:
+        column, found = batch.column(3), batch.column(4)
+        _, row = _rows_of(pa.ListArray.from_arrays(column.offsets, pa.nulls(len(column.values), pa.int32())))
+        known = pa.StructArray.from_arrays(found.values.flatten(), ["a", "b", "name"])
+        codes = pc.dictionary_encode(pa.concat_arrays([known.field("a").cast(pa.string()), column.flatten().cast(pa.string())])).indices.to_numpy().astype(np.int64)
+        n = len(known)
+        of = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+        ids = _looked_up((of, codes[:n]), known.field("name").to_numpy(zero_copy_only=False), (row, codes[n:]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(ids, np.bincount(row, minlength=len(column)), pa.int64())], names=["sid", "k", "start", "ids"])
+
+
 def _renamed(r: int, pairs: bool):
     """The stretches with the runs (pairs) of this step as one symbol each, by the dictionary's names; ``lo:hi`` as in ``recompression.rounds``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for i in range(batch.num_rows):
-                names, lo, hi = (np.array(batch.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in (4, 5, 6))
-                found = batch.column(7)[i].as_py() or []
-                by = {(x["a"], x["b"]): x["name"] for x in found}
-                last = len(batch.column(3)[i])
-                before, after = np.append(-1, lo[:-1]), np.append(hi[1:], last + 1)
-                if pairs:
-                    joins = _joins(names, r)
-                    second = np.append(False, joins[:-1])
-                    side = (mix(names.view(np.uint64) + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(bool)
-                    new = np.where(joins, [by.get((a, b), 0) for a, b in zip(names.tolist(), np.append(names[1:], 0).tolist(), strict=True)], names)
-                    hi = np.where(joins | ~side, after, hi)
-                    lo = np.where(~joins & side, before, lo)
-                    keep = ~second
-                    names, lo, hi = new[keep], lo[keep], hi[keep]
-                elif len(names):
-                    begin, count = _runs(names)
-                    end = begin + count - 1
-                    names = np.array([a if c == 1 else by[a, c] for a, c in zip(names[begin].tolist(), count.tolist(), strict=True)], np.int64)
-                    lo, hi = before[begin], after[end]
-                made.append((names, lo, hi))
-            counts = np.array([len(x[0]) for x in made], np.int64)
-            cat = lambda j, t: np.concatenate([x[j] for x in made]).astype(t) if made else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(cat(0, np.int64), counts, pa.int64()), lists(cat(1, np.int32), counts, pa.int32()), lists(cat(2, np.int32), counts, pa.int32())], names=["sid", "k", "start", "ids", "names", "lo", "hi"])
+            n_words, found = batch.column(1).to_numpy(), batch.column(5)
+            (names, row), (lo, _), (hi, _) = (_rows_of(batch.column(c)) for c in (2, 3, 4))
+            known = found.values.flatten() if len(found.values) else [pa.array([], pa.int64())] * 3
+            fa, fb, fn = (x.to_numpy(zero_copy_only=False) for x in known)
+            of = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+            same_before, same_after = np.append(False, row[1:] == row[:-1])[:len(row)], np.append(row[1:] == row[:-1], False)[:len(row)]
+            before = np.where(same_before, np.append(-1, lo[:-1])[:len(lo)], -1)
+            after = np.where(same_after, np.append(hi[1:], 0)[:len(hi)], n_words[row] + 1)
+            if pairs:
+                joins = _joins(names, row, r)
+                at, side, made = np.flatnonzero(joins), _sides(names, r), names.copy()
+                if len(at):
+                    made[at] = _looked_up((of, fa, fb), fn, (row[at], names[at], names[at + 1]))
+                keep = ~np.append(False, joins[:-1])[:len(joins)]
+                new_hi, new_lo = np.where(joins | ~side, after, hi), np.where(~joins & side, before, lo)
+                names, lo, hi, row = made[keep], new_lo[keep], new_hi[keep], row[keep]
+            else:
+                begin, count = _runs(names, row)
+                made, some = names[begin], np.flatnonzero(count > 1)
+                if len(some):
+                    made[some] = _looked_up((of, fa, fb), fn, (row[begin[some]], names[begin[some]], count[some].astype(np.int64)))
+                names, lo, hi, row = made, before[begin], after[begin + count - 1], row[begin]
+            counts = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(names, counts, pa.int64()), lists(lo.astype(np.int32), counts, pa.int32()), lists(hi.astype(np.int32), counts, pa.int32())], names=["sid", "n_words", "names", "lo", "hi"])
 
     return run
 
@@ -117,30 +160,28 @@ def _named(defined: DataFrame, step: int) -> DataFrame:
     return defined.join(dictionary, ["a", "b"]).groupBy("sid").agg(F.collect_list(F.struct("a", "b", "name")).alias("found"))
 
 
-def symbols_by_spark(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS) -> DataFrame:
-    """(sid, k, start, ids, names, lo, hi) of the stretches of ``texts`` (as ``_repeats.affected`` gives them) after all rounds.
+def symbols_by_spark(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Of the stretches of ``texts`` (as ``_repeats.affected`` gives them) their words' names (sid, k, start, ids), and their symbols after all rounds (sid, n_words, names, lo, hi).
 
-    ``ids`` are the names of the words, ``names`` those of the symbols left, ``lo:hi`` the words that settle each.
+    ``lo:hi`` are the words that settle a symbol. Each step's table goes when the next is written.
     """
     rows = stored(texts.mapInArrow(_stretches(window), "k bigint, start int, words array<string>").withColumn("sid", F.monotonically_increasing_id()))
     each = rows.select("sid", F.explode(F.array_distinct("words")).alias("a"), F.lit(0).cast("long").alias("b"))
-    held = rows.join(_named(each, 0), "sid")
-    by = F.map_from_entries(F.transform("found", lambda x: F.struct(x["a"], x["name"])))
-    tokens = held.withColumn("_by", by).select("sid", "k", "start", F.transform("words", lambda w: F.element_at("_by", w)).alias("ids"))
+    held = rows.join(_named(each, 0), "sid").select("sid", "k", "start", "words", "found")
+    base = stored(held.mapInArrow(_with_ids, "sid bigint, k bigint, start int, ids array<bigint>"))
+    let_go(rows)
     place = F.sequence(F.lit(0), F.size("ids") - 1)
-    tokens = stored(tokens.select("sid", "k", "start", "ids", F.col("ids").alias("names"), place.alias("lo"), F.transform(place, lambda i: i + 1).alias("hi")))
+    tokens = base.select("sid", F.size("ids").alias("n_words"), F.col("ids").alias("names"), place.alias("lo"), F.transform(place, lambda i: i + 1).alias("hi"))
+    nothing = F.array().cast("array<struct<a:bigint,b:bigint,name:bigint>>")
     for r in range(n_rounds):
         for pairs in (False, True):
-            def step(names: np.ndarray, r: int = r, pairs: bool = pairs) -> tuple[np.ndarray, np.ndarray]:
-                if pairs:
-                    at = np.flatnonzero(_joins(names, r))
-                    return names[at], names[at + 1] if len(at) else names[:0]
-                begin, count = _runs(names) if len(names) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                return names[begin[count > 1]], count[count > 1].astype(np.int64)
-
-            defined = tokens.select("sid", "names").mapInArrow(_defined(step), "sid bigint, a bigint, b bigint")
-            tokens = stored(tokens.join(_named(defined, 2 * r + 1 + pairs), "sid", "left").mapInArrow(_renamed(r, pairs), _TOKENS))
-    return tokens
+            defined = tokens.select("sid", "names").mapInArrow(_defined(r, pairs), "sid bigint, a bigint, b bigint")
+            with_names = tokens.join(_named(defined, 2 * r + 1 + pairs), "sid", "left").withColumn("found", F.coalesce("found", nothing))
+            new = stored(with_names.mapInArrow(_renamed(r, pairs), _TOKENS))
+            if r or pairs:
+                let_go(tokens)
+            tokens = new
+    return base, tokens
 
 
 def _windows(n: int):
@@ -166,11 +207,12 @@ def _windows(n: int):
 def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """As ``recompression.repeats``, from symbols with names that Spark's rounds gave."""
     texts = affected(docs, text_col, window, symbols)
-    tokens = symbols_by_spark(texts, window)
+    base, tokens = symbols_by_spark(texts, window)
     each = tokens.select("sid", F.explode("names").alias("name"))
     shared = settled(each.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name"))
     hits = each.join(shared, "name", "left_semi").groupBy("sid").agg(F.collect_set("name").alias("shared"))
-    held = stored(tokens.join(hits, "sid", "left").mapInArrow(_windows(window), "hash bigint, check int, k bigint, start int"))
+    held = base.join(tokens, "sid").join(hits, "sid", "left").select("sid", "k", "start", "ids", "names", "lo", "hi", "shared")
+    held = stored(held.mapInArrow(_windows(window), "hash bigint, check int, k bigint, start int"))
     again = settled(held.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check"))
     found = held.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
     return repeats_of(docs, text_col, window, texts, found, lambda starts: starts.to_numpy(zero_copy_only=False))

@@ -206,7 +206,8 @@ def test_names_by_spark(docs, none):
     assert plain(naming.repeats(docs)) == plain(recompression.repeats(docs)) and naming.repeats(none).count() == 0
     texts = _repeats.affected(docs, "text", recompression.WINDOW, recompression.symbols)
     inside, n = {}, recompression.WINDOW
-    for r in naming.symbols_by_spark(texts).collect():
+    base, tokens = naming.symbols_by_spark(texts)
+    for r in base.join(tokens, "sid").collect():
         assert len(r["names"]) < len(r["ids"]) and r["lo"] == sorted(r["lo"]) and r["hi"] == sorted(r["hi"])
         for s in range(len(r["ids"]) - n + 1):
             own = [name for name, lo, hi in zip(r["names"], r["lo"], r["hi"]) if s <= lo and hi <= s + n]
