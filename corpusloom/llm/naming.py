@@ -38,6 +38,8 @@ def _stretches(n: int):
                 good = at_shared(symbols(w, Running(w.hash), starts, n), doc, batch.column(2), lo, hi)
                 data, out = w.data.tobytes(), ([], [], [])
                 at, of = starts[good], doc[good]
+                if not len(at):
+                    continue
                 own, begin = np.unique(of, return_index=True)
                 for d, some in zip(own, np.split(at, begin[1:]), strict=True):
                     for a, b in spans_of(some, n).tolist():
