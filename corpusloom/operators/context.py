@@ -12,6 +12,8 @@ GAP = "\n[...]\n"
 SHOWN = 20
 HOT, HOT_CHUNKS, LOOKBACK, SNIPPET, HISTORY = 6, 16, 20, 400, 10
 KEY = ["source_table", "source_id"]
+#: Tasks that a group with a budget is dealt to at first.
+SALTS = 32
 
 
 def merged_text(parts: Column, budget: int = PER_CASE) -> Column:
@@ -44,11 +46,17 @@ def cases_of(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def within_budget(sized: DataFrame, order: list, size: str, total: int = TOTAL, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows in order until one would pass the total; from it on none. The first is always in. Adds ``used``.
 
-    Once the running sum, taken over all rows, passes the total it stays there, so one window says it all.
+    Once the running sum, taken over all rows, passes the total it stays there, so one window says it all. A group of
+    very many rows is dealt to SALTS tasks first: each keeps the rows that its own share has room for and the one that
+    passes the total there, behind which no row can be in.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    group, size = list(by or [F.lit(0)]), F.coalesce(size, F.lit(0))
+    dealt = sized.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    upto = F.sum(size).over(Window.partitionBy(*group, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    some = dealt.withColumn("_upto", upto - size).where(F.col("_upto") <= total).drop("_s", "_upto")
+    w = Window.partitionBy(*group).orderBy(*order)
     n, used = F.row_number().over(w), F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("used", used).withColumn("_n", n).where((F.col("_n") == 1) | (F.col("used") <= total)).drop("_n")
+    return some.withColumn("used", used).withColumn("_n", n).where((F.col("_n") == 1) | (F.col("used") <= total)).drop("_n")
 
 
 def case_block(index: Column, title: Column, citation: Column, court: Column, paragraphs: Column, body: Column) -> Column:

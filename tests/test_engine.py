@@ -1,6 +1,7 @@
 """Filters, citations, context, consensus, sinks, registries, streams and the queries as a whole."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,22 @@ def test_budget_stops_at_first_overflow(spark):
     assert [r["i"] for r in context.within_budget(df, ["i"], "n", 10).collect()] == [1]
 
 
+def test_budget_of_many_rows(spark):
+    """Dealt out or not, the same rows are in: groups of many rows, rows without a size, large first rows."""
+    r = random.Random(2)
+    rows = [(g, i, r.choice([None, 0, 1, 5, 40, 90, 200])) for g in range(12) for i in range(r.choice([1, 3, 60, 400]))]
+    want = set()
+    for g in range(12):
+        used = 0
+        for k, (_, i, n) in enumerate(x for x in rows if x[0] == g):
+            used += n or 0
+            if k and used > 300:
+                break
+            want.add((g, i))
+    df = spark.createDataFrame(rows, "g int, i int, n int").repartition(5)
+    assert {(x["g"], x["i"]) for x in context.within_budget(df, ["i"], "n", 300, ("g",)).collect()} == want
+
+
 def test_filters():
     f = filters.Filters.parse({"category": " Civil ", "year_from": "2001", "year_to": "x", "judge": ""})
     assert f.active() == {"category": "Civil", "year_from": 2001}
