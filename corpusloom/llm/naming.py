@@ -1,7 +1,8 @@
-"""Recompression with names given by Spark: each round's distinct runs or pairs make a dictionary for all texts.
+"""Recompression with names given by Spark: each round's distinct runs, and pairs of them, make a dictionary for all texts.
 
-The other form of ``recompression``, which names within tasks by hashes, is the one in use: see the README for the
-figures of both. Here a name stands for one run or pair by construction, and two symbols of one name for equal words.
+Words count by 64-bit hashes. From there on a name stands for one run, or one pair of runs, by construction: all texts
+look their definitions up in the same dictionary. ``recompression`` finds the stretches of text that are worth naming,
+by rounds within tasks whose names are hashes.
 """
 
 from __future__ import annotations
@@ -10,22 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import affected, at_shared, repeats_of, spans_of, window_starts
+from ._repeats import affected, at_shared, cut_texts, repeats_of, spans_of, window_starts
 from ._shared import let_go, settled, stored
 from ._words import Running, lists, mix, pieces, words
 from .recompression import ROUNDS, WINDOW, symbols
 
 _TOKENS = "sid bigint, n_words int, names array<bigint>, lo array<int>, hi array<int>"
-#: Names of so many rounds, two steps each and one for the words, differ in their lowest digits.
+#: Names of up to so many rounds differ in their lowest digits.
 STEPS = 64
 
 
 def _stretches(n: int):
-    """(k, start, words) of the stretches of each text that windows with a shared anchor cover; only there can a repeat be."""
+    """(k, start, ids) of the stretches of each text that windows with a shared anchor cover, a hash for each word; only there can a repeat be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +36,7 @@ def _stretches(n: int):
                 if not len(starts):
                     continue
                 good = at_shared(symbols(w, Running(w.hash), starts, n), doc, batch.column(2), lo, hi)
-                data, out = w.data.tobytes(), ([], [], [])
+                out = ([], [], [])
                 at, of = starts[good], doc[good]
                 if not len(at):
                     continue
@@ -45,8 +45,9 @@ def _stretches(n: int):
                     for a, b in spans_of(some, n).tolist():
                         out[0].append(int(text_keys[lo + d]))
                         out[1].append(a - int(w.first[d]))
-                        out[2].append([data[x:y] for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.string()))], names=["k", "start", "words"])
+                        out[2].append(w.hash[a:b].view(np.int64))
+                ids = lists(np.concatenate(out[2]), np.array([len(x) for x in out[2]], np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), ids], names=["k", "start", "ids"])
 
     return run
 
@@ -63,36 +64,38 @@ def _runs(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(names)))
 
 
-def _sides(names: np.ndarray, r: int) -> np.ndarray:
-    """Left (False) or right, drawn by name and round."""
-    return (mix(names.view(np.uint64) + np.full(1, r + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(bool)
+def _pairs(names: np.ndarray, count: np.ndarray, row: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """The side of each run, left (False) or right, drawn by what it is and the round; which runs join the next one of their row, a left one before a right one."""
+    drawn = mix(names.view(np.uint64) + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.full(1, r + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    side, joins = (mix(drawn) & np.uint64(1)).astype(bool), np.zeros(len(names), bool)
+    joins[:-1] = ~side[:-1] & side[1:] & (row[1:] == row[:-1])
+    return side, joins
 
 
-def _joins(names: np.ndarray, row: np.ndarray, r: int) -> np.ndarray:
-    """Which symbols join the next one: a left one before a right one of the same row."""
-    side, out = _sides(names, r), np.zeros(len(names), bool)
-    out[:-1] = ~side[:-1] & side[1:] & (row[1:] == row[:-1])
-    return out
+def _definitions(names: np.ndarray, count: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which runs get a new name, and for what: (a, b, c) of a run a and a run b after it, or of a run a alone (b = -1) that is longer than one; c holds how long both are."""
+    lone = (count > 1) & ~joins & ~np.append(False, joins[:-1])[:len(joins)]
+    at = np.flatnonzero(joins | lone)
+    after = np.minimum(at + 1, len(names) - 1)
+    b, second = np.where(joins[at], names[after], -1), np.where(joins[at], count[after], 0)
+    return at, names[at], b, (count[at].astype(np.int64) << 31) | second
 
 
-def _defined(r: int, pairs: bool):
-    """(sid, a, b) of the distinct pairs (a before b) or runs (a, b times) of each stretch."""
+def _defined(r: int):
+    """(sid, a, b, c) of the distinct definitions of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, row = _rows_of(batch.column(1))
-            if pairs:
-                at = np.flatnonzero(_joins(names, row, r))
-                of, a, b = row[at], names[at], names[np.minimum(at + 1, len(names) - 1)]
-            else:
-                begin, count = _runs(names, row)
-                some = count > 1
-                of, a, b = row[begin[some]], names[begin[some]], count[some].astype(np.int64)
-            order = np.lexsort((b, a, of))
-            of, a, b = of[order], a[order], b[order]
+            begin, count = _runs(names, row)
+            names, row = names[begin], row[begin]
+            at, a, b, c = _definitions(names, count, _pairs(names, count, row, r)[1])
+            of = row[at]
+            order = np.lexsort((c, b, a, of))
+            of, a, b, c = of[order], a[order], b[order], c[order]
             new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[new])), pa.array(a[new]), pa.array(b[new])], names=["sid", "a", "b"])
+            new[1:] = (of[1:] != of[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[new])), pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], names=["sid", "a", "b", "c"])
 
     return run
 
@@ -110,46 +113,35 @@ def _looked_up(known: tuple[np.ndarray, ...], names: np.ndarray, asked: tuple[np
     return out[n:]
 
 
-def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, k, start, ids): the dictionary's name of each word."""
-    for batch in batches:
-        column, found = batch.column(3), batch.column(4)
-        _, row = _rows_of(pa.ListArray.from_arrays(column.offsets, pa.nulls(len(column.values), pa.int32())))
-        known = pa.StructArray.from_arrays(found.values.flatten(), ["a", "b", "name"])
-        codes = pc.dictionary_encode(pa.concat_arrays([known.field("a").cast(pa.string()), column.flatten().cast(pa.string())])).indices.to_numpy().astype(np.int64)
-        n = len(known)
-        of = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
-        ids = _looked_up((of, codes[:n]), known.field("name").to_numpy(zero_copy_only=False), (row, codes[n:]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(ids, np.bincount(row, minlength=len(column)), pa.int64())], names=["sid", "k", "start", "ids"])
-
-
-def _renamed(r: int, pairs: bool):
-    """The stretches with the runs (pairs) of this step as one symbol each, by the dictionary's names; ``lo:hi`` as in ``recompression.rounds``."""
+def _renamed(r: int):
+    """The stretches with the runs and pairs of this round as one symbol each, by the dictionary's names; ``lo:hi`` as in ``recompression.rounds``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, found = batch.column(1).to_numpy(), batch.column(5)
             (names, row), (lo, _), (hi, _) = (_rows_of(batch.column(c)) for c in (2, 3, 4))
-            known = found.values.flatten() if len(found.values) else [pa.array([], pa.int64())] * 3
-            fa, fb, fn = (x.to_numpy(zero_copy_only=False) for x in known)
+            fa, fb, fc, fn = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
             of = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
-            same_before, same_after = np.append(False, row[1:] == row[:-1])[:len(row)], np.append(row[1:] == row[:-1], False)[:len(row)]
-            before = np.where(same_before, np.append(-1, lo[:-1])[:len(lo)], -1)
-            after = np.where(same_after, np.append(hi[1:], 0)[:len(hi)], n_words[row] + 1)
-            if pairs:
-                joins = _joins(names, row, r)
-                at, side, made = np.flatnonzero(joins), _sides(names, r), names.copy()
-                if len(at):
-                    made[at] = _looked_up((of, fa, fb), fn, (row[at], names[at], names[at + 1]))
-                keep = ~np.append(False, joins[:-1])[:len(joins)]
-                new_hi, new_lo = np.where(joins | ~side, after, hi), np.where(~joins & side, before, lo)
-                names, lo, hi, row = made[keep], new_lo[keep], new_hi[keep], row[keep]
-            else:
-                begin, count = _runs(names, row)
-                made, some = names[begin], np.flatnonzero(count > 1)
-                if len(some):
-                    made[some] = _looked_up((of, fa, fb), fn, (row[begin[some]], names[begin[some]], count[some].astype(np.int64)))
-                names, lo, hi, row = made, before[begin], after[begin + count - 1], row[begin]
+
+            def around(lo: np.ndarray, hi: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                # where what stands before begins, and what stands after ends; beyond the stretch at its ends
+                before = np.where(row[np.maximum(first - 1, 0)] == row[first], lo[np.maximum(first - 1, 0)], -1)
+                after = np.where(row[np.minimum(last + 1, len(row) - 1)] == row[last], hi[np.minimum(last + 1, len(row) - 1)], n_words[row[last]] + 1)
+                return np.where(first == 0, -1, before), np.where(last == len(row) - 1, n_words[row[last]] + 1, after)
+
+            begin, count = _runs(names, row)
+            lo, hi = around(lo, hi, row, begin, begin + count - 1)
+            made, row = names[begin], row[begin]
+            side, joins = _pairs(made, count, row, r)
+            at, a, b, c = _definitions(made, count, joins)
+            each = np.arange(len(row))
+            before, after = around(lo, hi, row, each, each)
+            if len(at):
+                made = made.copy()
+                made[at] = _looked_up((of, fa, fb, fc), fn, (row[at], a, b, c))
+            keep = ~np.append(False, joins[:-1])[:len(joins)]
+            hi, lo = np.where(joins | ~side, after, hi), np.where(~joins & side, before, lo)
+            names, lo, hi, row = made[keep], lo[keep], hi[keep], row[keep]
             counts = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(names, counts, pa.int64()), lists(lo.astype(np.int32), counts, pa.int32()), lists(hi.astype(np.int32), counts, pa.int32())], names=["sid", "n_words", "names", "lo", "hi"])
 
@@ -157,32 +149,28 @@ def _renamed(r: int, pairs: bool):
 
 
 def _named(defined: DataFrame, step: int) -> DataFrame:
-    """(sid, found): a dictionary of the distinct (a, b), combined before the shuffle and checkpointed with its names, given back to the stretches."""
-    dictionary = settled(defined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows")).select("a", "b", (F.monotonically_increasing_id() * STEPS + step).alias("name")))
-    return defined.join(dictionary, ["a", "b"]).groupBy("sid").agg(F.collect_list(F.struct("a", "b", "name")).alias("found"))
+    """(sid, found): a dictionary of the distinct definitions, combined before the shuffle and checkpointed with its names, given back to the stretches."""
+    what = [c for c in defined.columns if c != "sid"]
+    dictionary = settled(defined.groupBy(*what).agg(F.count(F.lit(1)).alias("rows")).select(*what, (F.monotonically_increasing_id() * STEPS + step).alias("name")))
+    return defined.join(dictionary, what).groupBy("sid").agg(F.collect_list(F.struct(*what, "name")).alias("found"))
 
 
 def symbols_by_spark(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Of the stretches of ``texts`` (as ``_repeats.affected`` gives them) their words' names (sid, k, start, ids), and their symbols after all rounds (sid, n_words, names, lo, hi).
+    """Of the stretches of ``texts`` (as ``_repeats.affected`` gives them) their words (sid, k, start, ids), and their symbols after all rounds (sid, n_words, names, lo, hi).
 
-    ``lo:hi`` are the words that settle a symbol. Each step's table goes when the next is written.
+    ``lo:hi`` are the words that settle a symbol. Each round's table goes when the next is written.
     """
-    rows = stored(texts.mapInArrow(_stretches(window), "k bigint, start int, words array<string>").withColumn("sid", F.monotonically_increasing_id()))
-    each = rows.select("sid", F.explode(F.array_distinct("words")).alias("a"), F.lit(0).cast("long").alias("b"))
-    held = rows.join(_named(each, 0), "sid").select("sid", "k", "start", "words", "found")
-    base = stored(held.mapInArrow(_with_ids, "sid bigint, k bigint, start int, ids array<bigint>"))
-    let_go(rows)
+    base = stored(texts.mapInArrow(_stretches(window), "k bigint, start int, ids array<bigint>").withColumn("sid", F.monotonically_increasing_id()))
     place = F.sequence(F.lit(0), F.size("ids") - 1)
     tokens = base.select("sid", F.size("ids").alias("n_words"), F.col("ids").alias("names"), place.alias("lo"), F.transform(place, lambda i: i + 1).alias("hi"))
-    nothing = F.array().cast("array<struct<a:bigint,b:bigint,name:bigint>>")
+    nothing = F.array().cast("array<struct<a:bigint,b:bigint,c:bigint,name:bigint>>")
     for r in range(n_rounds):
-        for pairs in (False, True):
-            defined = tokens.select("sid", "names").mapInArrow(_defined(r, pairs), "sid bigint, a bigint, b bigint")
-            with_names = tokens.join(_named(defined, 2 * r + 1 + pairs), "sid", "left").withColumn("found", F.coalesce("found", nothing))
-            new = stored(with_names.mapInArrow(_renamed(r, pairs), _TOKENS))
-            if r or pairs:
-                let_go(tokens)
-            tokens = new
+        defined = tokens.select("sid", "names").mapInArrow(_defined(r), "sid bigint, a bigint, b bigint, c bigint")
+        with_names = tokens.join(_named(defined, r + 1), "sid", "left").withColumn("found", F.coalesce("found", nothing))
+        new = stored(with_names.mapInArrow(_renamed(r), _TOKENS))
+        if r:
+            let_go(tokens)
+        tokens = new
     return base, tokens
 
 
@@ -218,3 +206,12 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     again = settled(held.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check"))
     found = held.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
     return repeats_of(docs, text_col, window, texts, found, lambda starts: starts.to_numpy(zero_copy_only=False))
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """As ``recompression.remove_repeats``: every row of ``docs`` without the words that a window found twice or more covers.
+
+    Null, empty and short texts stay as they are; repeated rows are copies and lose all, if long enough; n_words,
+    n_removed and spans are added or replaced; other columns play no part. No rows: no rows.
+    """
+    return cut_texts(docs, repeats(docs, text_col, window), text_col, window)
