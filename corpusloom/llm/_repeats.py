@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free, others, settled, stored, text_key, words_of
+from ._shared import free, let_go, others, settled, stored, text_key, words_of
 from ._words import Running, Words, pieces, words
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -127,7 +127,9 @@ def affected(docs: DataFrame, text_col: str, n: int, find: Finder) -> DataFrame:
     hits = anchors.join(shared, "key", "left_semi").groupBy("k").agg(F.collect_list("key").alias("keys"))
     hits = hits.withColumn("keys", F.array_distinct("keys"))
     texts = keyed.groupBy("k").agg(F.first("t").alias("t"))
-    return stored(texts.join(hits, "k").select("k", "t", "keys"))
+    out = stored(texts.join(hits, "k").select("k", "t", "keys"))
+    let_go(anchors)
+    return out
 
 
 def repeats_of(docs: DataFrame, text_col: str, n: int, texts: DataFrame, found: DataFrame, starts_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:

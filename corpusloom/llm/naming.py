@@ -203,6 +203,8 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     hits = each.join(shared, "name", "left_semi").groupBy("sid").agg(F.collect_set("name").alias("shared"))
     held = base.join(tokens, "sid").join(hits, "sid", "left").select("sid", "k", "start", "ids", "names", "lo", "hi", "shared")
     held = stored(held.mapInArrow(_windows(window), "hash bigint, check int, k bigint, start int"))
+    let_go(base)
+    let_go(tokens)
     again = settled(held.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "check"))
     found = held.join(again, ["hash", "check"], "left_semi").groupBy("k").agg(F.collect_list("start").alias("starts"))
     return repeats_of(docs, text_col, window, texts, found, lambda starts: starts.to_numpy(zero_copy_only=False))

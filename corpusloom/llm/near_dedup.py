@@ -244,7 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that aren't kept; a row whose id is null stays, and rows that share a kept id stay together."""
+    """``docs`` without the rows that aren't kept; a row whose id is null stays.
+
+    Rows that share an id stay together: all of them, if one is kept by its own text, and else none.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col("kept")).select(id_col).distinct()
+    gone = found.groupBy(id_col).agg(F.max("kept").alias("_any")).where(~F.col("_any")).select(id_col)
     return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._repeats import Anchored, affected, at_shared, cut_texts, repeats_of, window_starts
-from ._shared import settled, stored
+from ._shared import let_go, settled, stored
 from ._words import Running, Words, pieces, words
 
 #: Words of the shortest repeat.
@@ -226,6 +226,7 @@ def repeats(docs: DataFrame, text_col: str = "text", shortest: int = SHORTEST) -
     if not met.where("rest != 0").isEmpty():
         masks = masks.union(_by_words(surroundings, met, n)).groupBy("h", "check").agg(F.bit_or("mask").alias("mask"))
     masks = settled(masks)  # read by the join from storage, so that surroundings of very many texts can be split there
+    let_go(surroundings)
     found = suffixes.select("k", "at", h, check).join(masks, ["h", "check"]).groupBy("k").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
     return repeats_of(docs, text_col, n, texts, found, _starts)
 

@@ -156,6 +156,13 @@ def test_near_duplicates(docs, rows, none, n, percent):
     assert near_dedup.drop_near_duplicates(docs, n_words=n, similarity=percent / 100).columns == docs.columns
 
 
+def test_rows_that_share_an_id(spark):
+    r = random.Random(14)
+    one, two, three = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(3))
+    t = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (4, three), (4, three), (5, three)], "doc_id long, text string")
+    assert Counter(x["doc_id"] for x in near_dedup.drop_near_duplicates(t).collect()) == {1: 1, 2: 2, 4: 2}
+
+
 def test_near_duplicate_groups(spark):
     """A large group of edited copies beside a group with a passage in common: components as by brute force."""
     r = random.Random(9)
