@@ -85,8 +85,8 @@ def _fields(spark, d):
     return x.all_fields(decisions(spark, d))
 
 
-def _cut(spark, d):
-    return decisions(spark, d).withColumn("s", x.sections(F.col("text")))
+def _cut(spark, d, *names):
+    return decisions(spark, d).withColumn("s", x.sections(F.col("text"), names))
 
 
 def _judges(spark, d):
@@ -146,11 +146,11 @@ def _lists(spark, d):
 QUERIES = {
     "extract_citation": lambda spark, d: decisions(spark, d).select("id", x.citation(F.col("text")).alias("citation")),
     "extract_parties": lambda spark, d: decisions(spark, d).select("id", x.petitioner(F.col("text")).alias("petitioner"), x.respondent(F.col("text")).alias("respondent")),
-    "extract_case_number": lambda spark, d: _cut(spark, d).select("id", x.case_number(F.col("text")).alias("case_number"), x.category(F.col("text"), F.col("s")).alias("category")),
+    "extract_case_number": lambda spark, d: _cut(spark, d, "Case Arising From").select("id", x.case_number(F.col("text")).alias("case_number"), x.category(F.col("text"), F.col("s")).alias("category")),
     "extract_judges": lambda spark, d: decisions(spark, d).select("id", F.array_join(x.judge_names(F.col("text")), "|").alias("judges"), x.author_judge(F.col("text")).alias("author")),
-    "extract_sections": lambda spark, d: _cut(spark, d).select("id", x.section(F.col("s"), "Issue for Consideration").alias("issue"), x.section(F.col("s"), "Headnotes").alias("headnotes")),
-    "extract_lists": lambda spark, d: _cut(spark, d).select("id", F.array_join(x.acts_cited(F.col("s")), "|").alias("acts"), F.array_join(x.keywords(F.col("s")), "|").alias("keywords"), F.array_join(F.transform(x.cases_cited(F.col("s")), lambda c: F.concat(c["name"], F.lit("~"), c["citation"])), "|").alias("cases")),
-    "extract_arising": lambda spark, d: _cut(spark, d).select("id", x.arising_from(F.col("s")).alias("a")).select("id", "a.jurisdiction", "a.primary_case", "a.lower_court_details", F.array_join("a.connected_cases", "|").alias("connected")),
+    "extract_sections": lambda spark, d: _cut(spark, d, "Issue for Consideration", "Headnotes").select("id", x.section(F.col("s"), "Issue for Consideration").alias("issue"), x.section(F.col("s"), "Headnotes").alias("headnotes")),
+    "extract_lists": lambda spark, d: _cut(spark, d, "Case Law Cited", "List of Acts", "Keywords", "List of Keywords").select("id", F.array_join(x.acts_cited(F.col("s")), "|").alias("acts"), F.array_join(x.keywords(F.col("s")), "|").alias("keywords"), F.array_join(F.transform(x.cases_cited(F.col("s")), lambda c: F.concat(c["name"], F.lit("~"), c["citation"])), "|").alias("cases")),
+    "extract_arising": lambda spark, d: _cut(spark, d, "Case Arising From").select("id", x.arising_from(F.col("s")).alias("a")).select("id", "a.jurisdiction", "a.primary_case", "a.lower_court_details", F.array_join("a.connected_cases", "|").alias("connected")),
     "extract_result": lambda spark, d: decisions(spark, d).select("id", x.result(F.col("text")).alias("result")),
     "extract_all_counts": lambda spark, d: _fields(spark, d).groupBy("fields_extracted", "bench_size").agg(F.count(F.lit(1)).alias("n")),
     "validate_fields_report": lambda spark, d: k.report(_fields(spark, d), "id").groupBy("field", "valid", "issue").agg(F.count(F.lit(1)).alias("n")),
