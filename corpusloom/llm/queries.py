@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media_columns, naming, near_dedup, packing, quality_rules, recompression, sharding, sql, suffix_array, toxicity
+from . import (
+    bpe, hard_negatives, line_dedup, media_columns, naming, near_dedup, packing, prefix_trie, quality_rules, recompression, secret_scan, sharding, sql, suffix_array, toxicity,
+)
 from ._repeats import removed_words
 from ._shared import passing_path, text_key, words_of
 
@@ -83,7 +85,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_dedup, op3_toxicity, op4_substring_dedup, op5_bpe_roundtrip, op6_media_columns, op7_suffix_array_dedup, op8_best_fit_packing, op9_sharding, op10_line_dedup,
+    op11_hard_negatives, op12_secret_scan, op13_prefix_trie,
 )}
 SQL = sql.SQL

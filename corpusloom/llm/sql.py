@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, recompression, suffix_array
+from . import hard_negatives, line_dedup, prefix_trie, quality_rules, recompression, secret_scan, suffix_array
 
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 _DOCS = "d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang, source FROM documents)"
@@ -86,10 +86,94 @@ s AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t FROM e ANTI JOIN bad
 SELECT d.doc_id, CAST(len(string_split(d.t, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(s.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.rid = d.rid LEFT JOIN s ON s.rid = d.rid"""
 
 
+def _negatives() -> str:
+    h = hard_negatives
+    return f"""
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, [floor({h.SCALE} * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label, c.vec_id, c.label AS other, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM r a JOIN r c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {h.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE label <> other AND {h.LOWEST} * positive_score <= 100 * score AND 100 * score <= {h.HIGHEST} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= {h.NEGATIVES}"""
+
+
+def _secrets() -> str:
+    q = secret_scan
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def pieces(name: str, source: str, pattern: str, group: int) -> str:
+        """(rid, i, gap, said, value) of the matches, with a last row for what follows them."""
+        said, p = f"regexp_extract_all(t, {quoted(pattern)}, 0)", quoted(pattern)
+        return (
+            f"{name}0 AS (SELECT rid, string_split_regex(t, {p}) AS g, {said} AS s, regexp_extract_all(t, {p}, {group}) AS v FROM {source}), "
+            f"{name}1 AS (SELECT rid, unnest(g) AS gap, unnest(s) AS said, unnest(v) AS value, unnest(generate_series(1, len(g))) AS i FROM {name}0), "
+            f"{name} AS (SELECT *, sum(length(gap) + coalesce(length(said), 0)) OVER (PARTITION BY rid ORDER BY i) AS upto FROM {name}1)"
+        )
+
+    ctes, source = [], "d"
+    for k, (pattern, group, least) in q.SHAPES.items():
+        ctes.append(pieces(f"m_{k}", "d", pattern, group))
+        ctes.append(pieces(f"b_{k}", source, pattern, group))
+        ctes.append(f"t_{k} AS (SELECT rid, string_agg(gap || CASE WHEN said IS NULL THEN '' WHEN length(value) >= {least} THEN repeat(' ', length(said)) ELSE said END, '' ORDER BY i) AS t FROM b_{k} GROUP BY rid)")
+        source = f"t_{k}"
+    ctes.append(pieces("r", source, q.RUN, 0))
+    base = " UNION ALL ".join(
+        f"SELECT rid, {i} AS rank, '{k}' AS kind, CAST(upto - length(said) AS BIGINT) AS a, CAST(upto AS BIGINT) AS b FROM m_{k} WHERE length(value) >= {least}" for i, (k, (_, _, least)) in enumerate(q.SHAPES.items()))
+    encoding = "CASE " + " ".join("WHEN regexp_matches(said, '^[" + s.replace("-", "\\-") + f"]+$') THEN '{e}'" for e, s in q.ENCODINGS.items()) + " END"
+    alphabet = "CASE encoding " + " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in q.ENCODINGS.items()) + " END"
+    halves = "CASE encoding " + " ".join(f"WHEN '{e}' THEN '{'L' * (len(s) // 2) + 'H' * (len(s) - len(s) // 2)}'" for e, s in q.ENCODINGS.items()) + " END"
+    at = "CASE " + " ".join(f"WHEN n >= {c} THEN {c}" for c in reversed(q.CLASSES)) + " END"
+    far = f"CAST({q.FAR} AS DOUBLE)"
+    cut = "CAST(NULL AS DOUBLE)"
+    for i, c in enumerate(q.CUTS):
+        cut = f"CASE WHEN ordinary * CAST({c / (q.FAR - q.CUTS[-1])!r} AS DOUBLE) <= n{i} * CAST({q.FALSE_SHARE} AS DOUBLE) THEN CAST({c} AS DOUBLE) ELSE {cut} END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), {", ".join(ctes)},
+base AS ({base}),
+e AS (SELECT rid, CAST(upto - length(said) AS BIGINT) AS a, CAST(upto AS BIGINT) AS b, said, {encoding} AS encoding, CAST(length(said) AS DOUBLE) AS n FROM r WHERE said IS NOT NULL),
+f AS (SELECT *, {at} AS class, {alphabet} AS symbols, translate(said, {alphabet}, {halves}) AS hl FROM e WHERE encoding IS NOT NULL),
+g AS (SELECT *, CAST(length(symbols) AS DOUBLE) AS m, CAST(list_sum([(length(said) - length(replace(said, s, ''))) ** 2 for s in string_split(symbols, '')]) AS BIGINT) AS squares,
+  CAST(length(replace(hl, 'L', '')) AS DOUBLE) AS high, CAST((length(hl) - length(replace(hl, 'LH', ''))) // 2 + (length(hl) - length(replace(hl, 'HL', ''))) // 2 AS DOUBLE) AS turns,
+  [instr(symbols, c) for c in string_split(said, '')] AS x FROM f),
+h AS (SELECT *, 2 * high * (n - high) / n + 1 AS mean, CAST(list_sum(x) AS DOUBLE) AS total, CAST(list_sum([v * v for v in x]) AS DOUBLE) AS own, CAST(list_sum([x[i] * x[i + 1] for i in range(1, len(x))]) AS DOUBLE) AS pairs, CAST(x[1] + x[len(x)] AS DOUBLE) AS ends FROM g),
+i AS (SELECT *, (squares * m / n - n - (m - 1)) / sqrt(2 * (m - 1) * (n - 1) / n) AS du, (mean - 1) * (mean - 2) / (n - 1) AS spread, own - total * total / n AS left_, pairs - 2 * (total / n) * total + ends * total / n + (n - 1) * (total / n) * (total / n) AS crossed FROM h),
+j AS (SELECT rid, a, b, encoding, class, du, CASE WHEN spread > 0 THEN (turns + 1 - mean) / sqrt(spread) ELSE {far} END AS dr, CASE WHEN left_ > 0 THEN (crossed / left_ + 1 / n) * sqrt(n) ELSE {far} END AS ds FROM i),
+k AS (SELECT *, du * du + dr * dr + ds * ds AS distance FROM j),
+c AS (SELECT encoding, class, {", ".join(f"count(*) FILTER (distance <= CAST({c} AS DOUBLE)) AS n{i}" for i, c in enumerate(q.CUTS))}, count(*) FILTER (distance > CAST({q.CUTS[-1]} AS DOUBLE) AND distance <= {far}) AS ordinary FROM k GROUP BY ALL),
+u AS (SELECT * FROM base UNION ALL SELECT rid, {len(q.SHAPES)}, '{q.RANDOM}', a, b FROM k JOIN (SELECT encoding, class, {cut} AS cut FROM c) USING (encoding, class) WHERE distance <= cut),
+o AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in q.SHAPES)}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < {len(q.SHAPES)}) AS bs, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM u GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in q.SHAPES)}, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o ON o.rid = d.rid"""
+
+
+def _trie() -> str:
+    byte = "list_reduce([xor(crc, CAST(b AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(conv_id AS VARCHAR), '')]), lambda crc, b: {byte}), 4294967295)"
+    lent = prefix_trie.MOST_SHARED
+    return f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc} % {lent + 1} AS h FROM (SELECT DISTINCT conv_id FROM o) x),
+told AS (SELECT c.conv_id, place, role, text, 0 AS own FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND place <= h UNION ALL SELECT conv_id, place, role, text, 1 FROM o JOIN c USING (conv_id) WHERE place > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, list({{'role': role, 'text': text}}) OVER w AS path, text FROM told WINDOW w AS (PARTITION BY conv_id ORDER BY own, place) UNION ALL SELECT conv_id, 0, [], '' FROM c),
+e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(length(text)) AS n FROM p GROUP BY path, depth),
+t AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p JOIN e USING (conv_id, depth) GROUP BY path),
+k AS (SELECT n.*, p.path AS parent, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+ch AS (SELECT parent AS path, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY parent),
+f AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN ch USING (path)),
+up AS (SELECT path[:j] AS path, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * n AS saved FROM (SELECT *, unnest(generate_series(0, depth)) AS j FROM f) x),
+s AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN t USING (path)"""
+
+
 SQL = {
     "op1_quality_rules": _quality(),
     "op2_minhash_dedup": _near(3, 85),
     "op4_substring_dedup": _repeats(recompression.WINDOW),
     "op7_suffix_array_dedup": _repeats(suffix_array.SHORTEST),
     "op10_line_dedup": _lines(),
+    "op11_hard_negatives": _negatives(),
+    "op12_secret_scan": _secrets(),
+    "op13_prefix_trie": _trie(),
 }
