@@ -73,14 +73,24 @@ FROM w LEFT JOIN lost ON lost.rid = w.rid LEFT JOIN kept ON kept.rid = w.rid"""
 
 
 def _lines() -> str:
-    m = line_dedup
+    m, n = line_dedup, line_dedup.SHINGLE
     return f"""
-WITH {_DOCS}, l AS (SELECT rid, t, coalesce(source, chr(0) || 'null') AS site, string_split(t, chr(10)) AS ls FROM d),
-e AS (SELECT rid, t, site, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM l),
-x AS (SELECT line, t, min(site) AS site FROM e WHERE regexp_matches(line, {_WORD}) GROUP BY line, t),
-spread AS (SELECT line FROM x GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
-copied AS (SELECT t FROM x LEFT JOIN spread ON spread.line = x.line GROUP BY t HAVING sum(CASE WHEN spread.line IS NOT NULL THEN length(x.line) ELSE 0 END) * 100 > length(t) * {m.MOST_SPREAD}),
-bad AS (SELECT line FROM x SEMI JOIN spread USING (line) ANTI JOIN copied USING (t) GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
+WITH {_DOCS}, l AS (SELECT rid, t, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS key, coalesce(source, chr(0) || 'null') AS site, string_split(t, chr(10)) AS ls FROM d),
+e AS (SELECT rid, t, key, site, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM l),
+spread AS (SELECT line FROM e WHERE regexp_matches(line, {_WORD}) GROUP BY line HAVING count(DISTINCT site) >= {m.MIN_SITES}),
+held AS (SELECT DISTINCT line, t, key FROM e SEMI JOIN spread USING (line)),
+mixed AS (SELECT t, sum(length(line)) * 100 > length(t) * {m.MOSTLY} AS mostly FROM held GROUP BY t HAVING sum(length(line)) * 100 >= length(t) * {m.MIXED}),
+compared AS (SELECT line, t, key FROM held JOIN mixed USING (t) WHERE NOT mostly),
+placed AS (SELECT line, t, first_value(t) OVER (PARTITION BY line ORDER BY key) AS c FROM compared),
+said AS (SELECT t, false AS whole, regexp_extract_all(string_agg(line, chr(10) ORDER BY i), {_WORD}) AS ws FROM (SELECT DISTINCT t, i, line FROM e SEMI JOIN compared USING (t) ANTI JOIN spread USING (line)) x GROUP BY t
+  UNION ALL SELECT DISTINCT c, true, regexp_extract_all(c, {_WORD}) FROM placed),
+sh AS (SELECT DISTINCT t, whole, array_to_string(ws[i:i + {n - 1}], ' ') AS s FROM (SELECT t, whole, ws, unnest(generate_series(1, len(ws) - {n - 1})) AS i FROM said WHERE len(ws) >= {n}) x
+  UNION ALL SELECT t, whole, array_to_string(ws, ' ') FROM said WHERE len(ws) BETWEEN 1 AND {n - 1}),
+sizes AS (SELECT t, count(*) AS n FROM sh WHERE NOT whole GROUP BY t),
+common AS (SELECT p.t, p.c, count(*) AS both_ FROM (SELECT DISTINCT t, c FROM placed WHERE t <> c) p JOIN sh a ON a.t = p.t AND NOT a.whole JOIN sh b ON b.t = p.c AND b.whole AND b.s = a.s GROUP BY p.t, p.c),
+versions AS (SELECT t, c FROM common JOIN sizes USING (t) WHERE both_ * 100 >= {m.ALIKE} * n),
+witness AS (SELECT line FROM held ANTI JOIN mixed USING (t) UNION ALL SELECT line FROM placed SEMI JOIN sizes USING (t) ANTI JOIN versions USING (t, c)),
+bad AS (SELECT line FROM witness GROUP BY line HAVING count(*) >= {m.MIN_SITES}),
 k AS (SELECT rid, count(*) AS n FROM e SEMI JOIN bad USING (line) GROUP BY rid),
 s AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t FROM e ANTI JOIN bad USING (line) GROUP BY rid)
 SELECT d.doc_id, CAST(len(string_split(d.t, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(s.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.rid = d.rid LEFT JOIN s ON s.rid = d.rid"""

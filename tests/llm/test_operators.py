@@ -468,6 +468,36 @@ def test_blocks_of_lines_go_and_copies_stay(spark):
     assert got.select("_k", "_bad").distinct().collect() == [("_k", "_bad")]
 
 
+def footers(rows, footer):
+    """How many of the footer's lines are left in (doc_id, text, source)."""
+    return sum(line in (r["text"] or "").split("\n") for r in rows.collect() for line in footer)
+
+
+def test_footers_of_short_pages_and_of_shared_sites_go(spark):
+    """Footers longer than the notes above them go; those of articles that are also all at one site; versions of an article stay."""
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    footer = [say(8) for _ in range(3)]
+    schema = "doc_id long, text string, source string"
+    notes = spark.createDataFrame([(i, "\n".join([say(9), *footer]), f"site{i % 20}") for i in range(60)], schema)
+    assert footers(notes, footer) == 180 and footers(line_dedup.drop_boilerplate(notes), footer) == 0
+    articles = ["\n".join([*(say(30) for _ in range(12)), *footer]) for _ in range(20)]
+    shared = spark.createDataFrame([(2 * i + j, text, f"own{i}" if j else "a0") for i, text in enumerate(articles) for j in (0, 1)], schema)
+    assert footers(shared, footer) == 120 and footers(line_dedup.drop_boilerplate(shared), footer) == 0
+
+    def version(article):
+        lines = [x.split() for x in article]
+        for _ in range(6):
+            w = r.choice(lines)
+            w[r.randrange(len(w))] = say(1)
+        return "\n".join(" ".join(w) for w in lines)
+
+    article = [say(25) for _ in range(12)]
+    versions = [(i, version(article), f"site{i % 20}") for i in range(60)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(versions, schema))
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == {i: t for i, t, _ in versions}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against brute force on what the stage before it kept."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -49,6 +50,32 @@ def stages(spark, folder, tmp_path_factory):
     return [*out, docs]
 
 
+def shingles(text, n):
+    w = WORD.findall(text)
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+
+def boilerplate(rows):
+    """Lines at enough sites that enough texts have which aren't versions of one, by plain loops."""
+    m = line_dedup
+    lines, sites = {}, defaultdict(set)
+    for _, text, site in rows:
+        lines[text or ""] = {x for x in (text or "").split("\n") if WORD.search(x)}
+        for x in lines[text or ""]:
+            sites[x].add(site)
+    spread = {x for x, s in sites.items() if len(s) >= m.MIN_SITES}
+    share = {t: (100 * sum(len(x) for x in own & spread), len(t)) for t, own in lines.items() if own & spread}
+    other = {t: shingles("\n".join(x for x in t.split("\n") if x not in spread), m.SHINGLE) for t, (s, n) in share.items() if m.MIXED * n <= s <= m.MOSTLY * n}
+    bad = set()
+    for x in spread:
+        own = [t for t in share if x in lines[t] and share[t][0] < m.MIXED * share[t][1]]
+        mixed = sorted((t for t in other if x in lines[t]), key=lambda t: hashlib.md5(t.encode()).hexdigest()[:15])
+        apart = [t for t in mixed if other[t] and (t == mixed[0] or 100 * len(other[t] & shingles(mixed[0], m.SHINGLE)) < m.ALIKE * len(other[t]))]
+        if len(own) + len(apart) >= m.MIN_SITES:
+            bad.add(x)
+    return bad
+
+
 def rows_of(df):
     return Counter((r["doc_id"], r["text"]) for r in df.collect())
 
@@ -68,20 +95,7 @@ def test_toxic_documents_go(stages):
 
 def test_boilerplate_lines_go(stages):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in stages[1].collect()]
-    least, sites = {}, defaultdict(set)
-    for _, text, site in rows:
-        least[text or ""] = min(site, least.get(text or "", site))
-    lines = {t: {x for x in t.split("\n") if WORD.search(x)} for t in least}
-    for t, own in lines.items():
-        for x in own:
-            sites[x].add(least[t])
-    spread = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
-    sites = defaultdict(set)
-    for t, own in lines.items():
-        if 100 * sum(len(x) for x in own & spread) <= line_dedup.MOST_SPREAD * len(t):
-            for x in own & spread:
-                sites[x].add(least[t])
-    bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
+    bad = boilerplate(rows)
     want = Counter((i, t if t is None else "\n".join(x for x in t.split("\n") if x not in bad)) for i, t, _ in rows)
     assert bad and rows_of(stages[2]) == want
 
