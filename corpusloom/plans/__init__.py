@@ -1,3 +1,3 @@
 """Queries by name, with the SQL that says the same."""
 
-MODULES = ("search", "retrieval", "segment", "context", "extract", "operations", "lookups", "access")
+MODULES = ("search", "retrieval", "segment", "context", "extract", "operations", "lookups", "access", "indexes")
