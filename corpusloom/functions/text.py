@@ -117,8 +117,10 @@ def long_similarity(a: Column, b: Column) -> Column:
 
 
 def case_name(c: Column) -> Column:
-    """A case's name for comparison: lower case, ``v`` for all its spellings, without dots and commas."""
-    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), r"\b(versus|vs\.?|v\.?)(?=\s)", " v "), "[.,]", ""))
+    """A case's name for comparison: lower case, without dots and commas; between other words ``vs`` and ``v.`` are ``v``."""
+    words = F.split(squeeze(F.lower(c)), " ")
+    known = lambda x: F.transform(x, lambda w, i: F.when((i > 0) & (i < F.size(x) - 1) & w.isin("v", "vs", "v."), "v").otherwise(w))
+    return squeeze(F.regexp_replace(F.array_join(let(words, known), " "), "[.,]", ""))
 
 
 def any_of(c: Column, patterns) -> Column:

@@ -111,6 +111,23 @@ def clusters(names: DataFrame, least: float = ABSORB) -> DataFrame:
     return linked.groupBy("block").applyInPandas(greedy, "canonical string, name string")
 
 
+def folded(clustered: DataFrame, standing: DataFrame, least: float = FOLD) -> DataFrame:
+    """(canonical, aliases): the registry ``standing`` (pos, canonical, aliases) grown by ``clustered`` (canonical, name).
+
+    A cluster whose canonical name is like one of the registry by ``least`` or more goes to the first such entry in order
+    of ``pos``, all its names but that entry's own as aliases; any other cluster becomes an entry. Clusters' canonical
+    names are apart from each other, so none has to wait for another. Standing aliases are kept, each once, in order.
+    """
+    entries = standing.select("pos", F.col("canonical").alias("entry"), "aliases")
+    reps = clustered.select(F.col("canonical").alias("rep")).distinct()
+    pairs = _could_score(_bounded(reps, "rep", "a"), _bounded(entries.select("pos", "entry"), "entry", "b"), least).select("rep", "pos", "entry")
+    near = pairs.where(token_sort_ratio(F.col("rep"), F.col("entry")) >= least).groupBy("rep").agg(F.min_by("entry", "pos").alias("entry"))
+    placed = clustered.withColumnRenamed("canonical", "rep").join(near, "rep", "left").select(F.coalesce("entry", "rep").alias("canonical"), "name")
+    told = entries.select(F.col("entry").alias("canonical"), F.explode_outer("aliases").alias("name"))
+    both = told.union(placed).groupBy("canonical").agg(F.collect_set("name").alias("names"))
+    return both.select("canonical", F.array_sort(F.filter("names", lambda n: n != F.col("canonical"))).alias("aliases"))
+
+
 def merged(scraped: DataFrame, seed: DataFrame) -> DataFrame:
     """(canonical, aliases): both registries by key; the seed's spelling wins, aliases of both are kept in order."""
     a = scraped.select(act_key(F.col("canonical")).alias("key"), F.col("canonical").alias("c1"), F.col("aliases").alias("a1"))

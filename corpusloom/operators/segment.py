@@ -10,15 +10,13 @@ from ..functions.text import blank_to_null, head, strip
 SIZE, STRIDE = 2000, 1800
 MIN_BODY, MIN_COUNT, MIN_COVER = 15, 3, 0.4
 SYNTHETIC = 1500
-_WHOLE, _LETTER = r"\d+", "[A-Za-z]"
-#: Labels that can't be taken for a number in running text: one with a part after the dot, or a letter after the number.
-_PLAIN_TO_SEE = (rf"{_WHOLE}\.{_WHOLE}{_LETTER}?", f"{_WHOLE}{_LETTER}")
-#: A whole number alone could be (14 days later), so it needs a dot or a closing bracket.
-_MARKED = rf"{_WHOLE}[.)]"
-#: Where a numbered paragraph begins: a label of either kind at the start of a line, blanks, and text on the same line.
-NUMBERED = rf"[ \t]*(?:{'|'.join((*_PLAIN_TO_SEE, _MARKED))})[ \t]+(?=\S)"
-#: Where one begins that says so: the word, short or long, a label of any kind, and a dot, colon or dash if there is one.
-PARA_WORD = rf"\s*(?i:para|paragraph)\s+{_WHOLE}(?:\.{_WHOLE})?{_LETTER}?\b\s*[.:-]?\s*"
+#: Where a numbered paragraph begins: at the start of a line, a number with a part after a dot, a letter, or a dot or
+#: bracket (a number alone could be that of "14 days later"), then blanks and text on the same line.
+NUMBERED = r"[ \t]*\d+(?:\.\d+[A-Za-z]?|[A-Za-z]|[.)])[ \t]+(?=\S)"
+#: Where one begins that says so, blank lines before it included: the word and a number, with a part or a letter if there is one.
+PARA_WORD = r"\s*(?i:para(?:graph)?)\s+\d+(?:\.\d+)?[A-Za-z]?\b\s*[.:-]?\s*"
+#: Blanks at the end of a line, at most, that may stand before the blank lines of an opening.
+_TRAILING = 200
 
 
 def fixed_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", header: Column | None = None, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
@@ -43,15 +41,15 @@ def header(fields: list[tuple[str, Column, int | None]]) -> Column:
 
 def _regex_paragraphs(text: Column, opening: str) -> Column:
     """Paragraphs from one opening to the next: (start, end, num, body), short ones left out, labels as they come."""
-    parts = F.split(text, f"(?m)(?=^{opening})")
+    # an opening that takes in blank lines is cut at the first of them only: where the line before isn't blank
+    first = rf"(?:(?<![\s\S])|(?<=\S[ \t\r]{{0,{_TRAILING}}}\n))"
+    parts = F.split(text, f"(?m)^{first if opening.startswith(chr(92) + 's') else ''}(?={opening})")
     # lengths add up to offsets
     placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string>>").alias("all")), lambda a, p: F.struct(
         (a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(p)).alias("end"), p.alias("raw")))).alias("all")), lambda a: a["all"])
     own = F.filter(placed, lambda p: p["raw"].rlike(f"^{opening}"))
-    # blank lines before an opening belong to it
-    lead = lambda p: F.length(p["raw"]) - F.length(F.regexp_replace(p["raw"], r"^\s+", ""))
     made = F.transform(own, lambda p: F.struct(
-        (p["start"] + lead(p) * 0).alias("start"), p["end"].alias("end"),
+        p["start"].alias("start"), p["end"].alias("end"),
         F.regexp_extract(p["raw"], r"^\D*(\d+(?:\.\d+)?[A-Za-z]?)", 1).alias("num"), strip(F.regexp_replace(p["raw"], f"^{opening}", "")).alias("body")))
     return F.filter(made, lambda p: F.length(p["body"]) >= MIN_BODY)
 

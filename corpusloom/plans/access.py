@@ -105,11 +105,11 @@ def _para_words(spark, d):
     """Paragraphs that begin with the word, in several spellings; every tenth text has two only and falls back to blocks."""
     para = lambda label, w: F.concat(F.lit(f"{label} The claim about {w} of "), F.col("o_orderpriority"), F.lit(" was heard at length."))
     three = F.when(F.col("o_orderkey") % 10 != 0, para("PARAGRAPH 3A -", "costs"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", para("Para 1.", "price"), para("paragraph 2:", "delivery"), three).alias("text"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n\n", para("Para 1.", "price"), para("paragraph 2:", "delivery"), three).alias("text"))
 
 
 def _para_rows(spark, d):
-    return s.paragraphs(_para_words(spark, d)).where("strategy = 'para_word'").select("doc_id", "paragraph_number", "paragraph_order", "paragraph_text")
+    return s.paragraphs(_para_words(spark, d)).where("strategy = 'para_word'").select("doc_id", "paragraph_number", "paragraph_order", "start_char", "end_char", "paragraph_text")
 
 
 def _acts_normalised(spark, d):
@@ -165,7 +165,10 @@ SQL = {
     "stamps_backfilled": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) ELSE DATE '2024-02-15' END AS at FROM orders",
     "vector_cells_recall": "SELECT true AS recall_reached, count(*) AS queries FROM embeddings WHERE vec_id % 100 = 0",
     "schema_drift": "SELECT 'o_total' AS missing, CAST((SELECT count(*) FROM (DESCRIBE orders)) - 2 AS INT) AS n_extra, n_nationkey FROM nation",
-    "paragraph_by_word": "SELECT o_orderkey AS doc_id, u.n AS paragraph_number, u.i AS paragraph_order, 'The claim about ' || u.w || ' of ' || o_orderpriority || ' was heard at length.' AS paragraph_text FROM orders, (VALUES (0, '1', 'price'), (1, '2', 'delivery'), (2, '3A', 'costs')) u(i, n, w) WHERE o_orderkey % 10 <> 0",
+    "paragraph_by_word": """WITH t AS (SELECT o_orderkey AS doc_id, u.n AS paragraph_number, u.i AS paragraph_order, u.l, 'The claim about ' || u.w || ' of ' || o_orderpriority || ' was heard at length.' AS paragraph_text
+FROM orders, (VALUES (0, '1', 'price', 'Para 1. '), (1, '2', 'delivery', 'paragraph 2: '), (2, '3A', 'costs', 'PARAGRAPH 3A - ')) u(i, n, w, l) WHERE o_orderkey % 10 <> 0),
+e AS (SELECT *, sum(length(l) + length(paragraph_text) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph_order) AS upto FROM t)
+SELECT doc_id, paragraph_number, paragraph_order, CAST(greatest(upto - length(l) - length(paragraph_text) - 3, 0) AS INT) AS start_char, CAST(CASE paragraph_order WHEN 2 THEN upto - 2 ELSE upto - 1 END AS INT) AS end_char, paragraph_text FROM e""",
     "acts_in_registry_form": "SELECT p_partkey, (SELECT string_agg(upper(left(w, 1)) || lower(substr(w, 2)), ' ') FROM (SELECT unnest(string_split(p_name, ' ')) AS w) x) || '|xq zj' AS values, 'xq zj' AS unmatched FROM part",
     "escaped_patterns": "SELECT p_partkey, regexp_replace(p_brand || '(.*+?^${}[]|' || p_size || chr(92), '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') AS pattern, true AS ok FROM part",
 }

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_sql
+from ..operators import registry as g
 from ..operators import retrieval as r
 from ..operators.text_index import B, K1, TextIndex
 from ..sources.durable import shared_folder
@@ -43,9 +44,24 @@ def _quantised(spark, d):
     return found.select("query_id", "recall", F.lit(scored).alias("scored"), F.lit(n).alias("vectors"))
 
 
-QUERIES = {"text_index_search": _text_index, "vector_quantised_recall": _quantised}
+def _grown(spark, d):
+    """A registry of every other brand and type, grown by clusters that spell names with their words in another order and by new ones."""
+    kind = F.concat_ws(" ", "p_name", "p_type")  # with a mark, as names without it are too much like each other for a plain statement of the result
+    p = table(spark, d, "part").groupBy(F.concat_ws(" ", kind, F.substring(F.md5(kind), 1, 20)).alias("canonical")).agg(F.min("p_partkey").alias("pos"))
+    standing = p.where("pos % 2 = 0").select("pos", "canonical", F.array(F.upper("canonical")).alias("aliases"))
+    turned = F.array_join(F.reverse(F.split("canonical", " ")), " ")
+    clustered = p.select(turned.alias("canonical"), F.explode(F.array(turned, F.concat(turned, F.lit(" ltd")))).alias("name"))
+    grown = g.folded(clustered, standing)
+    return grown.select("canonical", F.size("aliases").alias("n_aliases"), F.array_join("aliases", "|").alias("aliases"))
+
+
+QUERIES = {"registry_grown": _grown, "text_index_search": _text_index, "vector_quantised_recall": _quantised}
 
 SQL = {
+    "registry_grown": """WITH n AS (SELECT p_name || ' ' || p_type || ' ' || substr(md5(p_name || ' ' || p_type), 1, 20) AS c, min(p_partkey) % 2 = 0 AS held FROM part GROUP BY p_name, p_type),
+p AS (SELECT c, array_to_string(list_reverse(string_split(c, ' ')), ' ') AS t, held FROM n),
+x AS (SELECT CASE WHEN held THEN c ELSE t END AS canonical, CASE WHEN held THEN [upper(c), t, t || ' ltd'] ELSE [t, t || ' ltd'] END AS names FROM p),
+y AS (SELECT canonical, list_sort(list_distinct([n for n in names if n <> canonical])) AS aliases FROM x) SELECT canonical, CAST(len(aliases) AS INT) AS n_aliases, array_to_string(aliases, '|') AS aliases FROM y""",
     "text_index_search": f"""WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'sc' ELSE 'hc' END AS source_table, {tokens_sql('text')} AS toks FROM documents),
 q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS question FROM benchmark), qt AS (SELECT query_id, unnest(list_distinct({tokens_sql('question')})) AS term FROM q), qn AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY query_id),
 n AS (SELECT count(*) AS texts, sum(len(toks)) / count(*) AS mean FROM d), p AS (SELECT doc_id, source_table, len(toks) AS length, unnest(toks) AS term FROM d), ix AS (SELECT term, doc_id, source_table, length, count(*) AS tf FROM p GROUP BY ALL),

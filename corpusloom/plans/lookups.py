@@ -73,10 +73,12 @@ def _objects(spark, d):
 
 
 def _cases(spark, d):
+    """Lists of two votes: alike in two names; odd sizes have a third, which one spells in a way that counts as another name."""
     p = table(spark, d, "part")
     one = lambda name, cite: F.struct(name.alias("name"), cite.alias("citation"))
-    a = F.array(one(F.concat("p_brand", F.lit(" v. State")), F.lit("1")), one(F.concat("p_type", F.lit(" vs. Union")), F.lit("2")))
-    b = F.array(one(F.concat(F.upper("p_brand"), F.lit(" Versus State")), F.lit("9")), one(F.concat("p_type", F.lit(" v Union")), F.lit("8")))
+    third = lambda word, cite: F.when(F.col("p_size") % 2 == 1, F.array(one(F.concat("p_name", F.lit(f" {word} Union")), F.lit(cite)))).otherwise(F.array().cast("array<struct<name:string,citation:string>>"))
+    a = F.concat(F.array(one(F.concat("p_brand", F.lit(" v. A.V. State, J")), F.lit("1")), one(F.concat("p_type", F.lit(" vs Union")), F.lit("2"))), third("versus", "3"))
+    b = F.concat(F.array(one(F.concat(F.upper("p_brand"), F.lit(" VS AV State J")), F.lit("9")), one(F.concat("p_type", F.lit(" v Union")), F.lit("8"))), third("v", "7"))
     none = F.lit(None).cast("array<struct<name:string,citation:string>>")
     c = k.case_lists_agree(none, F.when(F.col("p_partkey") % 3 != 0, a).otherwise(none), F.when(F.col("p_partkey") % 5 != 0, b).otherwise(none))
     return p.select("p_partkey", c.alias("c")).select("p_partkey", F.array_join(F.transform("c.value", lambda y: y["citation"]), ",").alias("citations"), "c.method", "c.confidence")
@@ -150,7 +152,8 @@ SQL = {
     "consensus_long": f"WITH {_P}, v AS (SELECT p_partkey, CASE WHEN t THEN p_name END AS t, CASE WHEN m THEN CASE WHEN p_size % 2 = 0 THEN p_name || ' x' ELSE 'another matter' END END AS m FROM p) SELECT p_partkey, coalesce(m, t) AS value, CASE WHEN t IS NOT NULL AND m = t || ' x' THEN 'text+llm' WHEN m IS NOT NULL THEN 'llm' WHEN t IS NOT NULL THEN 'text' ELSE 'none' END AS method, CASE WHEN t IS NOT NULL AND m = t || ' x' THEN 0.75 WHEN t IS NOT NULL AND m IS NOT NULL THEN 0.5 WHEN t IS NOT NULL OR m IS NOT NULL THEN 0.6 ELSE 0.0 END AS confidence FROM v",
     "consensus_acts": f"WITH {_P} SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || ',' || p_type WHEN p_partkey % 4 = 1 THEN '' WHEN t THEN p_type || ',' || p_brand ELSE '' END AS value, CASE WHEN p_partkey % 4 = 0 AND t THEN 'layout+agree' WHEN p_partkey % 4 <= 1 THEN 'layout' WHEN t THEN 'text' ELSE 'none' END AS method, CASE WHEN p_partkey % 4 = 1 THEN 0.8 WHEN p_partkey % 4 = 0 THEN CASE WHEN t AND p_size > 25 THEN 1.0 WHEN t THEN 0.9 WHEN p_size > 25 THEN 0.85 ELSE 0.7 END WHEN t THEN 0.55 ELSE 0.0 END AS confidence FROM p",
     "consensus_objects": f"WITH {_P}, v AS (SELECT *, p_partkey % 4 = 0 AS l FROM p) SELECT p_partkey, CASE WHEN l THEN p_brand WHEN m THEN 'model' END AS jurisdiction, CASE WHEN t THEN p_type WHEN m THEN 'model' END AS primary_case, CASE WHEN l OR t OR m THEN concat_ws('+', CASE WHEN l THEN 'layout' END, CASE WHEN t THEN 'text' END, CASE WHEN m THEN 'llm' END) ELSE 'none' END AS method, CASE WHEN l AND (t OR m) THEN 0.9 WHEN l THEN 0.85 WHEN t AND m THEN 0.7 WHEN t OR m THEN 0.55 ELSE 0.0 END AS confidence FROM v",
-    "consensus_cases": f"WITH {_P} SELECT p_partkey, CASE WHEN t THEN '1,2' WHEN m THEN '9,8' ELSE '' END AS citations, CASE WHEN t AND m THEN 'text+llm' WHEN t THEN 'text' WHEN m THEN 'llm' ELSE 'none' END AS method, CASE WHEN t AND m THEN 0.75 WHEN t OR m THEN 0.6 ELSE 0.0 END AS confidence FROM p",
+    "consensus_cases": f"""WITH {_P} SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND t THEN '1,2' WHEN p_size % 2 = 0 AND m THEN '9,8' WHEN p_size % 2 = 0 THEN '' WHEN m THEN '9,8,7' WHEN t THEN '1,2,3' ELSE '' END AS citations,
+CASE WHEN t AND m AND p_size % 2 = 0 THEN 'text+llm' WHEN m THEN 'llm' WHEN t THEN 'text' ELSE 'none' END AS method, CASE WHEN t AND m AND p_size % 2 = 0 THEN 0.75 WHEN t AND m THEN 0.5 WHEN t OR m THEN 0.6 ELSE 0.0 END AS confidence FROM p""",
     "tier_states": "WITH t AS (SELECT p_partkey AS k, CASE WHEN p_size % 6 = 0 AND p_partkey % 2 = 1 THEN 'regex' WHEN p_size % 6 = 0 THEN 'regex_layout' WHEN p_partkey % 3 = 0 THEN 'regex_partial' WHEN p_size % 6 <= 3 THEN 'targeted_llm' ELSE 'llm_full' END AS tier FROM part), u AS (SELECT tier, CASE WHEN k % 7 = 0 THEN 'skipped_no_text' WHEN tier = 'regex_partial' THEN 'skipped_no_llm_key' ELSE 'done' END AS status FROM t) SELECT tier, status, count(*) AS n FROM u GROUP BY tier, status",
     "cohort_reset": "SELECT c_custkey AS source_id, CASE WHEN c_nationkey = 3 THEN c_mktsegment ELSE c_name END AS text, CASE WHEN c_nationkey = 3 THEN 'pending' ELSE 'done' END AS status, CASE WHEN c_nationkey = 3 THEN 0 ELSE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) END AS n_chunks FROM customer",
     "update_fields": "SELECT c_custkey, c_name, CASE WHEN c_nationkey < 4 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_nationkey < 9 THEN 'now' END AS extracted_at, CASE WHEN c_nationkey < 9 THEN 'now' ELSE 'before' END AS updated_at FROM customer",

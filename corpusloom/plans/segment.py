@@ -21,9 +21,11 @@ def numbered(spark, d):
 
 
 _NUMBERED = """WITH b AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p FROM orders WHERE o_orderkey % 280 <> 0),
-v AS (SELECT doc_id, p, u.o, u.n, u.w FROM b, (VALUES (0, '1', 'delivery'), (1, '2', 'price'), (2, '3', 'interest'), (3, '4.1', 'costs'), (4, '4.2', 'notice'), (5, '2', 'a second claim'), (6, '5A', 'the rest')) u(o, n, w) WHERE u.o <> 5 OR doc_id % 400 = 0)
+v AS (SELECT doc_id, p, u.o, u.n, u.w, CASE WHEN u.n IN ('1', '2', '3') THEN 1 ELSE 0 END AS mark FROM b, (VALUES (0, '1', 'delivery'), (1, '2', 'price'), (2, '3', 'interest'), (3, '4.1', 'costs'), (4, '4.2', 'notice'), (5, '2', 'a second claim'), (6, '5A', 'the rest')) u(o, n, w) WHERE u.o <> 5 OR doc_id % 400 = 0),
+pt AS (SELECT *, 'The order of this customer was placed with priority ' || p || ' and ' || w || ' was settled.' AS body FROM v),
+pe AS (SELECT *, 15 + sum(length(n) + mark + length(body) + 3) OVER (PARTITION BY doc_id ORDER BY o) AS upto, max(o) OVER (PARTITION BY doc_id) AS last FROM pt)
 SELECT doc_id, 'numbered' AS strategy, CASE WHEN o = 5 THEN '2#2' ELSE n END AS paragraph_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS paragraph_order,
-'The order of this customer was placed with priority ' || p || ' and ' || w || ' was settled.' AS paragraph_text, 'numbered' AS kind FROM v"""
+CAST(upto - length(n) - mark - length(body) - 3 AS INT) AS start_char, CAST(upto - CASE WHEN o = last THEN 2 ELSE 0 END AS INT) AS end_char, body AS paragraph_text, 'numbered' AS kind FROM pe"""
 
 
 def _paragraph_chunks(spark, d):
@@ -48,7 +50,7 @@ def _batches(spark, d):
 QUERIES = {
     "chunk_fixed": lambda spark, d: g.fixed_chunks(table(spark, d, "documents")).select("doc_id", "chunk_index", F.length("chunk_text").alias("n"), F.md5("chunk_text").alias("digest")),
     "chunk_with_header": _with_header,
-    "paragraph_extract": lambda spark, d: g.paragraphs(numbered(spark, d)).where("kind = 'numbered'").drop("start_char", "end_char"),
+    "paragraph_extract": lambda spark, d: g.paragraphs(numbered(spark, d)).where("kind = 'numbered'"),
     "paragraph_synthetic": lambda spark, d: g.paragraphs(table(spark, d, "documents")).groupBy("doc_id", "strategy").agg(F.count(F.lit(1)).alias("n"), F.max("end_char").alias("end_char")).withColumn("ok", F.col("n") >= 1).select("doc_id", "strategy", "ok"),
     "chunk_paragraphs": _paragraph_chunks,
     "display_resplit": lambda spark, d: numbered(spark, d).select("doc_id", F.posexplode(g.display_parts(F.col("text"))).alias("pos", "part")).select("doc_id", "pos", "part"),

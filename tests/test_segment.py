@@ -106,5 +106,17 @@ def test_likeness(spark):
     for r in spark.createDataFrame(pairs, "a string, b string").withColumn("s", t.token_sort_ratio(F.col("a"), F.col("b"))).collect():
         a, b = " ".join(sorted(r["a"].split())), " ".join(sorted(r["b"].split()))
         assert abs(r["s"] - (100.0 if not a + b else 200.0 * lcs(a, b) / (len(a) + len(b)))) < 1e-9
-    df = spark.createDataFrame([("Ram Lal vs. State",), ("Ram Lal v. State",)], "n string").select(t.case_name(F.col("n")).alias("k"))
-    assert df.distinct().count() == 1
+    names = {"Ram Lal vs State": "ram lal v state", "Ram  Lal v. State, J.": "ram lal v state j", "Ram Lal vs. State": "ram lal vs state", "A.V. Rao v. State": "av rao v state", "Ram versus State": "ram versus state", "v. State": "v state"}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", t.case_name(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in got} == names
+
+
+def test_offsets_of_paragraphs_that_say_so(spark):
+    """A paragraph begins with the blank lines before it, whatever blanks they hold."""
+    one = "Para {} and so the appellant stated the facts at length"
+    text = "\n\n".join(one.format(i) for i in (1, 2, 3))
+    n = len(one.format(1))
+    assert [p[3:5] for p in paras(spark, text)] == [(0, n + 1), (n + 1, 2 * n + 3), (2 * n + 3, 3 * n + 4)]
+    text = " \n" + one.format(1) + "  \n \n\t\n  " + one.format(2) + "\n" + one.format(3)
+    starts = [p[3] for p in paras(spark, text)]
+    assert starts == [0, text.index("\n \n\t") + 1, text.index("Para 3")]
