@@ -62,6 +62,10 @@ def contain(payload: bytes) -> bytes:
     return head + moov(first) + struct.pack(">I4sQ", 1, b"mdat", len(payload) + 16) + payload
 
 
+#: Levels of boxes within boxes, at most; the tables of a track lie six deep.
+DEEPEST = 32
+
+
 def walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(kind, start of content, end) of each box from ``at`` on; 64-bit sizes and boxes that run to the end included."""
     while at + 8 <= end:
@@ -82,17 +86,19 @@ def tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
     """The leaf boxes of each track by kind."""
     found: list[dict] = []
 
-    def down(at: int, end: int, held: dict | None) -> None:
+    def down(at: int, end: int, held: dict | None, depth: int) -> None:
+        if depth > DEEPEST:
+            raise ValueError(f"boxes are nested more than {DEEPEST} deep")
         for kind, start, stop in walk(data, at, end):
             if kind == b"trak":
                 found.append(own := {})
-                down(start, stop, own)
+                down(start, stop, own, depth + 1)
             elif kind in NESTED:
-                down(start, stop, held)
+                down(start, stop, held, depth + 1)
             elif held is not None:
                 held[kind] = (start, stop)
 
-    down(0, len(data), None)
+    down(0, len(data), None, 0)
     return found
 
 
@@ -110,13 +116,17 @@ def table(data: bytes, at: tuple[int, int] | None, form: str) -> list[tuple]:
 def sample_sizes(data: bytes, boxes: dict) -> list[int]:
     """Bytes of each sample: one size for all, 32 bits each, or the compact table's 4, 8 or 16 bits each."""
     if b"stsz" in boxes:
-        start = boxes[b"stsz"][0]
+        start, stop = boxes[b"stsz"]
         one, n = struct.unpack_from(">II", data, start + 4)
+        if n * one > len(data) or not one and start + 12 + 4 * n > stop:
+            raise ValueError("more samples than the file can hold")
         return [one] * n if one else [x[0] for x in struct.iter_unpack(">I", data[start + 12:start + 12 + 4 * n])]
-    start = boxes[b"stz2"][0]
+    start, stop = boxes[b"stz2"]
     bits, n = data[start + 7], struct.unpack_from(">I", data, start + 8)[0]
     if bits not in (4, 8, 16):
         raise ValueError(f"compact sample sizes of {bits} bits")
+    if start + 12 + (n * bits + 7) // 8 > stop:
+        raise ValueError("more samples than the file can hold")
     held = data[start + 12:start + 12 + (n * bits + 7) // 8]
     if bits == 4:
         return [x for byte in held for x in (byte >> 4, byte & 15)][:n]
@@ -124,19 +134,25 @@ def sample_sizes(data: bytes, boxes: dict) -> list[int]:
 
 
 def samples(data: bytes, boxes: dict) -> list[tuple[int, int]]:
-    """(offset, bytes) of each sample, from the size, chunk and offset tables."""
+    """(offset, bytes) of each sample, from the size, chunk and offset tables, which have to agree; all lie in the file."""
     sizes = sample_sizes(data, boxes)
     offsets = [x[0] for x in (table(data, boxes.get(b"co64"), ">Q") or table(data, boxes.get(b"stco"), ">I"))]
     runs = table(data, boxes.get(b"stsc"), ">III")
     found, k = [], 0
     for i, (first, each, _) in enumerate(runs):
         last = runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1
+        if not (1 if i == 0 else first) == first < last <= len(offsets) + 1:
+            raise ValueError("the runs of chunks don't follow each other")
         for chunk in range(first, last):
             at = offsets[chunk - 1]
             for size in sizes[k:k + each]:
+                if at + size > len(data):
+                    raise ValueError("a sample leaves the file")
                 found.append((at, size))
                 at += size
             k += each
+    if k != len(sizes):
+        raise ValueError(f"the chunks have {k} samples, the size table {len(sizes)}")
     return found
 
 
@@ -151,6 +167,8 @@ def describe(data: bytes) -> dict:
         scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
         held = samples(data, boxes)
         keys = [x[0] for x in table(data, boxes.get(b"stss"), ">I")] if b"stss" in boxes else range(1, len(held) + 1)
+        if not all(1 <= k <= len(held) for k in keys):
+            raise ValueError("a keyframe that is no sample")
         codec = data[boxes[b"stsd"][0] + 12:boxes[b"stsd"][0] + 16].decode("latin-1")
         return {"codec": codec, "timescale": scale, "duration": duration, "n_samples": len(held), "keyframes": [held[k - 1] for k in keys], "samples": held}
     return {"codec": None, "timescale": None, "duration": None, "n_samples": 0, "keyframes": [], "samples": []}

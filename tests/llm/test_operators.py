@@ -280,6 +280,32 @@ def test_compact_sizes_and_fragments():
         media_columns.describe((8).to_bytes(4, "big") + b"moof")
 
 
+def damaged(kind, at, value, n_bytes=4):
+    """A file of 40 samples with some bytes of a box overwritten, ``at`` from the start of its content."""
+    data = bytearray(media_columns.contain(bytes(range(192)) * 40))
+    where = data.index(kind) + 4 + at
+    data[where:where + n_bytes] = value.to_bytes(n_bytes, "big")
+    return bytes(data)
+
+
+def test_damaged_media(spark):
+    """Files that aren't whole get nulls and the reason, whichever table is wrong; none ends the job or takes its memory."""
+    whole = media_columns.contain(bytes(range(192)) * 40)
+    nested = b""
+    for _ in range(3000):
+        nested = (len(nested) + 8).to_bytes(4, "big") + b"moov" + nested
+    bad = {
+        "offsets near the end": damaged(b"co64", 8, len(whole) - 100, 8), "offsets behind it": damaged(b"co64", 8, 1 << 60, 8), "a short run of chunks": damaged(b"stsc", 12, 4), "a long one": damaged(b"stsc", 12, 1 << 31),
+        "a first chunk of none": damaged(b"stsc", 8, 0), "keyframe 0": damaged(b"stss", 8, 0), "keyframe 99": damaged(b"stss", 8, 99), "a huge count": damaged(b"stsz", 8, 0xFFFFFFFF),
+        "no sizes": damaged(b"stsz", 4, 0), "nested": nested, "cut": whole[:-200],
+    }
+    rows = [(name, data) for name, data in bad.items()] + [("whole", whole)]
+    got = {r["name"]: r for r in media_columns.media_features(spark.createDataFrame(rows, "name string, media binary")).collect()}
+    assert got["whole"]["error"] is None and got["whole"]["payload_sha256"] == hashlib.sha256(bytes(range(192)) * 40).hexdigest()
+    for name in bad:
+        assert got[name]["error"] and got[name]["payload_sha256"] is None and got[name]["keyframes"] == [], name
+
+
 def test_packing(spark, docs, none):
     sized = docs.withColumn("n", F.size(F.split("text", " ")).cast("long"))
     packed = packing.pack(sized, "n", capacities=(64, 128, 512), block_pieces=40)
