@@ -29,7 +29,7 @@ def external_shuffle(
     row and number says which bucket that fits in memory a copy falls into, and the buckets' sizes are added up over
     blocks of buckets. Second pass: the whole rows are scattered into buckets, each is sorted, so that its content
     alone decides, and put in order by ``shuffle`` with a seed, which is Fisher-Yates. Whole rows are shuffled once.
-    ``rows`` is read in both passes and must be the same in both. One number for each bucket is broadcast.
+    ``rows`` is read in both passes and must be the same in both.
 
     Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard), which replace columns so named. Nulls are
     values as any other. No rows: no rows. With fewer rows than shards the last shards are empty. ``size_col`` names
@@ -55,11 +55,15 @@ def external_shuffle(
     offsets = within.join(blocks, "_block").select("_bucket", (F.col("_before") + F.col("_blocks_before")).alias("_offset"))
 
     parts = -(-n_buckets // TASK_BUCKETS)
-    dealt = scattered.withColumn("_part", F.floor(F.col("_bucket") * parts / n_buckets).cast("int")).repartitionById(parts, "_part")
-    lists = dealt.groupBy("_part", "_bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "_row", "_copy").alias("_h"), "_row", "_copy"))).alias("_all"))
+    part = F.floor(F.col("_bucket") * parts / n_buckets).cast("int").alias("_part")
+    one = F.struct(F.xxhash64(F.lit(seed), "_row", "_copy").alias("_h"), "_row", "_copy").alias("_one")
+    rows_of = scattered.select(part, "_bucket", one, F.lit(None).cast("long").alias("_offset"))
+    # a bucket's place goes where its rows go, as a row more
+    dealt = rows_of.union(offsets.select(part, "_bucket", F.lit(None).cast(rows_of.schema["_one"].dataType), "_offset")).repartitionById(parts, "_part")
+    lists = dealt.groupBy("_part", "_bucket").agg(F.sort_array(F.collect_list("_one")).alias("_all"), F.max("_offset").alias("_offset"))
     # in order of bucket within a task, so that the seed's random numbers fall to the same buckets each time
-    shuffled = lists.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_all", seed).alias("_all"))
-    placed = shuffled.join(F.broadcast(offsets), "_bucket").select("_offset", F.posexplode("_all").alias("_pos", "_one"))
+    shuffled = lists.sortWithinPartitions("_bucket").select("_offset", F.shuffle("_all", seed).alias("_all"))
+    placed = shuffled.select("_offset", F.posexplode("_all").alias("_pos", "_one"))
     place = F.col("_offset") + F.col("_pos")
     each, more = total // n_shards, total % n_shards  # the first `more` shards have one row more
     edge = more * (each + 1)
