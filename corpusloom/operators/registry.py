@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sort_tokens, squeeze, token_sort_ratio
+from ..functions.text import sort_tokens, squeeze
 from ..sources.durable import sent_if_small, settled
+from .likeness import alike
 
 ACT_SCORE, JUDGE_SCORE = 85, 82
 ABSORB, FOLD = 88, 90
@@ -24,31 +25,21 @@ def judge_key(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(k, r",?\s*\b(c\.?j\.?i?|jj?)\.?\s*$", ""), r"[.,]", " "))
 
 
-def _bounded(df: DataFrame, key: str, side: str) -> DataFrame:
-    """``df`` with the ordered words' length and its characters, each numbered among its likes, for ``_could_score``."""
-    chars = F.array_sort(F.filter(F.split(sort_tokens(F.col(key)), ""), lambda c: c != ""))
-    df = df.withColumn(f"_c{side}", chars)
-    numbered = F.transform(f"_c{side}", lambda c, i: F.concat(c, (i + 1 - F.array_position(f"_c{side}", c)).cast("string")))
-    return df.withColumn(f"_c{side}", numbered).withColumn(f"_n{side}", F.size(f"_c{side}"))
+def _spelt(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``x``: the lower-case words of ``text`` in order, which likeness compares; rows without a text are left out."""
+    return df.withColumn("x", sort_tokens(F.col(text))).where("x IS NOT NULL")
 
 
-def _could_score(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """All pairs of rows made by ``_bounded`` but those that can't score ``least``.
-
-    The score is 200 * common / both lengths. What is common is no longer than the shorter text, which bounds the
-    lengths that are joined, and no more than the characters that both have, counted with their repeats.
-    """
-    slack = 1e-6
-    shortest = F.ceil(F.col("_na") * (least / (200 - least)) - slack).cast("int")
-    longest = F.floor(F.col("_na") * ((200 - least) / least) + slack).cast("int")
-    pairs = a.withColumn("_nb", F.explode(F.sequence(shortest, longest))).join(b, "_nb")
-    return pairs.where(F.size(F.array_intersect("_ca", "_cb")) * 200 + slack >= (F.col("_na") + F.col("_nb")) * least)
+def _scored(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(x, y, score): the spellings of ``a`` and ``b`` that are alike by ``least``, equal ones among them."""
+    xs, ys = a.select("x").distinct(), b.select("x").distinct()
+    return xs.join(ys, "x").select("x", F.col("x").alias("y"), F.lit(100.0).alias("score")).union(alike(xs, least, ys))
 
 
 def matched(names: DataFrame, registry: DataFrame, key, least: float, keep: bool = True) -> DataFrame:
     """(name, canonical, score): the registry entry most like each distinct name, if it scores ``least`` or more.
 
-    Exact keys are joined; the rest is compared with all entries but those that length or letters keep below ``least``.
+    Exact keys are joined; the rest is compared with the entries that share enough of its rare pairs of letters.
     The score is token order's likeness, 0 to 100; ties go to the least key. ``keep``: names without a match
     stand for themselves, else they are left out.
     """
@@ -56,9 +47,9 @@ def matched(names: DataFrame, registry: DataFrame, key, least: float, keep: bool
     r = registry.select(F.col("key").alias("rkey"), "canonical")
     exact = n.join(r, n["key"] == r["rkey"]).select("name", "canonical", F.lit(100.0).alias("score"))
     rest = n.join(exact.select("name"), "name", "left_anti")
-    pairs = _could_score(_bounded(rest, "key", "a"), _bounded(r, "rkey", "b"), least).select("name", "key", "rkey", "canonical")
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("key"), F.col("rkey"))).where(F.col("score") >= least)
-    best = scored.groupBy("name").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", "rkey")).alias("b")).select("name", "b.canonical", F.round("b.score", 3).alias("score"))
+    rest, entries = settled(_spelt(rest, "key")), settled(_spelt(r, "rkey"))
+    scored = rest.join(_scored(rest, entries, least), "x").join(entries.select(F.col("x").alias("y"), "rkey", "canonical"), "y")
+    best = scored.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("rkey"), F.col("canonical"))).alias("b")).select("name", "b.canonical", F.round("b.score", 3).alias("score"))
     found = exact.union(best)
     if not keep:
         return found
@@ -74,9 +65,10 @@ def normalised_lists(rows: DataFrame, id_col: str, list_col: str, matches: DataF
 
 def likely_pairs(names: DataFrame, least: float = ABSORB) -> DataFrame:
     """(a, b, score) of distinct names that are alike, of all pairs; each pair once, a < b."""
-    n = names.select("name").distinct()
-    p = _could_score(_bounded(n.select(F.col("name").alias("a")), "a", "a"), _bounded(n.select(F.col("name").alias("b")), "b", "b"), least).where("a < b").select("a", "b")
-    return p.withColumn("score", token_sort_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    n = settled(_spelt(names.select("name").distinct(), "name"))
+    a, b = n.select("x", F.col("name").alias("a")), n.select(F.col("x").alias("y"), F.col("name").alias("b"))
+    far = alike(n, least).join(a, "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    return far.union(a.join(b.withColumnRenamed("y", "x"), "x").where("a < b").select("a", "b", F.lit(100.0).alias("score")))
 
 
 def clusters(names: DataFrame, least: float = ABSORB) -> DataFrame:
@@ -120,8 +112,9 @@ def folded(clustered: DataFrame, standing: DataFrame, least: float = FOLD) -> Da
     """
     entries = standing.select("pos", F.col("canonical").alias("entry"), "aliases")
     reps = clustered.select(F.col("canonical").alias("rep")).distinct()
-    pairs = _could_score(_bounded(reps, "rep", "a"), _bounded(entries.select("pos", "entry"), "entry", "b"), least).select("rep", "pos", "entry")
-    near = pairs.where(token_sort_ratio(F.col("rep"), F.col("entry")) >= least).groupBy("rep").agg(F.min_by("entry", "pos").alias("entry"))
+    reps, kept = settled(_spelt(reps, "rep")), settled(_spelt(entries.select("pos", "entry"), "entry"))
+    pairs = reps.join(_scored(reps, kept, least), "x").join(kept.select(F.col("x").alias("y"), "pos", "entry"), "y")
+    near = pairs.groupBy("rep").agg(F.min_by("entry", "pos").alias("entry"))
     placed = clustered.withColumnRenamed("canonical", "rep").join(near, "rep", "left").select(F.coalesce("entry", "rep").alias("canonical"), "name")
     told = entries.select(F.col("entry").alias("canonical"), F.explode_outer("aliases").alias("name"))
     both = told.union(placed).groupBy("canonical").agg(F.collect_set("name").alias("names"))

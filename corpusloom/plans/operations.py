@@ -71,6 +71,18 @@ def _act_matches(spark, d):
     return g.matched(names, reg, g.act_key, g.ACT_SCORE)
 
 
+def _alike(a: str, b: str) -> str:
+    """Likeness for DuckDB of two texts whose words are in order: a row of the table for each character of the first."""
+    flags = f"list_transform(string_split({a}, ''), lambda c: list_transform(string_split({b}, ''), lambda e: CAST(c = e AS BIGINT)))"
+    row = "list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN k > 1 THEN r[k - 1] + m[k - 1] ELSE 0 END))))"
+    table_ = f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS BIGINT)), {flags}), lambda r, m: {row})"
+    return f"(200.0 * CAST(list_last({table_}) AS DOUBLE) / (length({a}) + length({b})))"
+
+
+_BY_WORDS = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+_CAPITALS = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_PAIRS = f"WITH RECURSIVE n AS (SELECT p_name AS name, {_BY_WORDS.format('p_name')} AS x FROM (SELECT DISTINCT p_name FROM part)), s AS (SELECT a.name AS a, b.name AS b, {_alike('a.x', 'b.x')} AS score FROM n a JOIN n b ON a.name < b.name)"
+
 QUERIES = {
     "top_values_per_field": lambda spark, d: q.top_values(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], 3),
     "top_array_elements": lambda spark, d: q.top_elements(table(spark, d, "part").select(F.split("p_name", " ").alias("w")), "w"),
@@ -106,6 +118,15 @@ QUERIES = {
 }
 
 SQL = {
+    "name_likeness": f"{_PAIRS} SELECT a, b, score FROM s WHERE score >= 80",
+    "name_clusters": f"""{_PAIRS}, o AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS i FROM n), t AS (SELECT a, b FROM s WHERE score >= 75 UNION ALL SELECT b, a FROM s WHERE score >= 75),
+g AS (SELECT i, list_filter(list(p.i2), lambda v: v IS NOT NULL) AS near FROM o LEFT JOIN (SELECT t.a, u.i AS i2 FROM t JOIN o u ON u.name = t.b) p ON p.a = o.name GROUP BY i),
+r(i, taken, own) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT g.i, list_concat(r.taken, r.own), CASE WHEN list_contains(list_concat(r.taken, r.own), g.i) THEN CAST([] AS BIGINT[]) ELSE list_prepend(g.i, list_filter(g.near, lambda v: NOT list_contains(list_concat(r.taken, r.own), v))) END FROM r JOIN g ON g.i = r.i + 1),
+q AS (SELECT i, unnest(own) AS j FROM r) SELECT c.name AS canonical, m.name AS name FROM q JOIN o c ON c.i = q.i JOIN o m ON m.i = q.j""",
+    "registry_match": f"""WITH n AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'The ' || {_CAPITALS.format('p_name')} || 's' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_name || 's' ELSE p_name END AS key FROM part),
+e AS (SELECT DISTINCT p_name AS rkey, {_CAPITALS.format('p_name')} AS canonical FROM part WHERE p_partkey % 10 = 0), x AS (SELECT *, {_BY_WORDS.format('key')} AS x FROM n), y AS (SELECT *, {_BY_WORDS.format('rkey')} AS y FROM e),
+s AS (SELECT name, canonical, rkey, CASE WHEN key = rkey THEN 100.0 ELSE {_alike('x', 'y')} END AS score FROM x, y), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, rkey) AS k FROM s WHERE score >= {g.ACT_SCORE})
+SELECT n.name, coalesce(b.canonical, n.name) AS canonical, round(b.score, 3) AS score FROM n LEFT JOIN b ON b.name = n.name AND b.k = 1""",
     "top_values_per_field": "WITH t AS (SELECT 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders), g AS (SELECT field, value, count(*) AS times FROM t WHERE value <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY times DESC, value) AS place FROM g) x WHERE place <= 3",
     "top_array_elements": "SELECT value, count(*) AS times FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS value FROM part) x GROUP BY value ORDER BY times DESC, value LIMIT 5",
     "field_coverage": "WITH d AS (SELECT text, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n, count(*) FILTER (trim(text) <> '') AS text, count(*) FILTER (trim(lang) <> '') AS lang, count(*) FILTER (quality > 0) AS quality, count(*) FILTER (toxic > 0) AS toxic FROM d) "
