@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sort_tokens, squeeze
-from ..sources.durable import sent_if_small, settled
+from ..sources.durable import settled
 from .likeness import alike
+from .mentions import occurrences
 
 ACT_SCORE, JUDGE_SCORE = 85, 82
 ABSORB, FOLD = 88, 90
@@ -130,10 +131,9 @@ def merged(scraped: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, short: int = 8) -> DataFrame:
-    """(text_id, alias) of aliases in texts; short ones as whole words only. Every text meets every alias; the aliases are counted before they go to all tasks."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    hit = F.when(F.length("alias") <= short, F.contains(padded, F.concat(F.lit(" "), F.lower("alias"), F.lit(" ")))).otherwise(F.contains(F.lower("text"), F.lower("alias")))
-    return texts.crossJoin(sent_if_small(aliases)).where(hit).select("text_id", "alias")
+    """(text_id, alias) of aliases in texts; short ones as whole words only. Texts meet blocks of aliases, each in one pass."""
+    hits = occurrences(texts, aliases.select(F.col("alias").alias("name")), "text_id", short=short)
+    return hits.join(aliases.withColumn("name", F.lower("alias")), "name").select("text_id", "alias")
 
 
 def is_clean_judge(c: Column) -> Column:

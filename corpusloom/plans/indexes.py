@@ -55,9 +55,20 @@ def _grown(spark, d):
     return grown.select("canonical", F.size("aliases").alias("n_aliases"), F.array_join("aliases", "|").alias("aliases"))
 
 
-QUERIES = {"registry_grown": _grown, "text_index_search": _text_index, "vector_quantised_recall": _quantised}
+def _words_named(spark, d):
+    """A registry of all words of the benchmark, sought in all documents: how many mention each, long ones within other words too."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1))
+    names = table(spark, d, "benchmark").select(F.explode(words).alias("alias")).distinct()
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return g.mentions(texts, names).groupBy("alias").agg(F.countDistinct("text_id").alias("n_texts"))
+
+
+QUERIES = {"registry_grown": _grown, "registry_words_named": _words_named, "text_index_search": _text_index, "vector_quantised_recall": _quantised}
 
 SQL = {
+    "registry_words_named": """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}{2,}')) AS alias FROM benchmark),
+d AS (SELECT doc_id, lower(text) AS l, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS ws FROM documents WHERE text IS NOT NULL),
+h AS (SELECT alias, doc_id FROM n JOIN (SELECT doc_id, unnest(ws) AS w FROM d) x ON w = alias WHERE length(alias) <= 8 UNION ALL SELECT alias, doc_id FROM n JOIN d ON contains(l, alias) WHERE length(alias) > 8) SELECT alias, count(DISTINCT doc_id) AS n_texts FROM h GROUP BY alias""",
     "registry_grown": """WITH n AS (SELECT p_name || ' ' || p_type || ' ' || substr(md5(p_name || ' ' || p_type), 1, 20) AS c, min(p_partkey) % 2 = 0 AS held FROM part GROUP BY p_name, p_type),
 p AS (SELECT c, array_to_string(list_reverse(string_split(c, ' ')), ' ') AS t, held FROM n),
 x AS (SELECT CASE WHEN held THEN c ELSE t END AS canonical, CASE WHEN held THEN [upper(c), t, t || ' ltd'] ELSE [t, t || ' ltd'] END AS names FROM p),

@@ -8,16 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows that are sent to every task, at most.
-SMALL = 100_000
-
-
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """``df`` marked to be broadcast if it has SMALL rows at most; counted first, and otherwise left to Spark."""
-    df = settled(df)
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; only in local mode may it be a temporary one."""
     context = spark.sparkContext
