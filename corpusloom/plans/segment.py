@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import segment as g
+from ..operators.batches import greedy_batches
 from ..sources.tables import table
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -47,7 +48,14 @@ def _batches(spark, d):
     return each.select("part", F.inline(F.arrays_zip(F.col("xs.doc_id").alias("doc_id"), g.token_batches(F.col("xs.n"), 5000).alias("batch"))))
 
 
+def _batches_whole(spark, d):
+    """All documents in one order, in batches of tokens."""
+    docs = table(spark, d, "documents").select("doc_id", g.token_estimate(F.col("text")).alias("n"))
+    return greedy_batches(docs, ["doc_id"], "n", 5000)
+
+
 QUERIES = {
+    "token_batches_whole": _batches_whole,
     "chunk_fixed": lambda spark, d: g.fixed_chunks(table(spark, d, "documents")).select("doc_id", "chunk_index", F.length("chunk_text").alias("n"), F.md5("chunk_text").alias("digest")),
     "chunk_with_header": _with_header,
     "paragraph_extract": lambda spark, d: g.paragraphs(numbered(spark, d)).where("kind = 'numbered'"),
@@ -70,6 +78,10 @@ r(doc_id, i, chunk, used) AS (SELECT doc_id, i, 0, length(body) FROM ps WHERE i
 e AS (SELECT o_orderkey AS doc_id, o_orderpriority AS p FROM orders WHERE o_orderkey % 280 = 0)
 SELECT r.doc_id, CAST(r.chunk AS INT) AS chunk_index, CAST(3 + length(string_agg('¶' || num || '  ' || body, chr(10) || chr(10) ORDER BY r.i)) AS INT) AS n, string_agg(num, ',' ORDER BY r.i) AS labels FROM r JOIN ps ON ps.doc_id = r.doc_id AND ps.i = r.i GROUP BY r.doc_id, r.chunk
 UNION ALL SELECT doc_id, CAST(k AS INT), CAST(3 + 6 + CASE WHEN k < 10 THEN 200 ELSE 57 END AS INT), 's1' FROM e, (SELECT unnest(generate_series(0, 10)) AS k) s UNION ALL SELECT doc_id, 11, CAST(3 + 5 + length('The end of ' || p) AS INT), 's2' FROM e""",
+    "token_batches_whole": """WITH RECURSIVE t AS (SELECT doc_id, CAST(floor(coalesce(length(text), 0) / 2.5) AS BIGINT) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT doc_id, i, n, sum(n) OVER (ORDER BY i) - n AS before FROM t), x AS (SELECT a.i, coalesce(min(b.i), (SELECT max(i) + 1 FROM s)) AS next FROM s a LEFT JOIN s b ON b.i > a.i AND b.before + b.n > a.before + 5000 GROUP BY a.i),
+r(i, batch) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT x.next, r.batch + 1 FROM r JOIN x ON x.i = r.i)
+SELECT s.doc_id, max(r.batch) AS batch FROM s JOIN r ON r.i <= s.i GROUP BY s.doc_id""",
     "token_batches": """WITH RECURSIVE t AS (SELECT doc_id // 1000 AS part, doc_id, CAST(floor(coalesce(length(text), 0) / 2.5) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
 r(part, i, doc_id, batch, used) AS (SELECT part, i, doc_id, 0, n FROM t WHERE i = 1 UNION ALL SELECT t.part, t.i, t.doc_id, CASE WHEN r.used + t.n > 5000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + t.n > 5000 THEN t.n ELSE r.used + t.n END FROM r JOIN t ON t.part = r.part AND t.i = r.i + 1)
 SELECT part, doc_id, CAST(batch AS INT) AS batch FROM r""",
