@@ -149,6 +149,5 @@ def search_names(judges: DataFrame, acts: DataFrame) -> DataFrame:
 
 
 def write_registry(entries: DataFrame, path: str) -> None:
-    """A registry (canonical, aliases) as one JSON file of entries in order of name, as ``registry`` of the sources reads it."""
-    one = entries.agg(F.array_sort(F.collect_list(F.struct("canonical", "aliases"))).alias("entries"))
-    one.coalesce(1).write.mode("overwrite").json(path)
+    """A registry (canonical, aliases) as JSON, an entry a line in order of name, as ``registry`` of the sources reads it by lines."""
+    entries.select("canonical", "aliases").orderBy("canonical").write.mode("overwrite").json(path)

@@ -42,16 +42,26 @@ def _entries(spark, d):
 def _registry_file(spark, d):
     path = _path(spark, "registry")
     g.write_registry(_entries(spark, d), path)
-    return tables.registry(spark, path)
+    return tables.registry(spark, path, lines=True)
 
 
 def _golden(spark, d):
-    """A golden set written as one JSON file and read: a question a customer, its orders as the cases to be found."""
+    """A golden set written a question a line and read: a question a customer, its orders as the cases to be found."""
     path = _path(spark, "golden")
     each = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.lit("sc").alias("source_table"), F.col("o_orderkey").cast("long").alias("source_id")))).alias("expected_cases"))
     each = each.select(F.col("o_custkey").cast("string").alias("id"), F.concat(F.lit("Orders of "), F.col("o_custkey").cast("string")).alias("question"), "expected_cases")
-    each.agg(F.collect_list(F.struct("*")).alias("queries")).coalesce(1).write.json(path)
-    return tables.golden_set(spark, path)
+    each.write.json(path)
+    return tables.golden_set(spark, path, lines=True)
+
+
+def _replaced(spark, d):
+    """Orders written by status as folders; those of one status and of even keys of another are replaced where they lie."""
+    path = _path(spark, "replaced")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice")
+    sinks.replace_in_place(o, path, ["status", "o_orderkey"], ["status"])
+    new = o.where("status = 'F' OR status = 'O' AND o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0))
+    sinks.replace_in_place(new, path, ["status", "o_orderkey"], ["status"])
+    return spark.read.schema(o.schema).parquet(path)
 
 
 def _names(spark, d):
@@ -131,6 +141,7 @@ QUERIES = {
     "partition_values": _partition_values,
     "registry_file": _registry_file,
     "golden_set_file": _golden,
+    "replace_in_place": _replaced,
     "registry_search_names": _names,
     "session_filters_win": _filters,
     "owned_order": lambda spark, d: c.owned(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_custkey").alias("asked"), "o_orderstatus"), F.col("id"), F.when(F.col("id") % 2 == 0, F.col("asked")).otherwise(-1)).select("id", "o_orderstatus"),
@@ -152,6 +163,7 @@ SQL = {
     "partitioned_scan": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_orderstatus AS court FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1993 AND 1995",
     "partition_values": "SELECT DISTINCT c_mktsegment AS court FROM customer",
     "registry_file": "WITH e AS (SELECT DISTINCT p_brand AS canonical, unnest([p_brand, p_type]) AS name FROM part) SELECT lower(trim(name)) AS key, max(canonical) AS canonical FROM e GROUP BY ALL",
+    "replace_in_place": "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders",
     "golden_set_file": "SELECT CAST(o_custkey AS VARCHAR) AS id, 'Orders of ' || o_custkey AS question, 'sc' AS source_table, o_orderkey AS source_id, 1.0 AS weight FROM orders",
     "registry_search_names": "WITH j AS (SELECT 'Rao ' || c_name AS canonical, c_mktsegment AS other FROM customer WHERE c_custkey % 4 = 3), u AS (SELECT unnest([canonical, other]) AS alias, canonical FROM j UNION ALL SELECT unnest([p_brand, p_type]), p_brand FROM part) SELECT DISTINCT alias, canonical FROM u",
     "session_filters_win": "WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'HC' WHEN 1 THEN NULL ELSE nullif(event_type, '') END AS court, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS year FROM events) SELECT event_id, court, year, CAST((court IS NOT NULL)::INT + (year IS NOT NULL)::INT AS INT) AS n FROM f",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,27 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.join(gone, same(old, gone, keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def replace_in_place(new: DataFrame, path: str, keys: list[str], by: list[str]) -> None:
+    """Puts ``new`` into the Parquet folder ``path``, partitioned ``by``: rows there whose key is in ``new`` go, all others stay.
+
+    Only partitions that ``new`` has rows of are read and written; their new files are staged and change places with the
+    old ones once all tasks are done, so a job that fails leaves the folder as it was. (Not so if the driver is lost while
+    files change places.) ``by`` has to be among ``keys``, else a key could leave a partition that has no new row. A
+    folder that isn't there is made. Rows have the columns of ``new``.
+    """
+    if not by or not set(by) <= set(keys):
+        raise ValueError("the columns of partitions must be among the keys")
+    content = new
+    try:
+        old = new.sparkSession.read.schema(new.schema).parquet(path)
+        touched = new.select(*by).distinct()
+        content = replace_by_key(old.join(touched, same(old, touched, by), "left_semi"), new, keys)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: bool = False, coalesce_new: bool = False) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key, one row a key on either side.
 

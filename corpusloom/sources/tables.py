@@ -61,17 +61,27 @@ def partition_values(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(base).select(name).distinct()
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """(key, canonical) from a JSON registry of canonical names and aliases; of equal keys the last one counts."""
-    rows = spark.read.option("multiLine", True).schema("entries array<struct<canonical:string,aliases:array<string>>>").json(path)
-    each = rows.select(F.posexplode("entries").alias("pos", "e")).select("pos", F.col("e.canonical").alias("canonical"), F.explode(F.concat(F.array("e.canonical"), F.coalesce("e.aliases", F.array().cast("array<string>")))).alias("name"))
+def registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(key, canonical) from a JSON registry of canonical names and aliases; of equal keys the last one counts.
+
+    One document, or with ``lines`` an entry a line, which tasks share; then the last is that of the greatest name.
+    """
+    entry = "canonical string, aliases array<string>"
+    if lines:
+        rows = spark.read.schema(entry).json(path).select(F.col("canonical").alias("pos"), F.struct("canonical", "aliases").alias("e"))
+    else:
+        rows = spark.read.option("multiLine", True).schema(f"entries array<struct<{entry}>>").json(path).select(F.posexplode("entries").alias("pos", "e"))
+    each = rows.select("pos", F.col("e.canonical").alias("canonical"), F.explode(F.concat(F.array("e.canonical"), F.coalesce("e.aliases", F.array().cast("array<string>")))).alias("name"))
     return each.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.max_by("canonical", "pos").alias("canonical"))
 
 
-def golden_set(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question, source_table, source_id, weight) of a JSON file of questions with the cases they should find."""
-    schema = "queries array<struct<id:string,question:string,expected_cases:array<struct<source_table:string,source_id:bigint,weight:double>>>>"
-    q = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("queries").alias("q"))
+def golden_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, question, source_table, source_id, weight) of questions with the cases they should find: one JSON document, or with ``lines`` a question a line."""
+    question = "id string, question string, expected_cases array<struct<source_table string, source_id bigint, weight double>>"
+    if lines:
+        q = spark.read.schema(question).json(path).select(F.struct("*").alias("q"))
+    else:
+        q = spark.read.option("multiLine", True).schema(f"queries array<struct<{question}>>").json(path).select(F.explode("queries").alias("q"))
     return q.select("q.id", "q.question", F.explode("q.expected_cases").alias("e")).select("id", "question", "e.source_table", "e.source_id", F.coalesce("e.weight", F.lit(1.0)).alias("weight"))
 
 
