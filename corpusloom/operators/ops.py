@@ -81,6 +81,11 @@ def subscriptions(events: DataFrame) -> DataFrame:
     """(user_id, plan, status, until) from subscription events; each event counts once, the latest decides, ended ones are free."""
     once = events.groupBy("event_id").agg(F.min_by(F.struct("user_id", "kind", "plan", "ts"), "ts").alias("e")).select("event_id", "e.*")
     last = once.groupBy("user_id").agg(F.max_by(F.struct("kind", "plan", "ts"), F.struct("ts", "event_id")).alias("e"))
+    return subscribed(last)
+
+
+def subscribed(last: DataFrame) -> DataFrame:
+    """(user_id, plan, status, until) from each user's latest event ``e`` (kind, plan, ts)."""
     ended = F.col("e.kind").isin("cancelled", "completed")
     months = F.when(F.col("e.plan") == "yearly", 12).otherwise(1)
     return last.select("user_id", F.when(ended, "free").otherwise(F.col("e.plan")).alias("plan"), F.col("e.kind").alias("status"), F.when(~ended, F.add_months(F.to_date("e.ts"), months)).alias("until"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import token_sort_ratio
@@ -11,6 +13,7 @@ from ..operators import quality as q
 from ..operators import registry as g
 from ..operators import retrieval as r
 from ..sources import sinks
+from ..sources.durable import shared_folder
 from ..sources.tables import table
 from ..streaming import operational as st
 from .retrieval import _vectors
@@ -38,6 +41,20 @@ def _subs(spark, d):
     return o.subscriptions(ev.select("event_id", "user_id", kind.alias("kind"), F.when(F.col("user_id") % 2 == 0, "yearly").otherwise("monthly").alias("plan"), "ts"))
 
 
+def _subs_kept_up(spark, d):
+    """The same by a stream: events arrive in two loads, and a second run goes on where the first ended."""
+    ev = table(spark, d, "events").where("event_type IN ('purchase', 'signup', 'error')")
+    base = f"{shared_folder(spark)}/subscriptions-{uuid.uuid4().hex}"
+    stream = None
+    for load in (0, 1):
+        ev.where(F.col("event_id") % 2 == load).write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{base}/events")
+        kind = F.when(F.col("event_type") == "purchase", "charged").when(F.col("event_type") == "signup", "activated").otherwise("cancelled")
+        told = stream.select("event_id", "user_id", kind.alias("kind"), F.when(F.col("user_id") % 2 == 0, "yearly").otherwise("monthly").alias("plan"), "ts")
+        st.kept_up(st.subscriptions(told), f"{base}/checkpoint", f"{base}/state", ["user_id"], buckets=8)
+    return spark.read.parquet(f"{base}/state").drop("bucket")
+
+
 def _upsert(spark, d):
     c = table(spark, d, "customer")
     old = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -108,6 +125,7 @@ QUERIES = {
     "retention_nulls": lambda spark, d: o.forget(_steps(spark, d), "data", F.expr(NOW)).groupBy("step").agg(F.count("data").alias("kept"), F.count(F.lit(1)).alias("n")),
     "daily_quota": _quota,
     "subscription_state": _subs,
+    "subscription_stream": _subs_kept_up,
     "daily_event_counts": lambda spark, d: st.daily(table(spark, d, "events")),
     "session_windows": lambda spark, d: st.sessions(table(spark, d, "events"), "12 hours"),
     "sessions_by_update": lambda spark, d: o.sessions_by_update(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"))),
@@ -157,3 +175,5 @@ SELECT n.name, coalesce(b.canonical, n.name) AS canonical, round(b.score, 3) AS
     "replace_by_key": "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 5 THEN 1.0 ELSE c_acctbal END AS c_acctbal FROM customer",
     "retrieval_evaluation": f"WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0), w AS (SELECT q.vec_id AS query_id, c.vec_id AS key FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.label = q.label AND c.vec_id - c.vec_id % 100 = q.vec_id), j AS (SELECT w.query_id, w.key, h.rank FROM w LEFT JOIN h ON h.query_id = w.query_id AND h.key = w.key AND h.rank <= 80), p AS (SELECT query_id, coalesce(1.0 / min(rank), 0) AS rr, " + ", ".join(f"count(*) FILTER (rank <= {k}) / CAST(count(*) AS DOUBLE) AS r{k}" for k in e.CUTS) + " FROM j GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(rr), 6) AS mrr, " + ", ".join(f"round(avg(r{k}), 6) AS recall_{k}" for k in e.CUTS) + " FROM p",
 }
+
+SQL["subscription_stream"] = SQL["subscription_state"]
