@@ -304,3 +304,9 @@ def test_registry_compares_all_pairs(spark):
     asked = spark.createDataFrame([("Evidance",), ("Chandrachood D. Y.",), ("unlike",)], "name string")
     found = {r["name"]: (r["canonical"], r["score"]) for r in registry.matched(asked, reg, registry.judge_key, registry.JUDGE_SCORE, keep=False).collect()}
     assert found == {"Evidance": ("Evidence", 87.5), "Chandrachood D. Y.": ("D. Y. Chandrachud", 90.323)}
+
+
+def test_blanks_around_page_marks(spark):
+    rows = [("a\n\n 17 \n\nb", "a\nb"), ("17\na\n18", "17\na\n18"), ("a\n[2003] 4 S.C.R.\n\nb", "a\nb"), ("a\n*Author\nb", "a\n\nb"), ("", ""), (None, None), ("x 17\nA. Roy v. B. Rao", "x 17\nA. Roy v. B. Rao")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(extract.cleaned(F.col("t"))).collect()] == [w for _, w in rows]
