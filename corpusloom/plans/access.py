@@ -93,7 +93,7 @@ def _hot(spark, d):
 
 
 def _audit(spark, d):
-    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("message_id"), F.lit(0).alias("query_index"), F.lit("original").alias("query_type"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_text"), F.transform("embedding", lambda x: F.round(x * 100).cast("int")).alias("embedding"))
+    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("message_id"), F.lit(0).alias("query_index"), F.lit("original").alias("query_type"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_text"), F.transform("embedding", lambda x: F.round(x.cast("float") * F.lit(100).cast("float")).cast("int")).alias("embedding"))
     return r.query_embedding_rows(asked)
 
 

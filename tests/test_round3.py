@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as t
 from corpusloom.operators import extract as x
 from corpusloom.operators import retrieval as r
+from corpusloom.plans import access
 from corpusloom.plans import extract as plans
 from corpusloom.sources.tables import spread
 
@@ -40,3 +41,14 @@ def test_texts_with_all_terms_are_filtered_below_the_join(spark, tmp_path):
     assert {row.chunk_id for row in some.collect()} == {1, 4}
     assert "!Filter" not in _plan(r.postings(some, only=r.query_terms(asked))) and "LeftSemi, forall" not in _plan(some)
     assert r.with_all_terms(texts, asked.where("query_id = 1")).count() == 0
+
+
+def test_audit_of_vectors_in_double_precision_rounds_as_its_sql(spark, tmp_path):
+    duckdb = __import__("duckdb")
+    rows = [(i, [i / 1000 + 0.005 * k for k in range(-20, 20)], 1) for i in range(200)] + [(200, None, 1), (201, [0.285, None], 1)]
+    for kind in ("double", "float"):
+        spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").write.parquet(f"{tmp_path}/{kind}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{kind}/embeddings.parquet/*.parquet'")
+        told = con.sql(access.SQL["query_embedding_audit"]).fetchall()
+        assert sorted(told) == sorted(tuple(r) for r in access.QUERIES["query_embedding_audit"](spark, f"{tmp_path}/{kind}").collect())
