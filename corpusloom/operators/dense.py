@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, DoubleType, ShortType, StructField, Str
 SAMPLE = 16_384
 #: Parts that a vector is cut into, and centres of each part.
 PARTS, CENTRES = 16, 64
+#: Distances that a task holds at once, about: queries of the block times rows.
+HELD = 2_000_000
 #: Distances that agree so far count as equal, whatever order a product added them up in.
 DIGITS = 12
 
@@ -88,18 +90,21 @@ def _scanned(batches: Iterator[pa.RecordBatch], scorers: dict, key: str, by: tup
     for batch in batches:
         batch = batch.take(pc.sort_indices(batch.column(key)))
         groups = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+        told = batch.select([key, *by])  # without the vectors, as a row can be near to many queries
         for at, rows in matrices(batch.column(vector)):
             scorer = scorers.get(rows.shape[1])
             if scorer is None or not len(at):
                 continue
+            ids = pa.array(scorer.ids, query_type)
             own = [groups[i] for i in at]
             for group in dict.fromkeys(own):
-                mine = np.array([g == group for g in own])
-                distance = scorer.distances(rows[mine])
-                query, row = near.of((rows.shape[1], *group), distance)
-                picked = batch.take(pa.array(at[mine][row]))
-                columns = [pa.array([scorer.ids[q] for q in query], query_type), picked.column(key), *(picked.column(c) for c in by), pa.array(distance[query, row])]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", key, *by, "distance"])
+                mine = np.flatnonzero([g == group for g in own])
+                step = max(1, HELD // max(1, len(ids)))
+                for part in (mine[lo : lo + step] for lo in range(0, len(mine), step)):
+                    distance = scorer.distances(rows[part])
+                    query, row = near.of((rows.shape[1], *group), distance)
+                    picked = told.take(pa.array(at[part][row]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *picked.columns, pa.array(distance[query, row])], ["query_id", key, *by, "distance"])
 
 
 def nearest(rows: DataFrame, asked: DataFrame, scorers: dict, key: str, by: tuple[str, ...], vector: str, limit: int) -> DataFrame:
