@@ -50,6 +50,11 @@ class Cosine:
             far = 1.0 - self.units @ unit(rows).T
         return np.where(np.isnan(far), np.inf, np.round(far, DIGITS))
 
+    def of(self, some: set) -> Cosine:
+        """The same for some of the queries."""
+        at = [i for i, q in enumerate(self.ids) if q in some]
+        return Cosine([self.ids[i] for i in at], self.units[at])
+
 
 @dataclass
 class ByCode:
@@ -85,8 +90,8 @@ class Nearest:
         return query[few], row[few]
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], scorers: dict, key: str, by: tuple[str, ...], vector: str, limit: int, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    near = Nearest(limit)
+def _scanned(batches: Iterator[pa.RecordBatch], scorers: dict, key: str, by: tuple[str, ...], vector: str, limit: int, query_type: pa.DataType, asking: dict[tuple, set] | None = None) -> Iterator[pa.RecordBatch]:
+    near, parts = Nearest(limit), {}
     for batch in batches:
         batch = batch.take(pc.sort_indices(batch.column(key)))
         groups = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
@@ -95,10 +100,15 @@ def _scanned(batches: Iterator[pa.RecordBatch], scorers: dict, key: str, by: tup
             scorer = scorers.get(rows.shape[1])
             if scorer is None or not len(at):
                 continue
-            ids = pa.array(scorer.ids, query_type)
-            own = [groups[i] for i in at]
+            whole, own = scorer, [groups[i] for i in at]
             for group in dict.fromkeys(own):
-                mine = np.flatnonzero([g == group for g in own])
+                mine, known = np.flatnonzero([g == group for g in own]), (rows.shape[1], group)
+                if asking is not None and known not in parts:
+                    parts[known] = whole.of(asking.get(group, set()))
+                scorer = parts.get(known, whole)
+                ids = pa.array(scorer.ids, query_type)
+                if not len(ids):
+                    continue
                 step = max(1, HELD // max(1, len(ids)))
                 for part in (mine[lo : lo + step] for lo in range(0, len(mine), step)):
                     distance = scorer.distances(rows[part])
@@ -107,17 +117,17 @@ def _scanned(batches: Iterator[pa.RecordBatch], scorers: dict, key: str, by: tup
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *picked.columns, pa.array(distance[query, row])], ["query_id", key, *by, "distance"])
 
 
-def nearest(rows: DataFrame, asked: DataFrame, scorers: dict, key: str, by: tuple[str, ...], vector: str, limit: int) -> DataFrame:
+def nearest(rows: DataFrame, asked: DataFrame, scorers: dict, key: str, by: tuple[str, ...], vector: str, limit: int, asking: dict[tuple, set] | None = None) -> DataFrame:
     """(query_id, key, *by, distance): rows of ``rows`` that can be among the ``limit`` nearest of each query within ``by``.
 
     ``scorers``, by number of components, hold a block of queries and are broadcast; a task gives some ``limit`` rows a
-    query and group, which the caller ranks.
+    query and group, which the caller ranks. ``asking``: the queries that each group is compared with, else all.
     """
     types = {f.name: f.dataType for f in rows.schema}
     query = asked.schema["query_id"].dataType
     out = StructType([StructField("query_id", query), StructField(key, types[key]), *(StructField(c, types[c]) for c in by), StructField("distance", DoubleType())])
-    sent, kind = rows.sparkSession.sparkContext.broadcast(scorers), to_arrow_type(query)
-    return rows.select(key, *by, vector).mapInArrow(lambda batches: _scanned(batches, sent.value, key, by, vector, limit, kind), out)
+    sent, kind = rows.sparkSession.sparkContext.broadcast((scorers, asking)), to_arrow_type(query)
+    return rows.select(key, *by, vector).mapInArrow(lambda batches: _scanned(batches, sent.value[0], key, by, vector, limit, kind, sent.value[1]), out)
 
 
 def block_of(asked: DataFrame, vector: str = "vector") -> dict[int, tuple[list, np.ndarray]]:

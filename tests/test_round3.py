@@ -77,3 +77,18 @@ def test_memory_of_a_batch_against_a_full_block_of_queries_is_bounded():
     far = np.round(1 - dense.unit(asked[:3]) @ dense.unit(rows.astype(np.float32).astype(float)).T, dense.DIGITS)
     for q in range(3):
         assert [k for _, k in sorted(best[q])[:40]] == np.lexsort((np.arange(6000), far[q]))[:40].tolist()
+
+
+def test_cells_are_scanned_by_products_and_only_for_those_who_ask(spark):
+    draw = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, draw.normal(size=8).tolist()) for i in range(300)] + [(300, [0.0] * 8), (301, None)], "chunk_id long, embedding array<double>")
+    asked = v.where("chunk_id % 50 = 0 AND chunk_id < 300").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    sound = v.where("chunk_id < 300")
+    centres = r.cell_centres(sound, 4)
+    placed = r.in_cells(sound, centres).unionByName(v.where("chunk_id >= 300").withColumn("cell", F.lit(centres.first()["cell"])))
+    hits = r.cell_hits(placed, centres, asked, 10, 2)
+    assert "zip_with" not in hits._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+    probed = r.in_cells(asked, centres, 2, "vector").select("query_id", "cell")
+    exact = r.vector_hits(v, asked, 302).join(placed.select("chunk_id", "cell"), "chunk_id").join(probed, ["query_id", "cell"], "left_semi")
+    want = r.ranked(exact.drop("rank"), F.col("distance"), ["query_id"], limit=10).select("query_id", "chunk_id", "rank")
+    assert sorted(map(tuple, hits.select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, want.collect()))
