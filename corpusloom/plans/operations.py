@@ -14,7 +14,7 @@ from ..operators import registry as g
 from ..operators import retrieval as r
 from ..sources import sinks
 from ..sources.durable import shared_folder
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import operational as st
 from .retrieval import _vectors
 
@@ -115,7 +115,7 @@ QUERIES = {
     "name_clusters": lambda spark, d: g.clusters(table(spark, d, "part").select(F.col("p_name").alias("name")), 75),
     "registry_match": _act_matches,
     "registry_mentions": lambda spark, d: g.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), spark.createDataFrame([("License",), ("MIT",), ("rights reserved",)], "alias string")),
-    "token_sort_self": lambda spark, d: table(spark, d, "part").select("p_partkey", token_sort_ratio(F.col("p_name"), F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("score")),
+    "token_sort_self": lambda spark, d: spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", 2_000).select("p_partkey", token_sort_ratio(F.col("p_name"), F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("score")),
     "errors_page": lambda spark, d: o.errors_page(_errors(spark, d), category="error", resolved=False, limit=25, offset=50).select("id", "severity", "created_at"),
     "errors_count": lambda spark, d: o.errors_where(_errors(spark, d), severity="high").groupBy("category").agg(F.count(F.lit(1)).alias("n")),
     "errors_resolved": lambda spark, d: o.resolve(_errors(spark, d), table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), F.expr(NOW)).groupBy("category", "resolved").agg(F.count(F.lit(1)).alias("n"), F.count("resolved_at").alias("stamped")),
