@@ -12,6 +12,7 @@ from corpusloom.operators import extract as x
 from corpusloom.operators import retrieval as r
 from corpusloom.plans import access
 from corpusloom.plans import extract as plans
+from corpusloom.plans import operations, segment
 from corpusloom.sources.tables import spread
 
 
@@ -92,3 +93,9 @@ def test_cells_are_scanned_by_products_and_only_for_those_who_ask(spark):
     exact = r.vector_hits(v, asked, 302).join(placed.select("chunk_id", "cell"), "chunk_id").join(probed, ["query_id", "cell"], "left_semi")
     want = r.ranked(exact.drop("rank"), F.col("distance"), ["query_id"], limit=10).select("query_id", "chunk_id", "rank")
     assert sorted(map(tuple, hits.select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_and_names_are_worked_on_by_many_tasks(spark, sf):
+    least = spark.sparkContext.defaultParallelism
+    assert segment.numbered(spark, sf).rdd.getNumPartitions() >= least
+    assert operations.QUERIES["token_sort_self"](spark, sf).rdd.getNumPartitions() >= least
