@@ -45,20 +45,22 @@ def identified(specs: DataFrame, cases: DataFrame, most: int = NEWEST) -> DataFr
 def located(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(path, file, rule): of each path the file that holds it by the first rule that finds one, else one that begins with it.
 
-    ``files``: file. Rules are equi-joins on the name; the last, by beginning, joins on the part before the first ``.``
-    or ``_EN``, and prefers a PDF. Paths without a file have nulls.
+    ``files``: file. Every rule is an equality of the path's name with one made from the file's: by ``FILE_RULES`` less the
+    suffix, by the last less language and type, PDFs preferred. So each file tells its few names, of each name the best
+    file is kept, and one join gives it to all paths of that name, however many paths and files share it. Names are
+    grouped and joined with a hash before them, as long texts that begin alike are slow to sort. Paths without a file
+    have nulls.
     """
-    w = wanted.select("path").distinct()
-    f = files.select("file").distinct().withColumn("_name", F.element_at(F.split("file", "/"), -1))
-    found = None
-    for rule, suffix in enumerate(FILE_RULES):
-        one = w.join(f, F.concat(F.element_at(F.split("path", "/"), -1), F.lit(suffix)) == F.col("_name")).select("path", "file", F.lit(rule).alias("rule"))
-        found = one if found is None else found.union(one)
-    stem = F.regexp_replace("_name", r"(_[A-Z]{2,3})?\.[^.]*$", "")
-    rough = w.join(f.withColumn("_stem", stem), F.element_at(F.split("path", "/"), -1) == F.col("_stem"))
-    found = found.union(rough.select("path", "file", F.when(F.col("_name").endswith(".pdf"), len(FILE_RULES)).otherwise(len(FILE_RULES) + 1).alias("rule")))
-    best = found.groupBy("path").agg(F.min(F.struct("rule", "file")).alias("_b"))
-    return w.join(best, "path", "left").select("path", "_b.file", "_b.rule")
+    name = lambda c: F.substring_index(c, "/", -1)
+    hashed = lambda df: df.withColumn("_h", F.xxhash64("_key"))
+    w = hashed(wanted.select("path").distinct().withColumn("_key", name("path")))
+    f = files.select("file", name("file").alias("_name")).withColumn("_stem", F.regexp_replace("_name", r"(_[A-Z]{2,3})?\.[^.]*$", ""))
+    names = [F.when(F.endswith("_name", F.lit(x)), F.substring("_name", F.lit(1), F.length("_name") - len(x))) for x in FILE_RULES]
+    rest = F.when(reduce(lambda a, b: a & b, (~n.eqNullSafe(F.col("_stem")) for n in names)), F.col("_stem"))
+    last = F.when(F.endswith("_name", F.lit(".pdf")), len(FILE_RULES)).otherwise(len(FILE_RULES) + 1)
+    told = F.array(*(F.struct(n.alias("_key"), r.alias("rule")) for n, r in zip([*names, rest], [*map(F.lit, range(len(FILE_RULES))), last], strict=True)))
+    best = hashed(f.select("file", F.inline(told)).where("_key IS NOT NULL")).groupBy("_h", "_key").agg(F.min(F.struct("rule", "file")).alias("_b"))
+    return w.join(best, ["_h", "_key"], "left").select("path", "_b.file", "_b.rule")
 
 
 def members(archives: DataFrame) -> DataFrame:
