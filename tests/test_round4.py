@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as t
+from corpusloom.operators import extract as x
 from corpusloom.operators import segment as g
 from corpusloom.plans import segment
 
@@ -35,3 +37,20 @@ def test_chunks_of_paragraphs_are_those_of_a_plain_fold(spark):
 def test_paragraphs_are_chunked_in_their_row(spark, sf):
     plan = _plan(segment.QUERIES["chunk_paragraphs"](spark, sf))
     assert "Aggregate" not in plan and plan.count("collect_list") == 0
+
+
+def test_words_are_found_in_capitals_without_other_letters(spark):
+    said = ["", "civil", "CıVIL appeal", "Tranſfer", "criminal – x", "é†civil", "ﬁx", "straße", "😀tax", "k\u212a", "\u0130x", None]
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    for word in ("CIVIL", "TRANSFER", "CRIMINAL", "FIX", "STRASSE", "TAX", "K", "IX"):
+        assert rows.where(~F.contains(t.capitals(F.col("t")), F.lit(word)).eqNullSafe(F.contains(F.upper("t"), F.lit(word)))).count() == 0
+    heads = spark.createDataFrame([(x,) for x in ("", "abc", "abcd", "éab", "ééé", "éééé", "a😀😀b", None)], "t string")
+    assert heads.where(~t.head(F.col("t"), 3).eqNullSafe(F.substring("t", 1, 3))).count() == 0
+
+
+def test_parts_of_texts_that_several_rules_read_are_made_once(spark):
+    d = spark.createDataFrame([(1, "[A. Rao* and B. Sen, JJ.]\n\nA\n v. \nB\n(Civil Appeal No. 1 of 2001)\nHeadnotes\nOne.\n 12 \nTwo, * Author three.\n\nList of Acts:\n– Sale Code.; A v. B Act\nJudgment")], "id int, text string")
+    made = x.all_fields(d)
+    assert _plan(made).count(r"\[([^\]]*)\]") == 1  # the bench, for names and author
+    row = made.first()
+    assert (row.extracted_petitioner, row.extracted_respondent, row.author_judge_name, row.headnotes, row.acts_cited) == ("A", "B", "A. Rao", "One.\nTwo,  three.", ["Sale Code"])
